@@ -36,7 +36,7 @@ def record_keys(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return df.select(key, left, right).mapInArrow(run, schema)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def same_record(a1, b1, a2, b2):  # noqa: ANN001, ANN201
     """Two-pointer comparison of two records, the sides in either order."""
     import pandas as pd
@@ -45,7 +45,7 @@ def same_record(a1, b1, a2, b2):  # noqa: ANN001, ANN201
     return pd.Series([two_pointer_equal(p, r) and two_pointer_equal(q, s) or two_pointer_equal(p, s) and two_pointer_equal(q, r) for p, q, r, s in both], dtype=bool)
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def spelled_out(a, b):  # noqa: ANN001, ANN201
     """The canonical record itself: only for rows whose hashes agree though their texts differ."""
     return "\x00".join(sorted("".join(map(fold_char, x or "")) for x in (a, b)))

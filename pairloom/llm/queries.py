@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import copies
+from . import copies, overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,17 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, sf_dir, "pair_registry")).select("pair_id_a", "pair_id_b")
+
+
+@query
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = table(spark, sf_dir, "pair_registry")
+    return overlap.overlap_report(registry, overlap.cross_split_pairs(registry))
+
+
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.format_copies(table(spark, sf_dir, "pair_registry"))
