@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import copies, overlap
+from . import copies, garble, overlap
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +19,16 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.garbled_sides(table(spark, sf_dir, "pair_registry"))
+
+
+@query
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garble.repaired_sides(table(spark, sf_dir, "pair_registry"))
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, sf_dir, "pair_registry")).select("pair_id_a", "pair_id_b")
