@@ -2,9 +2,10 @@
 
 Exact overlap: hashes of canonical records, evaluation joined with training.
 Near overlap, without loss: of records with at most one word in ``share``
-changed on a side, the rarest words agree in at least two (prefix filter), so the
-hash of two of its rarest words joins each record with all of its near copies.
-Candidates are then compared word by word.
+changed on a side, the rarest words agree in at least three (prefix filter), so the
+hash of three of its rarest words joins each record with all of its near copies.
+As both sides must be near, a hash that is too common on one side counts only
+together with a hash of the other. Candidates are then compared word by word.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .words import hangul, near, words
+from .fold import scramble
+from .words import far_apart, hangul, near, words
 
 SKETCH_BITS = 20  # counters of word frequency: 2**20 of 4 bytes, whatever the corpus
+SIEVE_BITS = 21  # the same for signatures, once for each split
+HOT = 2_000  # pairs of one validation and one training record under a signature, from which on it needs the other side too
+NEED = 3
 TOKEN = re.compile(r"\d+|\D+")
 
 
@@ -77,37 +82,111 @@ def word_sketch(reps: DataFrame) -> np.ndarray:
     return out
 
 
-def signatures(side: str, counts: np.ndarray, share: int, tag: str) -> list[int]:
+def signatures(side: str, counts: np.ndarray, share: int) -> list[int]:
     """Hashes of which two records that are near on this side share at least one."""
     tokens = _tokens(side)
     n = len(tokens)
     changed = n // (share - 1)  # of the longer text one in ``share`` may differ, so of this one one in ``share - 1``
-    need = 2
-    if n - changed < need:
-        return []
+    need = min(NEED, n)
     ranked = sorted(tokens, key=lambda t: (counts[_bucket(t)], t))[: changed + need]
-    return [xxhash.xxh64_intdigest("\x01".join((tag, *sorted(two)))) - (1 << 63) for two in combinations(ranked, need)]
+    return [xxhash.xxh64_intdigest("\x01".join(sorted(some))) - (1 << 63) for some in combinations(ranked, need)]
 
 
-def _sides(wa: str, wb: str) -> list[tuple[str, str]]:
-    """Each side with its tag; where no side has more Hangul, either may be the first."""
-    if (hangul([wa]) > 0) != (hangul([wb]) > 0):
-        return [(wa, "a"), (wb, "b")]
-    return [(wa, "a"), (wb, "b"), (wa, "b"), (wb, "a")]
+def _signed(reps: DataFrame, counts: object, share: int) -> DataFrame:
+    """``key_hi, key_lo, v, t, sa, sb``: each class with the signatures of its sides; where no side has more Hangul, of both at once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = []
+            for wa, wb in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+                sa, sb = (set(signatures(w, counts.value, share)) for w in (wa, wb))
+                if (hangul([wa]) > 0) == (hangul([wb]) > 0):
+                    sa = sb = sa | sb
+                sides.append((sorted(sa), sorted(sb)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array([s[k] for s in sides], pa.list_(pa.int64())) for k in (0, 1))], names=["key_hi", "key_lo", "v", "t", "sa", "sb"])
 
-@F.pandas_udf(T.BooleanType())
-def _near_records(a1, b1, a2, b2):  # noqa: ANN001, ANN202
-    import pandas as pd
+    return reps.select("key_hi", "key_lo", "v", "t", "wa", "wb").mapInArrow(run, "key_hi long, key_lo long, v boolean, t boolean, sa array<long>, sb array<long>")
 
-    def same(p: list[str], q: list[str], r: list[str], s: list[str]) -> bool:
-        return near(p, r) and near(q, s)
 
-    out = []
-    for row in zip(a1, b1, a2, b2, strict=True):
-        p, q, r, s = (x.split() for x in row)
-        out.append(same(p, q, r, s) or same(p, q, s, r))
-    return pd.Series(out, dtype=bool)
+def _place(sig: np.ndarray) -> np.ndarray:
+    return (scramble(sig.view(np.uint64)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _tagged(column: pa.ListArray, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of a column, marked with their side, and the row of each."""
+    offsets = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+    with np.errstate(over="ignore"):
+        return scramble(flat.view(np.uint64) + np.uint64(tag)).view(np.int64), rows
+
+
+def signature_sketch(signed: DataFrame) -> np.ndarray:
+    """Validation and training records of each signature, in counters of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << SIEVE_BITS), np.int64)
+        for b in batches:
+            own = [b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (0, 1)]
+            for c, tag in ((2, 1), (3, 2)):
+                sig, rows = _tagged(b.column(c), tag)
+                for k in (0, 1):
+                    np.add.at(total[k], _place(sig[own[k][rows]]), 1)
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(t[at]) for t in total)], names=["place", "v", "t"])
+
+    counts = signed.select("v", "t", "sa", "sb").mapInArrow(run, "place int, v long, t long").groupBy("place").agg(F.sum("v").alias("v"), F.sum("t").alias("t")).toArrow()
+    out = np.zeros((2, 1 << SIEVE_BITS), np.int32)
+    for k, c in enumerate("vt"):
+        out[k][counts["place"].to_numpy()] = np.minimum(counts[c].to_numpy(), 2**31 - 1)
+    return out
+
+
+def _join_keys(signed: DataFrame, sketch: object, split: str) -> DataFrame:
+    """``sig, key_hi, key_lo`` of the classes of one split, without signatures that the other split has not.
+
+    A signature under which more than HOT pairs would meet is replaced by its combinations with those of the other side.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, t = sketch.value
+        other = t if split == "v" else v
+        for b in batches:
+            sigs, rows, hot = [], [], []
+            a, c = (_tagged(b.column(k), tag) for k, tag in ((2, 1), (3, 2)))
+            for sig, row in (a, c):
+                at = _place(sig)
+                shared = other[at] > 0
+                common = v[at].astype(np.int64) * t[at] > HOT
+                sigs.append(sig[shared & ~common])
+                rows.append(row[shared & ~common])
+                hot.append((sig[shared & common], row[shared & common]))
+            for (hs, hr), (os, orow), turned in ((hot[0], c, False), (hot[1], a, True)):
+                starts = np.searchsorted(orow, np.arange(b.num_rows + 1))
+                n = np.diff(starts)[hr]
+                took = np.repeat(starts[:-1][hr] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                first, second = np.repeat(hs, n).view(np.uint64), os[took].view(np.uint64)
+                with np.errstate(over="ignore"):
+                    sigs.append(scramble((second if turned else first) * np.uint64(0x9E3779B97F4A7C15) + (first if turned else second)).view(np.int64))
+                rows.append(np.repeat(hr, n))
+            row = pa.array(np.concatenate(rows).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), b.column(0).take(row), b.column(1).take(row)], names=["sig", "key_hi", "key_lo"])
+
+    return signed.where(split).select("key_hi", "key_lo", "sa", "sb").mapInArrow(run, "sig long, key_hi long, key_lo long")
+
+
+def _near_records(share: int):  # noqa: ANN202
+    @F.pandas_udf(T.BooleanType())
+    def check(a1, b1, a2, b2):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        def same(*pairs: tuple[list[str], list[str]]) -> bool:
+            return not any(far_apart(x, y, max(len(x), len(y)) // share) for x, y in pairs) and all(near(x, y, share) for x, y in pairs)
+
+        rows = ([x.split() for x in row] for row in zip(a1, b1, a2, b2, strict=True))
+        return pd.Series([same((p, r), (q, s)) or same((p, s), (q, r)) for p, q, r, s in rows], dtype=bool)
+
+    return check
 
 
 def cross_split_pairs(
@@ -132,22 +211,13 @@ def cross_split_pairs(
     spark = df.sparkSession
     counts = spark.sparkContext.broadcast(word_sketch(reps))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, sigs = [], []
-            for i, (wa, wb) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                own = {s for side, tag in _sides(wa, wb) for s in signatures(side, counts.value, share, tag)}
-                sigs += own
-                rows += [i] * len(own)
-            taken = pa.RecordBatch.from_arrays(b.columns[:4], names=["key_hi", "key_lo", "v", "t"]).take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(sigs, pa.int64())], names=["key_hi", "key_lo", "v", "t", "sig"])
-
-    signed = cut(reps.select("key_hi", "key_lo", "v", "t", "wa", "wb").mapInArrow(run, "key_hi long, key_lo long, v boolean, t boolean, sig long"))
-    one = signed.where("v").select("sig", F.col("key_hi").alias("hi1"), F.col("key_lo").alias("lo1"))
-    two = signed.where("t").select("sig", F.col("key_hi").alias("hi2"), F.col("key_lo").alias("lo2"))
+    signed = cut(_signed(reps, counts, share))
+    sketch = spark.sparkContext.broadcast(signature_sketch(signed))
+    one = _join_keys(signed, sketch, "v").select("sig", F.col("key_hi").alias("hi1"), F.col("key_lo").alias("lo1"))
+    two = _join_keys(signed, sketch, "t").select("sig", F.col("key_hi").alias("hi2"), F.col("key_lo").alias("lo2"))
     candidates = one.join(two, "sig").where("hi1 <> hi2 or lo1 <> lo2").select("hi1", "lo1", "hi2", "lo2").distinct()
     texts = lambda k: reps.select(F.col("key_hi").alias(f"hi{k}"), F.col("key_lo").alias(f"lo{k}"), F.col("wa").alias(f"a{k}"), F.col("wb").alias(f"b{k}"))
-    linked = candidates.join(texts(1), ["hi1", "lo1"]).join(texts(2), ["hi2", "lo2"]).where(_near_records("a1", "b1", "a2", "b2")).select("hi1", "lo1", "hi2", "lo2")
+    linked = candidates.join(texts(1), ["hi1", "lo1"]).join(texts(2), ["hi2", "lo2"]).where(_near_records(share)("a1", "b1", "a2", "b2")).select("hi1", "lo1", "hi2", "lo2")
     near_pairs = (
         val.select(F.col("_k").alias("_v"), F.col("key_hi").alias("hi1"), F.col("key_lo").alias("lo1"))
         .join(linked, ["hi1", "lo1"])
