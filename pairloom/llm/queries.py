@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, garble, overlap
+from . import confusable, copies, garble, leak, overlap, percentiles, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,27 @@ def query(f: Query) -> Query:
     return f
 
 
+@query
+def p1_density_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ["domain", "length_stratum"]
+    pieces = percentiles.day_pieces(table(spark, sf_dir, "morph_features"), table(spark, sf_dir, "pair_registry"), by, "pair_id", "morpheme_density", "measured_at")
+    found = percentiles.select_percentiles(pieces, by)
+    return found.withColumn("value", F.round("value", 9))
+
+
+ORACLE_SQL["p1_density_percentiles"] = """
+WITH latest AS (
+  SELECT pair_id, morpheme_density AS x,
+         row_number() OVER (PARTITION BY pair_id ORDER BY measured_at DESC, morpheme_density DESC NULLS LAST) AS k
+  FROM morph_features WHERE pair_id IS NOT NULL AND measured_at IS NOT NULL),
+ps AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS percentile, unnest([1, 2, 3, 4, 5, 6]) AS i),
+q AS (
+  SELECT domain, length_stratum, count(*) AS n, quantile_cont(x, [0.01, 0.25, 0.5, 0.75, 0.9, 0.99]) AS qs
+  FROM latest JOIN pair_registry USING (pair_id) WHERE k = 1 AND x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)
+SELECT domain, length_stratum, percentile, round(qs[i], 9) AS value, n, 0.0::DOUBLE AS error_bound FROM q, ps
+"""
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.garbled_sides(table(spark, sf_dir, "pair_registry"))
@@ -29,6 +51,16 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.repaired_sides(table(spark, sf_dir, "pair_registry"))
 
 
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusable.lookalike_sides(table(spark, sf_dir, "pair_registry"))
+
+
+@query
+def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusable.consistent_sides(table(spark, sf_dir, "pair_registry")).select("pair_id", "side", "consistent_text", "reasons")
+
+
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, sf_dir, "pair_registry")).select("pair_id_a", "pair_id_b")
@@ -49,3 +81,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = copies.collapse(table(spark, sf_dir, "pair_registry"))
     return kept.select("pair_id", "logical_corpus", "domain", "n_copies")
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("item_id", "doc_id")
+
+
+@query
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items")
+    return leak.leak_report(leak.leaked_items(table(spark, sf_dir, "documents"), items), items)
+
+
+RATE = 0.05
+
+
+@query
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    epochs = sample.first_epochs(table(spark, sf_dir, "pair_registry"), "pair_id", "ingest_batch")
+    rates = epochs.select(F.col("first_epoch").alias("epoch")).distinct().withColumn("rate", F.lit(RATE))
+    return sample.stable_sample(table(spark, sf_dir, "rep_features"), epochs, rates, "pair_id").select("pair_id", "first_epoch", "rate")
+
+
+ORACLE_SQL["p7_sample"] = f"""
+WITH e AS (SELECT pair_id, min(ingest_batch) AS first_epoch FROM pair_registry WHERE ingest_batch IS NOT NULL GROUP BY pair_id),
+r AS (SELECT DISTINCT pair_id FROM rep_features WHERE pair_id IS NOT NULL)
+SELECT pair_id, first_epoch, {RATE}::DOUBLE AS rate FROM r JOIN e USING (pair_id)
+WHERE substr(sha256('{sample.SEED}|0|' || pair_id), 1, 13) <= '{int(RATE * (1 << 52)):013x}'
+"""
