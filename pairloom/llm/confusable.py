@@ -99,6 +99,8 @@ def respelled(text: str) -> str:
         if w.isascii():
             return w
         letters = [c for c in w if script(c)]
+        if not letters:
+            return w
         scripts = {script(c) for c in letters}
         if len(scripts) == 1 and "LATIN" not in scripts:
             if scripts & genuine or not all(c in LOOKALIKES and c not in LOOSE for c in letters):
