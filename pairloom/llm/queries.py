@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import confusable, copies, garble, leak, overlap, percentiles, sample
+from . import confusable, copies, garble, leak, overlap, packing, percentiles, reading, sample, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,3 +110,63 @@ r AS (SELECT DISTINCT pair_id FROM rep_features WHERE pair_id IS NOT NULL)
 SELECT pair_id, first_epoch, {RATE}::DOUBLE AS rate FROM r JOIN e USING (pair_id)
 WHERE substr(sha256('{sample.SEED}|0|' || pair_id), 1, 13) <= '{int(RATE * (1 << 52)):013x}'
 """
+
+
+@query
+def p6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = tokens.pair_budget(table(spark, sf_dir, "token_measurement"), table(spark, sf_dir, "pair_registry"))
+    documents = tokens.document_budget(table(spark, sf_dir, "documents"))
+    return pairs.select(F.lit("pairs").alias("section"), F.col("logical_corpus").alias("slice"), "language", "domain", "n_texts", "tokens").unionByName(
+        documents.select(F.lit("documents").alias("section"), F.col("source").alias("slice"), "language", "domain", "n_texts", "tokens")
+    )
+
+
+@query
+def p6_pair_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.pair_budget(table(spark, sf_dir, "token_measurement"), table(spark, sf_dir, "pair_registry"))
+
+
+ORACLE_SQL["p6_pair_budget"] = """
+WITH latest AS (
+  SELECT pair_id, len(ko_token_ids) AS ko, len(en_token_ids) AS en,
+         row_number() OVER (PARTITION BY pair_id ORDER BY measured_at DESC NULLS LAST, len(ko_token_ids) DESC NULLS LAST, len(en_token_ids) DESC NULLS LAST) AS k
+  FROM token_measurement WHERE pair_id IS NOT NULL),
+sides AS (
+  SELECT pair_id, 'ko' AS language, ko AS n FROM latest WHERE k = 1 UNION ALL
+  SELECT pair_id, 'en', en FROM latest WHERE k = 1)
+SELECT logical_corpus, domain, language, count(n) AS n_texts, coalesce(sum(n), 0)::BIGINT AS tokens
+FROM sides JOIN pair_registry USING (pair_id) GROUP BY ALL
+"""
+
+
+@query
+def p6_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "domain", "text"), "text")
+
+
+@query
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(table(spark, sf_dir, "documents"))
+
+
+@query
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(packing.containers(table(spark, sf_dir, "documents")))
+
+
+@query
+def p10_reading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return reading.reading_levels(documents, reading.train(documents, table(spark, sf_dir, "reading_labels")))
+
+
+@query
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    levels = reading.reading_levels(documents, reading.train(documents, table(spark, sf_dir, "reading_labels")))
+    return reading.level_profile(documents, levels)
+
+
+@query
+def p10_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.held_out_report(reading.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")))
