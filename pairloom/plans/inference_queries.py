@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as inf
 from ..operators import models as ml
-from ..session import table
+from ..session import cut, table
 from .catalogue import query
 from .measure_queries import TOKENS, latest_tokens
 from .relation_queries import cohort
@@ -68,8 +68,8 @@ def robust_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """The cohort with numeric columns and one-hot factors."""
-    d = cohort(spark, sf_dir)
+    """The cohort with numeric columns and one-hot factors, written once: models read it in several passes."""
+    d = cut(cohort(spark, sf_dir))
     hot = {k: c for f in ("domain", "translation_direction") for k, c in ml.one_hot(f, ml.levels_by_count(d, f)).items()}
     size = F.expr("0.5D * (ln(ko_codepoint_count) + ln(en_codepoint_count))")
     return d.withColumns({"pair_log_size": size, **hot}), ["pair_log_size", "ko_latin_share", "ko_digit_share", "morpheme_density", "particle_ratio", *hot]
@@ -139,6 +139,6 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bootstrap intervals of the median premium, plain and within sources."""
-    d = cohort(spark, sf_dir)
+    d = cut(cohort(spark, sf_dir).select("token_premium", "source_id"))
     rows = [(k, *(float(v) for v in inf.median_bootstrap(d, "token_premium", 2000, 1, by).values())) for k, by in (("plain", None), ("within_source", ["source_id"]))]
     return spark.createDataFrame(rows, "kind string, median double, low double, high double, replicates double, n double")
