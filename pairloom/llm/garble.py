@@ -45,17 +45,21 @@ DIGITS = re.compile(r"[0-9][0-9,.]*")
 NON_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
+CP1252 = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+CP1252_BACK = {ord(c): b for b, c in CP1252.items()} | dict.fromkeys(CP1252, 0x100)  # what cp1252 writes otherwise can't be a control
+
+
 def read_as(data: bytes, encoding: str) -> str:
     """Decode as careless software does: bytes cp1252 leaves undefined become control characters, other faults U+FFFD."""
     if encoding == "cp1252":
-        return "".join(bytes([x]).decode("cp1252", "replace").replace("�", chr(x)) for x in data) if any(x in b"\x81\x8d\x8f\x90\x9d" for x in data) else data.decode("cp1252")
+        return data.decode("latin-1").translate(CP1252)
     return data.decode(encoding, "replace")
 
 
 def written(text: str, encoding: str) -> bytes:
     """The inverse of read_as; UnicodeError if there is none."""
     if encoding == "cp1252":
-        return b"".join(bytes([ord(c)]) if c in "\x81\x8d\x8f\x90\x9d" else c.encode("cp1252") for c in text)
+        return text.translate(CP1252_BACK).encode("latin-1")
     return text.encode(encoding)
 
 
@@ -200,7 +204,10 @@ def _forms(known: DataFrame, sieve: object, kinds: tuple[str, ...]) -> DataFrame
                         rows.append((f, kind, piece, k, n))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["form", "kind", "original", "chain", "n"])
 
-    return known.where(F.col("kind").isin(*kinds)).select("kind", "piece", "n").mapInArrow(run, "form string, kind string, original string, chain int, n long")
+    # Few bytes, much work: spread over all cores, however small the table.
+    spark = known.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return known.where(F.col("kind").isin(*kinds)).select("kind", "piece", "n").repartition(parts, "piece").mapInArrow(run, "form string, kind string, original string, chain int, n long")
 
 
 def _sieve(strings: DataFrame, column: str) -> object:
