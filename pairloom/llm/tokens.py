@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .fold import blocks
 
 VOCABULARIES = os.environ.get("PAIRLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -145,7 +146,7 @@ def document_budget(documents: DataFrame, vocabulary: str | None = None, doc: st
     are groups of their own; rows with a null id are left out.
     """
     rows = documents.where(F.col(doc).isNotNull()).dropDuplicates([doc]).select(source_key(source).alias("_key"), F.col(source).alias("source"), language(text).alias("language"), F.col(domain).alias("domain"), F.col(text).alias("_text"))
-    spelled = with_tokens(rows, "_text").groupBy("_key", "source", "language", "domain").agg(F.count("*").alias("n_texts"), F.sum("tokens").alias("tokens"))
+    spelled = cut(with_tokens(rows, "_text").groupBy("_key", "source", "language", "domain").agg(F.count("*").alias("n_texts"), F.sum("tokens").alias("tokens")))
     names = spelled.groupBy("_key", "source").agg(F.sum("n_texts").alias("n")).groupBy("_key").agg(F.max_by("source", F.struct("n", "source")).alias("name"))
     totals = spelled.groupBy("_key", "language", "domain").agg(F.sum("n_texts").alias("n_texts"), F.sum("tokens").alias("tokens"))
     return totals.alias("t").join(names.alias("n"), F.col("t._key").eqNullSafe(F.col("n._key"))).select(F.col("n.name").alias("source"), "language", "domain", "n_texts", "tokens")
