@@ -9,6 +9,7 @@ kept, and banded alignment verifies them.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,17 @@ class Index:
         return np.repeat(at, n), self.item[took], self.place[took]
 
 
+_indexes: dict[str, Index] = {}
+
+
+def _index(name: str, rows: list[tuple], edits: int) -> Index:
+    """The index of a block of items, built once in each Python worker."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(rows, edits)
+    return _indexes[name]
+
+
 def leaks(index: Index, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int) -> dict[int, int]:
     """Items of which the document holds enough consecutive words, with how many.
 
@@ -173,11 +185,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, edits: int = 0, doc: st
     out = None
     for k in range(n_blocks):
         rows = [tuple(r) for r in asked.where(F.pmod(F.xxhash64("_i"), F.lit(n_blocks)) == k).toLocalIterator()]
-        shared = spark.sparkContext.broadcast(rows)
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index = Index(shared.value, edits)
-            overlap = 3 * max((len(r[1]) for r in shared.value), default=0) + 1000
+            name, asked_rows = shared.value
+            index = _index(name, asked_rows, edits)
+            overlap = 3 * max((len(r[1]) for r in asked_rows), default=0) + 1000
             for b in batches:
                 texts, rows = [], []
                 for r, t in enumerate(b.column(1).to_pylist()):
