@@ -107,13 +107,13 @@ def chunk_kind(chunk: Column) -> Column:
 def nearest_rank(values: Column, q: float) -> Column:
     """The nearest-rank percentile of an array: an element of it."""
     n = F.size(values)
-    return F.element_at(F.sort_array(values), F.greatest(F.lit(1), F.least(n, F.ceil(n * F.lit(q)).cast("int"))))
+    return F.try_element_at(F.sort_array(values), F.greatest(F.lit(1), F.least(n, F.ceil(n * F.lit(q)).cast("int"))))
 
 
 def array_median(values: Column) -> Column:
     """The mean of the middle two; null for none."""
     s, n = F.sort_array(values), F.size(values)
-    pick = lambda i: F.try_element_at(s, i)
+    pick = lambda i: F.try_element_at(s, F.greatest(i, F.lit(1)))
     return (pick(F.floor((n + 1) / 2).cast("int")) + pick(F.floor(n / 2).cast("int") + 1)) / F.lit(2.0)
 
 

@@ -26,14 +26,15 @@ def structural_flags(df: DataFrame, ko: str = "ko_text_analysis", en: str = "en_
 
 def windowed_counts(events: DataFrame, at: str, by: str, width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts by event-time window; rows later than ``late`` behind the newest are dropped by a stream, and none by a batch."""
-    d = events.withWatermark(at, late) if events.isStreaming else events
+    d = events.withColumn(at, F.col(at).cast("timestamp"))
+    d = d.withWatermark(at, late) if events.isStreaming else d
     w = F.window(at, width, slide) if slide else F.window(at, width)
     return d.groupBy(w.alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n", "total")
 
 
 def first_seen(df: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """Each key once within the watermark."""
-    return df.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return df.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
 def to_parquet(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
