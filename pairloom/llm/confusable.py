@@ -70,15 +70,16 @@ def ordinary(c: str) -> str:
 
 def without_invisible(text: str) -> str:
     """The text less invisible characters; those that belong to emoji or to joining scripts stay, blank letters become blanks."""
-    out = []
+    out, before = [], ""
     for i, c in enumerate(text):
         if c in "ㅤﾠᅠᅟ" and not ("ᄀ" <= text[i - 1 : i] <= "ᅞ" or "ᅡ" <= text[i + 1 : i + 2] <= "ᆧ"):
             out.append(" ")
+            before = " "
             continue
         if not invisible(c) and not (ud.category(c) == "Cc" and c not in "\t\n\r\x85"):
             out.append(c)
+            before = c
             continue
-        before = next((x for x in reversed(text[:i]) if x not in "︎️"), "")
         after = text[i + 1 : i + 2]
         emoji = c == "‍" and PICTURE.match(before) and PICTURE.match(after) or c in "︎️" and (PICTURE.match(before) or before in "#*0123456789©®™" and before) or "\U000e0020" <= c <= "\U000e007f"
         if emoji or c in "‌‍" and JOINING.match(before) and JOINING.match(after):

@@ -133,8 +133,8 @@ def forms_of(kind: str, piece: str) -> Iterator[tuple[str, int]]:
         if kind == "char" and not (chain[0][0] == "utf-8" and all(r in ONE_BYTE for _, r in chain) or chain[-1][1] == "utf-8"):
             continue  # short forms of other chains also occur in clean text
         f = garbled(piece, chain)
-        if f is None or f in seen:
-            continue
+        if f is None or f in seen or chain[0][0] != "utf-8" and chain[-1][1] == "utf-8" and "�" not in f:
+            continue  # what reads well as UTF-8 is garbling undone
         if kind == "char" and len(f) < 2 and f != "�" or kind == "pair" and (len(f) < 3 and "�" not in f or len(NON_ASCII.findall(f)) < 2):
             continue
         seen.add(f)
@@ -303,8 +303,11 @@ def mended(text: str, units: list[tuple]) -> tuple[str, bool, str]:
     def right(m: re.Match) -> str:
         nonlocal whole
         token, u = m[0], unit(m[0])
-        if u not in known and (token.isascii() or not SUSPICIOUS.search(token) or clean(u)):
+        if u not in known and (token.isascii() or not SUSPICIOUS.search(token)):
             return token
+        if u not in known and clean(u):  # a foreign word, unless the text's own chain makes it Korean
+            back = restored(token, CHAINS[ranked[0]]) if ranked else None
+            return back if back and clean(unit(back)) and re.search(f"[{HANGUL}]", back) else token
         original, _, sure = known.get(u, (None, 0, False))
         if not sure:
             for k in ranked:

@@ -29,6 +29,7 @@ SKETCH_BITS = 20  # counters of word frequency: 2**20 of 4 bytes, whatever the c
 SIEVE_BITS = 21  # the same for signatures, once for each split
 HOT = 2_000  # pairs of one validation and one training record under a signature, from which on it needs the other side too
 NEED = 3
+SHORT, LONG = 60, 45  # tokens up to which three words are taken, from which on one; between them both, as lengths of near texts differ by less
 TOKEN = re.compile(r"\d+|\D+")
 
 
@@ -87,9 +88,11 @@ def signatures(side: str, counts: np.ndarray, share: int) -> list[int]:
     tokens = _tokens(side)
     n = len(tokens)
     changed = n // (share - 1)  # of the longer text one in ``share`` may differ, so of this one one in ``share - 1``
-    need = min(NEED, n)
-    ranked = sorted(tokens, key=lambda t: (counts[_bucket(t)], t))[: changed + need]
-    return [xxhash.xxh64_intdigest("\x01".join(sorted(some))) - (1 << 63) for some in combinations(ranked, need)]
+    order = sorted(tokens, key=lambda t: (counts[_bucket(t)], t))
+    out = []
+    for need in ([min(NEED, n)] if n <= SHORT else []) + ([1] if n > LONG else []):
+        out += [xxhash.xxh64_intdigest("\x01".join(sorted(some))) - (1 << 63) for some in combinations(order[: changed + need], need)]
+    return out
 
 
 def _signed(reps: DataFrame, counts: object, share: int) -> DataFrame:

@@ -196,6 +196,7 @@ def _described(texts: list[str], language: list[str] | str) -> tuple[np.ndarray,
 
 def _main_language(text: str) -> Column:
     """ko or en, whichever has more of the letters; null without letters of either."""
+    text = F.coalesce(F.col(text), F.lit(""))
     h, latin = 2 * F.regexp_count(text, F.lit("[가-힣]")), F.regexp_count(text, F.lit("[A-Za-z]"))
     return F.when(h + latin == 0, F.lit(None)).when(h >= latin, "ko").otherwise("en")
 
@@ -219,7 +220,8 @@ def train(documents: DataFrame, labels: DataFrame) -> DataFrame:
         held = model.fit(x, cells, rows["rating"].to_numpy(float), fold)
         out = rows[["language", "doc_id", "source", "rating"]].assign(held_out=held, model=None)
         one = pd.DataFrame([{"language": language, "doc_id": None, "source": None, "rating": None, "held_out": None, "model": pickle.dumps(model)}])
-        return pd.concat([out, one], ignore_index=True).astype({"doc_id": "Int64"})
+        columns = {c: [*out[c].tolist(), *one[c].tolist()] for c in out.columns}
+        return pd.DataFrame({c: pd.array(v, dtype="Int64") if c == "doc_id" else pd.Series(v, dtype=object) for c, v in columns.items()})
 
     return cut(bounded.groupBy("language").applyInPandas(run, "language string, doc_id long, source string, rating double, held_out double, model binary"))
 

@@ -129,6 +129,7 @@ def with_tokens(df: DataFrame, text: str, out: str = "tokens", vocabulary: str |
 
 def language(text: str) -> Column:
     """ko, en, mixed or und, by the letters: a Hangul syllable weighs two Latin letters. What the table says of the language isn't trusted."""
+    text = F.coalesce(F.col(text), F.lit(""))
     h, latin = 2 * F.regexp_count(text, F.lit("[가-힣]")), F.regexp_count(text, F.lit("[A-Za-z]"))
     both = h + latin
     return F.when(both == 0, "und").when(h >= 0.75 * both, "ko").when(latin >= 0.75 * both, "en").otherwise("mixed")

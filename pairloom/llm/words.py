@@ -41,30 +41,45 @@ def edits(a: list[str], b: list[str], most: int) -> int:
         return 0
     if most == 0:
         return 1
+    # Bands of growing width: long texts with few changes take time in proportion to length and changes.
+    limit = 4
+    while True:
+        limit = min(limit, most)
+        got = _banded(a, b, limit)
+        if got <= limit or limit == most:
+            return min(got, most + 1)
+        limit *= 2
+
+
+def _banded(a: list[str], b: list[str], most: int) -> int:
+    """Edits within a band of diagonals, ``most`` + 1 if they are more. Four rows are kept: a word may stand for three."""
     n, m, far = len(a), len(b), most + 1
-    band = most + 6  # joined words shift the diagonal too
-    if abs(n - m) > band:
+    band = 2 * most + 6  # joined words shift the diagonal too
+    if abs(n - m) > 3 * band:
         return far
-    rows = [[far] * (m + 1) for _ in range(n + 1)]
-    rows[0][0] = 0
+    rows: list[dict[int, int]] = []
+    low = 0  # a diagonal that joined words have shifted is followed
     for x in range(n + 1):
-        for y in range(max(0, x - band), min(m, x + band) + 1):
-            best = rows[x][y]
-            if x and rows[x - 1][y] + 1 < best:
-                best = rows[x - 1][y] + 1
-            if y and rows[x][y - 1] + 1 < best:
-                best = rows[x][y - 1] + 1
+        row: dict[int, int] = {}
+        back = rows[-1] if rows else {}
+        for y in range(max(0, low + x - band), min(m, low + x + band) + 1):
+            best = 0 if x == y == 0 else min(back.get(y, far), row.get(y - 1, far)) + 1
             if x and y:
-                cost = rows[x - 1][y - 1] + (a[x - 1] != b[y - 1])
-                if cost < best:
-                    best = cost
+                best = min(best, back.get(y - 1, far) + (a[x - 1] != b[y - 1]))
                 for k in (2, 3):
-                    if x >= k and rows[x - k][y - 1] < best:
-                        best = min(best, rows[x - k][y - 1] + _joined(a[x - k : x], b[y - 1]))
-                    if y >= k and rows[x - 1][y - k] < best:
-                        best = min(best, rows[x - 1][y - k] + _joined(b[y - k : y], a[x - 1]))
-            rows[x][y] = best
-    return min(rows[n][m], far)
+                    if x >= k and rows[-k].get(y - 1, far) < best:
+                        best = min(best, rows[-k].get(y - 1, far) + _joined(a[x - k : x], b[y - 1]))
+                    if y >= k and back.get(y - k, far) < best:
+                        best = min(best, back.get(y - k, far) + _joined(b[y - k : y], a[x - 1]))
+            if best < far:
+                row[y] = best
+        rows = [*rows[-2:], row]
+        if len(rows) == 3 and not any(rows):
+            return far
+        if row:
+            least = min(row.values())
+            low = sum(y for y, v in row.items() if v == least) // sum(v == least for v in row.values()) - x
+    return rows[-1].get(m, far)
 
 
 def _joined(parts: list[str], whole: str) -> int:
@@ -81,8 +96,8 @@ def far_apart(a: list[str], b: list[str], most: int) -> bool:
 
     A changed word may have been parted in two, so each change accounts for two such words.
     """
-    x, y = "".join(a), "".join(b)
-    return sum(w not in y for w in a) > 2 * most or sum(w not in x for w in b) > 2 * most
+    x, y, p, q = "".join(a), "".join(b), set(a), set(b)
+    return sum(w not in q and w not in y for w in a) > 2 * most or sum(w not in p and w not in x for w in b) > 2 * most
 
 
 def near(a: list[str], b: list[str], share: int = 6) -> bool:
