@@ -152,3 +152,24 @@ def with_chunk_tokens(df: DataFrame, texts: dict[str, str], path: str | None = N
         return out
 
     return _over_batches(df.drop(*(f.name for f in fields)), list(texts.values()), fields, row, vocabulary_path(path))
+
+
+def decoded_tokens(ids: str | Column, path: str | None = None, most: int = 32) -> Column:
+    """The first ``most`` tokens as ``id:hex`` of their bytes, for audits; unknown ids show no bytes."""
+    import pandas as pd
+
+    where = vocabulary_path(path)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def decode(s: pd.Series) -> pd.Series:
+        e = encoding(where)
+
+        def one(i: int) -> str:
+            try:
+                return f"{i}:{e.decode_single_token_bytes(int(i)).hex()}"
+            except KeyError:
+                return f"{i}:"
+
+        return s.map(lambda a: None if a is None else [one(i) for i in a[:most]])
+
+    return decode(ids)

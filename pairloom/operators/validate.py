@@ -55,3 +55,29 @@ def biconditional(df: DataFrame, a: Column, b: Column) -> DataFrame:
 def failures(checks: DataFrame, observed: str = "n", expected: int = 0) -> DataFrame:
     """Checks of a (rule, n) table whose count isn't the expected one."""
     return checks.where(F.col(observed) != expected)
+
+
+def contract_problems(seeds: dict[str, int], versions: dict[str, tuple[object, object]], permissions: dict[str, bool]) -> list[str]:
+    """What is wrong across contracts: seeds that are no unsigned 32-bit numbers or equal, versions that differ, permissions that are granted."""
+    wrong = [f"seed {k} is no 32-bit number" for k, v in seeds.items() if isinstance(v, bool) or not isinstance(v, int) or not 0 <= v < 2**32]
+    if len(set(seeds.values())) < len(seeds):
+        wrong.append("two seeds are equal")
+    wrong += [f"version of {k}: {a} and {b}" for k, (a, b) in versions.items() if a != b]
+    return wrong + [f"permission {k} is granted" for k, v in permissions.items() if v is not False]
+
+
+def identifiability(df: DataFrame, a: str, b: str, least: int = 1000) -> DataFrame:
+    """``a, b, n, verdict`` of each combination of levels that is empty or has fewer than ``least`` rows.
+
+    Levels of model factors are few; the grid has as many rows as combinations of levels.
+    """
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
+    grid = cells.select(a).distinct().join(cells.select(b).distinct(), F.lit(True))
+    full = grid.join(cells, [a, b], "left").fillna(0, ["n"])
+    return full.where(F.col("n") < least).withColumn("verdict", F.when(F.col("n") == 0, "EMPTY").otherwise("NEAR_SINGLETON"))
+
+
+def bijection(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``levels_a, levels_b, pairs, bijective``: whether two columns name the same thing."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct().agg(F.count_distinct(a).alias("levels_a"), F.count_distinct(b).alias("levels_b"), F.count("*").alias("pairs"))
+    return d.withColumn("bijective", (F.col("levels_a") == F.col("pairs")) & (F.col("levels_b") == F.col("pairs")))

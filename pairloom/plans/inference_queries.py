@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as inf
 from ..operators import models as ml
+from ..operators import validate as va
 from ..session import cut, table
 from .catalogue import query
 from .measure_queries import TOKENS, latest_tokens
@@ -67,6 +68,17 @@ def robust_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(row["term"], round(row["beta"], 4), round(row["se"], 4))], "term string, beta double, se double")
 
 
+@query("""WITH c AS (SELECT source_id, domain, count(*) AS n FROM pair_registry WHERE source_id IS NOT NULL AND domain IS NOT NULL GROUP BY ALL), g AS (SELECT a.source_id, b.domain FROM (SELECT DISTINCT source_id FROM c) a, (SELECT DISTINCT domain FROM c) b)
+SELECT source_id, domain, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'EMPTY' ELSE 'NEAR_SINGLETON' END AS verdict FROM g LEFT JOIN c USING (source_id, domain) WHERE coalesce(n, 0) < 100""")
+def thin_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va.identifiability(table(spark, sf_dir, "pair_registry"), "source_id", "domain", 100)
+
+
+@query("SELECT count(DISTINCT source_id) AS levels_a, count(DISTINCT logical_corpus) AS levels_b, count(*) AS pairs, count(DISTINCT source_id) = count(*) AND count(DISTINCT logical_corpus) = count(*) AS bijective FROM (SELECT DISTINCT source_id, logical_corpus FROM pair_registry WHERE source_id IS NOT NULL AND logical_corpus IS NOT NULL)")
+def source_corpus_bijection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va.bijection(table(spark, sf_dir, "pair_registry"), "source_id", "logical_corpus")
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """The cohort with numeric columns and one-hot factors, written once: models read it in several passes."""
     d = cut(cohort(spark, sf_dir))

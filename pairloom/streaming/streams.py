@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -40,3 +40,20 @@ def first_seen(df: DataFrame, key: str, at: str, late: str = "1 day") -> DataFra
 def to_parquet(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """An exactly-once file sink that ends when all files there now are read."""
     return df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """``df`` with metrics that a listener receives as rows pass, in batch and stream, at no further scan."""
+    return df.observe(name, *(m.alias(k) for k, m in metrics.items()))
+
+
+def eta(done: int, total: int, seconds: float) -> dict[str, float | None]:
+    """Rate and time left; both null before anything is done."""
+    rate = done / seconds if seconds > 0 and done > 0 else None
+    return {"rows_per_second": rate, "seconds_left": (total - done) / rate if rate else None}
+
+
+def liveness(age: str | Column, stale: float = 60, dead: float = 600) -> Column:
+    """LIVE, STALE or DEAD by the seconds since a snapshot; UNKNOWN for null."""
+    a = F.col(age) if isinstance(age, str) else age
+    return F.when(a.isNull(), "UNKNOWN").when(a < stale, "LIVE").when(a < dead, "STALE").otherwise("DEAD")

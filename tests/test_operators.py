@@ -205,3 +205,24 @@ def test_bootstrap_on_a_lattice_is_degenerate(spark):
     assert inf.median_bootstrap(d, "x", 300, by=["s"])["median"] == 4 / 3
     with pytest.raises(ValueError):
         inf.median_bootstrap(d, "x", 10, most_values=2)
+
+
+def test_contract_problems():
+    assert va.contract_problems({"a": 1, "b": 2}, {"v": (1, 1)}, {"write": False}) == []
+    assert len(va.contract_problems({"a": -1, "b": -1, "c": True}, {"v": (1, 2)}, {"write": True})) == 6
+
+
+def test_liveness_and_eta(spark):
+    from pairloom.streaming import streams as ss
+
+    d = spark.createDataFrame([(1.0,), (100.0,), (1000.0,), (None,)], "age double")
+    assert [r[0] for r in d.select(ss.liveness("age")).collect()] == ["LIVE", "STALE", "DEAD", "UNKNOWN"]
+    assert ss.eta(50, 100, 10) == {"rows_per_second": 5.0, "seconds_left": 10.0} and ss.eta(0, 5, 1)["seconds_left"] is None
+
+
+def test_decoded_tokens(spark):
+    from pairloom.functions import tokenizer as tk
+
+    d = tk.with_token_ids(spark.createDataFrame([("hello 가",), (None,)], "t string"), {"": "t"}).withColumn("d", tk.decoded_tokens("token_ids"))
+    shown = d.first().d
+    assert b"".join(bytes.fromhex(x.split(":")[1]) for x in shown).decode() == "hello 가"
