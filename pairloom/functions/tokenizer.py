@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,8 +157,6 @@ def with_chunk_tokens(df: DataFrame, texts: dict[str, str], path: str | None = N
 
 def decoded_tokens(ids: str | Column, path: str | None = None, most: int = 32) -> Column:
     """The first ``most`` tokens as ``id:hex`` of their bytes, for audits; unknown ids show no bytes."""
-    import pandas as pd
-
     where = vocabulary_path(path)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
