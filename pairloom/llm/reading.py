@@ -24,6 +24,7 @@ from ..session import cut
 from . import tokens
 
 MOST_LABELLED = 20_000  # rated documents a language's model is trained on; beyond it a sample by hash of the id
+MOST_BROADCAST = 1_000_000  # ratings of 16 bytes each
 LEXICON_BITS = 16  # words share 2**16 difficulty cells
 FOLDS = 5
 ROUNDS, DEPTH, RATE, LEAF, SHRINK = 120, 4, 0.08, 12, 4.0
@@ -203,7 +204,10 @@ def _main_language(text: str) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """A row with ``language, model`` for each language, and one with ``language, doc_id, source, rating, held_out`` for each training document."""
-    rated = documents.where("text is not null").dropDuplicates(["doc_id"]).join(median_ratings(labels), "doc_id")
+    ratings = cut(median_ratings(labels))
+    # Few ratings go to the documents, so that only rated texts move; beyond the bound both sides are shuffled.
+    ratings = F.broadcast(ratings) if ratings.count() <= MOST_BROADCAST else ratings
+    rated = documents.where("text is not null").join(ratings, "doc_id").dropDuplicates(["doc_id"])
     rated = rated.select("doc_id", tokens.source_key("source").alias("source"), "text", "rating", _main_language("text").alias("language")).where("language is not null")
     # A bounded sample for each language: the smallest hashes of the ids, without gathering a language's rows anywhere first.
     counts = rated.groupBy("language").agg(F.count("*").alias("_n"))
@@ -235,7 +239,7 @@ def reading_levels(documents: DataFrame, trained: DataFrame) -> DataFrame:
     """
     models = {r.language: r.model for r in trained.where("model is not null").select("language", "model").collect()}  # one row a language
     shared = documents.sparkSession.sparkContext.broadcast(models)
-    rows = documents.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", _main_language("text").alias("language"), "text")
+    rows = documents.where("doc_id is not null").select("doc_id", _main_language("text").alias("language"), "text")
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("language", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("reading_level", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +256,9 @@ def reading_levels(documents: DataFrame, trained: DataFrame) -> DataFrame:
             level = np.clip(np.floor(np.where(known, score, 1) + 0.5), 1, 6).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, mask=~known), pa.array(level, mask=~known)], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    # Repeated ids are merged once their texts are mere numbers: no text is shuffled.
+    best = F.max(F.struct("score", "reading_level", "language")).alias("m")
+    return rows.mapInArrow(run, schema).groupBy("doc_id").agg(best).select("doc_id", "m.language", "m.score", "m.reading_level")
 
 
 def level_profile(documents: DataFrame, levels: DataFrame) -> DataFrame:
