@@ -80,8 +80,9 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHAR
     like others (``piece`` counts from 0). Documents without tokens go along with others.
     Repeated ids are packed once; null ids are left out; null text has no tokens.
     """
-    ids = documents.where(F.col(doc).isNotNull()).dropDuplicates([doc]).select(F.col(doc).alias("_d"), F.col(text).alias("_t"))
-    sized = cut(tokens.with_tokens(ids, "_t", "n", vocabulary))
+    ids = documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("_d"), F.col(text).alias("_t"))
+    # Repeated ids are merged once their texts are mere numbers: no text is shuffled.
+    sized = cut(tokens.with_tokens(ids, "_t", "n", vocabulary).groupBy("_d").agg(F.max("n").alias("n")))
     full = F.floor(F.col("n") / capacity)
     whole = sized.where(full > 0).select("_d", F.posexplode(F.sequence(F.lit(1), full)).alias("piece", "_x"), F.lit(capacity).cast("long").alias("n")).drop("_x")
     own = F.concat(F.lit("full-"), F.col("_d").cast("string"), F.lit("-"), F.col("piece").cast("string"))
