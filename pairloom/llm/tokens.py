@@ -146,8 +146,11 @@ def document_budget(documents: DataFrame, vocabulary: str | None = None, doc: st
     Spellings of a source are one, named by the commonest. Null sources and domains
     are groups of their own; rows with a null id are left out.
     """
-    rows = documents.where(F.col(doc).isNotNull()).dropDuplicates([doc]).select(source_key(source).alias("_key"), F.col(source).alias("source"), language(text).alias("language"), F.col(domain).alias("domain"), F.col(text).alias("_text"))
-    spelled = cut(with_tokens(rows, "_text").groupBy("_key", "source", "language", "domain").agg(F.count("*").alias("n_texts"), F.sum("tokens").alias("tokens")))
+    what = ("_key", "source", "language", "domain", "tokens")
+    rows = documents.where(F.col(doc).isNotNull()).select(F.col(doc).alias("_d"), source_key(source).alias("_key"), F.col(source).alias("source"), language(text).alias("language"), F.col(domain).alias("domain"), F.col(text).alias("_text"))
+    # Repeated ids are merged once their texts are mere numbers: no text is shuffled.
+    once = with_tokens(rows, "_text").groupBy("_d").agg(F.max(F.struct(*what)).alias("m")).select("m.*")
+    spelled = cut(once.groupBy("_key", "source", "language", "domain").agg(F.count("*").alias("n_texts"), F.sum("tokens").alias("tokens")))
     names = spelled.groupBy("_key", "source").agg(F.sum("n_texts").alias("n")).groupBy("_key").agg(F.max_by("source", F.struct("n", "source")).alias("name"))
     totals = spelled.groupBy("_key", "language", "domain").agg(F.sum("n_texts").alias("n_texts"), F.sum("tokens").alias("tokens"))
     return totals.alias("t").join(names.alias("n"), F.col("t._key").eqNullSafe(F.col("n._key"))).select(F.col("n.name").alias("source"), "language", "domain", "n_texts", "tokens")
