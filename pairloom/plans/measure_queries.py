@@ -12,9 +12,6 @@ from ..operators.relations import latest_rows
 from ..session import table
 from .catalogue import query
 
-BASE = "split_part(m.pos, '-', 1)"
-MORPH_KEY = "pair_id, measured_at, morph_measurement_id, analysis_warning_reason"
-
 
 def _latest_morphs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     return latest_rows(table(spark, sf_dir, "morph_features"), "pair_id", "measured_at", ["morpheme_count", "morpheme_density"], columns)

@@ -101,15 +101,15 @@ def code_like_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("alternative").agg(F.sum("m").alias("matches"), F.count_if((F.col("m") == 1) & (F.col("s") == 1)).alias("sole"))
 
 
-NOISE = {k: (tx.HTML_LIKE, r"<[A-Za-z/!][^>\n]{0,200}>") for k in ("html_like",)} | {
-    "url_like": (tx.URL_LIKE, tx.URL_LIKE), "email_like": (tx.EMAIL_LIKE, tx.EMAIL_LIKE), "control_character": (tx.CONTROL, tx.CONTROL), "zero_width": (tx.ZERO_WIDTH, tx.ZERO_WIDTH),
-    "repeated_whitespace": (r"[ \t]{2,}", r"[ \t]{2,}"), "newline_or_tab": (r"[\n\r\t]", r"[\n\r\t]"), "replacement_character": ("�", "�"),
+NOISE = {
+    "html_like": tx.HTML_LIKE, "url_like": tx.URL_LIKE, "email_like": tx.EMAIL_LIKE, "control_character": tx.CONTROL, "zero_width": tx.ZERO_WIDTH,
+    "repeated_whitespace": r"[ \t]{2,}", "newline_or_tab": r"[\n\r\t]", "replacement_character": "�",
 }
 
 
 @query(
     "SELECT side, flag, sum(m::INT)::BIGINT AS n FROM ("
-    + " UNION ALL ".join(f"SELECT '{s}' AS side, '{k}' AS flag, regexp_matches({s}_text_raw, '{p}') AS m FROM pair_registry" for s in ("ko", "en") for k, (_, p) in NOISE.items())
+    + " UNION ALL ".join(f"SELECT '{s}' AS side, '{k}' AS flag, regexp_matches({s}_text_raw, '{p}') AS m FROM pair_registry" for s in ("ko", "en") for k, p in NOISE.items())
     + " UNION ALL SELECT 'ko', 'expected_script_absent', length(ko_text_raw) > 0 AND NOT regexp_matches(ko_text_raw, '[가-힣ㄱ-ㅎㅏ-ㅣ]') FROM pair_registry"
     + " UNION ALL SELECT 'en', 'expected_script_absent', length(en_text_raw) > 0 AND NOT regexp_matches(en_text_raw, '[A-Za-z]') FROM pair_registry) GROUP BY side, flag"
 )
@@ -132,26 +132,26 @@ def raw_noise_flags_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = {
-    "codepoints_positive": ("ko_codepoint_count <= 0 OR en_codepoint_count <= 0", None),
-    "bytes_below_codepoints": ("ko_utf8_bytes < ko_codepoint_count OR en_utf8_bytes < en_codepoint_count", None),
-    "bytes_above_four_per_codepoint": ("ko_utf8_bytes > 4 * ko_codepoint_count OR en_utf8_bytes > 4 * en_codepoint_count", None),
-    "graphemes_above_codepoints": ("ko_grapheme_count > ko_codepoint_count OR en_grapheme_count > en_codepoint_count", None),
-    "runs_above_whitespace": ("ko_space_run_count > ko_whitespace_count OR en_space_run_count > en_whitespace_count", None),
-    "lexical_zero": ("ko_eojeol_count = 0 OR en_word_count = 0", None),
-    "lexical_above_runs": ("ko_eojeol_count > ko_space_run_count + 1 OR en_word_count > en_space_run_count + 1", None),
-    "share_out_of_range": (" OR ".join(f"{s}_{k}_share < 0 OR {s}_{k}_share > 1" for s in ("ko", "en") for k in ("hangul", "latin", "digit", "punctuation", "symbol_other")), None),
-    "shares_not_one": (" OR ".join(f"abs({s}_hangul_share + {s}_latin_share + {s}_digit_share + {s}_punctuation_share + {s}_symbol_other_share + {s}_whitespace_density - 1) > 1e-9" for s in ("ko", "en")), None),
-    "switch_without_types": ("(ko_script_type_count < 2 AND ko_script_switch_count > 0) OR (en_script_type_count < 2 AND en_script_switch_count > 0)", None),
-    "density_definition": (" OR ".join(f"abs({s}_whitespace_density - {s}_whitespace_count / {s}_codepoint_count) > 1e-12" for s in ("ko", "en")), None),
-    "bytes_per_codepoint_definition": (" OR ".join(f"abs({s}_bytes_per_codepoint - {s}_utf8_bytes / {s}_codepoint_count) > 1e-12" for s in ("ko", "en")), None),
-    "pair_ratio_definition": ("abs(pair_codepoint_ratio - ko_codepoint_count / en_codepoint_count) > 1e-12", None),
-    "pair_diff_definition": ("pair_codepoint_diff <> ko_codepoint_count - en_codepoint_count", None),
+    "codepoints_positive": "ko_codepoint_count <= 0 OR en_codepoint_count <= 0",
+    "bytes_below_codepoints": "ko_utf8_bytes < ko_codepoint_count OR en_utf8_bytes < en_codepoint_count",
+    "bytes_above_four_per_codepoint": "ko_utf8_bytes > 4 * ko_codepoint_count OR en_utf8_bytes > 4 * en_codepoint_count",
+    "graphemes_above_codepoints": "ko_grapheme_count > ko_codepoint_count OR en_grapheme_count > en_codepoint_count",
+    "runs_above_whitespace": "ko_space_run_count > ko_whitespace_count OR en_space_run_count > en_whitespace_count",
+    "lexical_zero": "ko_eojeol_count = 0 OR en_word_count = 0",
+    "lexical_above_runs": "ko_eojeol_count > ko_space_run_count + 1 OR en_word_count > en_space_run_count + 1",
+    "share_out_of_range": " OR ".join(f"{s}_{k}_share < 0 OR {s}_{k}_share > 1" for s in ("ko", "en") for k in ("hangul", "latin", "digit", "punctuation", "symbol_other")),
+    "shares_not_one": " OR ".join(f"abs({s}_hangul_share + {s}_latin_share + {s}_digit_share + {s}_punctuation_share + {s}_symbol_other_share + {s}_whitespace_density - 1) > 1e-9" for s in ("ko", "en")),
+    "switch_without_types": "(ko_script_type_count < 2 AND ko_script_switch_count > 0) OR (en_script_type_count < 2 AND en_script_switch_count > 0)",
+    "density_definition": " OR ".join(f"abs({s}_whitespace_density - {s}_whitespace_count / {s}_codepoint_count) > 1e-12" for s in ("ko", "en")),
+    "bytes_per_codepoint_definition": " OR ".join(f"abs({s}_bytes_per_codepoint - {s}_utf8_bytes / {s}_codepoint_count) > 1e-12" for s in ("ko", "en")),
+    "pair_ratio_definition": "abs(pair_codepoint_ratio - ko_codepoint_count / en_codepoint_count) > 1e-12",
+    "pair_diff_definition": "pair_codepoint_diff <> ko_codepoint_count - en_codepoint_count",
 }
 
 
-@query("SELECT rule, n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {p.replace(' / ', ' * 1.0::DOUBLE / ')}) AS n FROM rep_features" for k, (p, _) in RULES.items()) + ")")
+@query("SELECT rule, n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (WHERE {p.replace(' / ', ' * 1.0::DOUBLE / ')}) AS n FROM rep_features" for k, p in RULES.items()) + ")")
 def feature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ag.counts_of(table(spark, sf_dir, "rep_features"), {k: F.expr(p.replace("1e-", "1e-")) for k, (p, _) in RULES.items()})
+    return ag.counts_of(table(spark, sf_dir, "rep_features"), {k: F.expr(p) for k, p in RULES.items()})
 
 
 @query(
