@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import text as tx
 
 # Thresholds and the pattern of markup.
 MARKUP = r"</?[A-Za-z][^>]*>|https?://[^\s]+|www\.[^\s]+|[A-Za-z_][A-Za-z0-9_]*\([^)]*\)"
 MARKUP_SHARE, CONTROL_SHARE, DIGIT_SHARE, PUNCT_SHARE, SCRIPT_SHARE, EVIDENCE, STRATA = 0.5, 0.05, 0.20, 0.20, 0.10, 5, 5
+PREFIX = 7  # characters of a key that part the rows of one length
 HARD_FLAGS = ("empty_text_flag", "decode_integrity_flag", "markup_dominant_flag", "control_char_excess_flag", "exact_duplicate_flag")
 PRIMARY = ("025", "026")
 
@@ -61,19 +63,25 @@ def rejection(flags: dict[str, Column]) -> dict[str, Column]:
 def length_strata(df: DataFrame, length: Column, key: str, n: int = STRATA, out: str = "length_quintile") -> DataFrame:
     """Equal-sized strata of the total order of ``length`` and ``key``, the first ones one row longer.
 
-    An ntile window would gather all rows in one task. Here lengths are counted, the
-    counts (as many rows as there are lengths) give each length its first rank, and
-    ranks are numbered within lengths only; a stratum follows from the rank.
+    An ntile window would gather all rows in one task. Here rows are counted by length and
+    by the first characters of a text key, the counts give each such part its first rank,
+    and rows are numbered within parts only; a stratum follows from the rank. Parts keep
+    a length that very many rows share from being sorted in one task.
     """
-    d = df.withColumn("_len", length)
-    sizes = d.groupBy("_len").agg(F.count("*").alias("_c"))
-    first = sizes.select(F.col("_len").alias("_l"), (F.sum("_c").over(Window.orderBy("_len")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("_total"))
-    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_len").orderBy(key))).join(first, F.col("_len").eqNullSafe(F.col("_l")))
+    part = F.substring(key, 1, PREFIX) if isinstance(df.schema[key].dataType, StringType) else F.lit("")
+    d = df.withColumns({"_len": length, "_part": part})
+    sizes = d.groupBy("_len", "_part").agg(F.count("*").alias("_c"))
+    per = sizes.groupBy("_len").agg(F.sum("_c").alias("_n"))
+    lens = per.select(F.col("_len").alias("_l"), (F.sum("_n").over(Window.orderBy("_len")) - F.col("_n")).alias("_below"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    inside = F.sum("_c").over(Window.partitionBy("_len").orderBy("_part")) - F.col("_c")
+    first = sizes.select("_len", F.col("_part").alias("_p"), inside.alias("_inside")).join(lens, F.col("_len").eqNullSafe(F.col("_l"))).select("_l", "_p", "_total", (F.col("_below") + F.col("_inside")).alias("_before"))
+    ranked = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_len", "_part").orderBy(key)))
+    ranked = ranked.join(first, F.col("_len").eqNullSafe(F.col("_l")) & F.col("_part").eqNullSafe(F.col("_p")))
     rank = F.col("_before") + F.col("_rn") - 1
     base, extra = F.floor(F.col("_total") / n), F.col("_total") % n
     in_long = rank < extra * (base + 1)
     stratum = F.when(in_long, F.floor(rank / (base + 1))).otherwise(extra + F.floor((rank - extra * (base + 1)) / F.greatest(base, F.lit(1)))) + 1
-    return ranked.withColumn(out, stratum.cast("int")).drop("_len", "_l", "_before", "_total", "_rn")
+    return ranked.withColumn(out, stratum.cast("int")).drop("_len", "_part", "_l", "_p", "_before", "_total", "_rn")
 
 
 def analysis_representative(df: DataFrame, group: str, key: str, eligible: Column) -> DataFrame:

@@ -51,3 +51,11 @@ def test_fewer_rows_than_strata_and_none(spark):
 def test_existing_columns_are_replaced(spark):
     d = registry(spark, [("안녕하세요", "hello you")]).withColumn("empty_text_flag", F.lit("clash"))
     assert ql.quality_columns(d).first().empty_text_flag is False
+
+
+def test_strata_with_hot_length_null_length_and_number_key(spark):
+    d = spark.createDataFrame([(i, f"pair_{i * 7919 % 4096:04x}", "same" if i % 3 else None) for i in range(300)], "n long, k string, t string")
+    d.createOrReplaceTempView("hot")
+    for key in ("k", "n"):
+        want = {tuple(r) for r in spark.sql(f"SELECT {key}, ntile(5) OVER (ORDER BY length(t), {key}) AS q FROM hot").collect()}
+        assert {tuple(r) for r in ql.length_strata(d, F.length("t"), key).select(key, "length_quintile").collect()} == want
