@@ -107,3 +107,8 @@ def select_percentiles(pieces: DataFrame, by: list[str], percentiles: tuple[floa
     return step.select(*(F.col(n).alias(c) for c, n in named.items()), F.col("p").alias("percentile"), value.alias("value"), F.col("total").alias("n"), bound.alias("error_bound"))
 
 
+
+
+def readable(pieces: DataFrame) -> DataFrame:
+    """Pieces with the value that their digits stand for in place of the digits."""
+    return pieces.withColumn("value", _value("digits")).drop("digits")

@@ -41,6 +41,26 @@ SELECT domain, length_stratum, percentile, round(qs[i], 9) AS value, n, 0.0::DOU
 """
 
 
+@query
+def p1_day_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves: what each day of measurement adds to and takes from each group's values."""
+    by = ["domain", "length_stratum"]
+    pieces = percentiles.day_pieces(table(spark, sf_dir, "morph_features"), table(spark, sf_dir, "pair_registry"), by, "pair_id", "morpheme_density", "measured_at")
+    return percentiles.readable(pieces).withColumn("day", F.col("day").cast("string"))
+
+
+ORACLE_SQL["p1_day_pieces"] = """
+WITH r AS (
+  SELECT pair_id, (measured_at AT TIME ZONE 'UTC')::DATE AS day, morpheme_density AS x,
+         row_number() OVER (PARTITION BY pair_id, (measured_at AT TIME ZONE 'UTC')::DATE ORDER BY measured_at DESC, morpheme_density DESC NULLS LAST) AS k
+  FROM morph_features WHERE pair_id IS NOT NULL AND measured_at IS NOT NULL),
+d AS (SELECT *, lead(day) OVER (PARTITION BY pair_id ORDER BY day) AS gone FROM r WHERE k = 1),
+s AS (SELECT pair_id, day, x, 1 AS n FROM d UNION ALL SELECT pair_id, gone, x, -1 FROM d WHERE gone IS NOT NULL)
+SELECT day::VARCHAR AS day, domain, length_stratum, x AS value, sum(n)::BIGINT AS n FROM s JOIN pair_registry USING (pair_id)
+WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL HAVING sum(n) <> 0
+"""
+
+
 @query
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garble.garbled_sides(table(spark, sf_dir, "pair_registry"))
