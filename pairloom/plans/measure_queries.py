@@ -9,7 +9,7 @@ from ..functions import morphology as mo
 from ..functions import tokenizer as tk
 from ..operators import aggregate as ag
 from ..operators.relations import latest_rows
-from ..session import table
+from ..session import spread, table
 from .catalogue import query
 
 
@@ -111,7 +111,7 @@ def token_id_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def encoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides under the offline vocabulary: token counts, round trip, and the exact decomposition."""
-    d = table(spark, sf_dir, "pair_registry").select("pair_id", "ko_text_analysis", "en_text_analysis")
+    d = spread(table(spark, sf_dir, "pair_registry").select("pair_id", "ko_text_analysis", "en_text_analysis"))
     d = tk.with_token_ids(d, {"ko_": "ko_text_analysis", "en_": "en_text_analysis"})
     d = d.select("pair_id", (F.col("ko_roundtrip_ok") & F.col("en_roundtrip_ok")).alias("roundtrip_ok"), *(c for s in ("ko", "en") for c in (F.size(f"{s}_token_ids").alias(f"{s}_tokens"), F.length(f"{s}_text_analysis").alias(f"{s}_codepoints"), F.octet_length(f"{s}_text_analysis").alias(f"{s}_bytes"))))
     return d.select("pair_id", "roundtrip_ok", "ko_tokens", "en_tokens", *(c.alias(k) for k, c in tk.decomposition().items()))
@@ -120,7 +120,7 @@ def encoded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of the tokenizer's pattern: do they tile the text, and are their tokens the whole text's?"""
-    d = table(spark, sf_dir, "pair_registry").select("pair_id", "ko_text_analysis", "en_text_analysis")
+    d = spread(table(spark, sf_dir, "pair_registry").select("pair_id", "ko_text_analysis", "en_text_analysis"))
     d = tk.with_chunk_tokens(d, {"ko_": "ko_text_analysis", "en_": "en_text_analysis"})
     return d.select(
         "pair_id", *(x.alias(n) for s in ("ko", "en") for n, x in (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators.relations import latest_rows
-from ..session import table
+from ..session import spread, table
 from .catalogue import query
 
 WS = r"\t-\r \x{85}\p{Z}"
@@ -47,7 +47,7 @@ def _shown(column: str, prefix: str) -> list:
 
 @query(f"SELECT pair_id, {_features_sql('ko_text_analysis', 'ko_')}, {_features_sql('en_text_analysis', 'en_')} FROM pair_registry")
 def side_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pair_registry").select("pair_id", *_shown("ko_text_analysis", "ko_"), *_shown("en_text_analysis", "en_"))
+    return spread(table(spark, sf_dir, "pair_registry").select("pair_id", "ko_text_analysis", "en_text_analysis")).select("pair_id", *_shown("ko_text_analysis", "ko_"), *_shown("en_text_analysis", "en_"))
 
 
 @query(

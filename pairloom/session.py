@@ -52,4 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["StorageLevel", "build_session", "cut", "shared_dir", "table"]
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for costly expressions over an input of fewer partitions than cores; else ``df`` as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+__all__ = ["StorageLevel", "build_session", "cut", "shared_dir", "spread", "table"]
