@@ -27,68 +27,82 @@ def hangul(ws: list[str]) -> int:
 
 
 def edits(a: list[str], b: list[str], most: int) -> int:
-    """Words dropped, added or replaced between two word lists, at most ``most`` + 1; words joined or parted cost nothing."""
-    i = 0
-    while i < len(a) and i < len(b) and a[i] == b[i]:
-        i += 1
-    a, b = a[i:], b[i:]
-    i = 0
-    while i < len(a) and i < len(b) and a[-1 - i] == b[-1 - i]:
-        i += 1
-    if i:
-        a, b = a[:-i], b[:-i]
-    if "".join(a) == "".join(b):
+    """Words dropped, added or replaced between two word lists, at most ``most`` + 1; words joined or parted, however many, cost nothing.
+
+    The texts are aligned without blanks. An edit takes a stretch of at most one word of each
+    text away; it starts and ends where a word of either text does, so a word changed inside
+    joined words costs one.
+    """
+    if a == b or "".join(a) == "".join(b):
         return 0
-    if most == 0:
-        return 1
-    # Bands of growing width: long texts with few changes take time in proportion to length and changes.
-    limit = 4
+    # Growing limits: long texts with few changes take time in proportion to length and changes.
+    limit = min(4, most)
     while True:
-        limit = min(limit, most)
-        got = _banded(a, b, limit)
+        got = _aligned(a, b, limit)
         if got <= limit or limit == most:
             return min(got, most + 1)
-        limit *= 2
-
-
-def _banded(a: list[str], b: list[str], most: int) -> int:
-    """Edits within a band of diagonals, ``most`` + 1 if they are more. Four rows are kept: a word may stand for three."""
-    n, m, far = len(a), len(b), most + 1
-    band = 2 * most + 6  # joined words shift the diagonal too
-    if abs(n - m) > 3 * band:
-        return far
-    rows: list[dict[int, int]] = []
-    low = 0  # a diagonal that joined words have shifted is followed
-    for x in range(n + 1):
-        row: dict[int, int] = {}
-        back = rows[-1] if rows else {}
-        for y in range(max(0, low + x - band), min(m, low + x + band) + 1):
-            best = 0 if x == y == 0 else min(back.get(y, far), row.get(y - 1, far)) + 1
-            if x and y:
-                best = min(best, back.get(y - 1, far) + (a[x - 1] != b[y - 1]))
-                for k in (2, 3):
-                    if x >= k and rows[-k].get(y - 1, far) < best:
-                        best = min(best, rows[-k].get(y - 1, far) + _joined(a[x - k : x], b[y - 1]))
-                    if y >= k and back.get(y - k, far) < best:
-                        best = min(best, back.get(y - k, far) + _joined(b[y - k : y], a[x - 1]))
-            if best < far:
-                row[y] = best
-        rows = [*rows[-2:], row]
-        if len(rows) == 3 and not any(rows):
-            return far
-        if row:
-            least = min(row.values())
-            low = sum(y for y, v in row.items() if v == least) // sum(v == least for v in row.values()) - x
-    return rows[-1].get(m, far)
-
-
-def _joined(parts: list[str], whole: str) -> int:
-    """What it costs that several words stand as one: nothing, or one replaced word in it."""
-    if "".join(parts) == whole:
-        return 0
-    if len(parts) == 2 and (whole.startswith(parts[0]) or whole.endswith(parts[1])):
-        return 1
-    return 99
+        limit = min(2 * limit, most)
+
+
+def _ends(ws: list[str]) -> list[int]:
+    """For each place in the text without blanks, where the word that it is in ends."""
+    out: list[int] = []
+    for w in ws:
+        out += [len(out) + len(w)] * len(w)
+    return out
+
+
+def _aligned(a: list[str], b: list[str], most: int) -> int:
+    """Edits, ``most`` + 1 if they are more: all places reached with no edit, then with one, and so on."""
+    x, y, ex, ey = "".join(a), "".join(b), _ends(a), _ends(b)
+    n, m = len(x), len(y)
+    wide_x, wide_y = max(map(len, a), default=0), max(map(len, b), default=0)
+    seen: set[tuple[int, int]] = set()
+    todo = [(0, 0)]
+    for cost in range(most + 1):
+        here = []
+        while todo:
+            at = todo.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            i, j = at
+            if i == n and j == m:
+                return cost
+            longer = (n - i) - (m - j)  # an edit evens out one word at most
+            if longer > (most - cost) * wide_x or -longer > (most - cost) * wide_y:
+                continue
+            here.append(at)
+            if i < n and j < m:
+                t = min(ex[i] - i, ey[j] - j)
+                if x[i : i + t] == y[j : j + t]:
+                    todo.append((i + t, j + t))
+        if cost < most:
+            for i, j in here:
+                if i < n:
+                    todo.append((ex[i], j))
+                if j < m:
+                    todo.append((i, ey[j]))
+                if i < n and j < m:
+                    todo.append((ex[i], ey[j]))
+                    todo += [(ex[i], k) for k in _resumed(y, j, ey[j], x, ex[i], ex)]
+                    todo += [(k, ey[j]) for k in _resumed(x, i, ex[i], y, ey[j], ey)]
+    return most + 1
+
+
+def _resumed(text: str, start: int, end: int, other: str, at: int, ends: list[int]) -> list[int]:
+    """Places inside a word of ``text`` from which it goes on like ``other`` does at ``at``, to the end of either word."""
+    if at == len(other):
+        return []
+    word, first = other[at : ends[at]], other[at]
+    out = []
+    k = text.find(first, start + 1, end)
+    while k >= 0:
+        t = min(len(word), end - k)
+        if text[k : k + t] == word[:t]:
+            out.append(k)
+        k = text.find(first, k + 1, end)
+    return out
 
 
 def far_apart(a: list[str], b: list[str], most: int) -> bool:

@@ -114,3 +114,41 @@ def test_report(spark, sf_dir):
     assert (r.e or 0) + (r.n or 0) == 2 * pairs.count()
     rows = [tuple(x) for x in d.select("pair_id", "ko_text_analysis", "en_text_analysis", "is_validation_upstream").collect()]
     assert sorted((x.pair_id_a, x.pair_id_b) for x in pairs.collect()) == brute(rows)
+
+
+def by_definition(a, b):
+    """Edits over all pairs of places: a stretch of at most one word of each text goes, from and to an end of a word of either."""
+    x, y = "".join(a), "".join(b)
+    cut_x, cut_y = ({sum(map(len, ws[:k])) for k in range(len(ws) + 1)} for ws in (a, b))
+    best = {(0, 0): 0}
+    for i in range(len(x) + 1):
+        for j in range(len(y) + 1):
+            if (v := best.get((i, j))) is None:
+                continue
+            if i < len(x) and j < len(y) and x[i] == y[j]:
+                best[i + 1, j + 1] = min(v, best.get((i + 1, j + 1), v))
+            if i in cut_x or j in cut_y:
+                for p in range(i, min([c for c in cut_x if c > i], default=i) + 1):
+                    for q in range(j, min([c for c in cut_y if c > j], default=j) + 1):
+                        if (p, q) != (i, j) and (p in cut_x or q in cut_y):
+                            best[p, q] = min(v + 1, best.get((p, q), v + 1))
+    return best[len(x), len(y)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab", min_size=1, max_size=4), max_size=7), st.lists(st.text("abc", min_size=1, max_size=7), max_size=5))
+def test_edits_by_definition(a, b):
+    assert edits(a, b, 9) == edits(b, a, 9) == min(by_definition(a, b), 10)
+
+
+def test_any_number_of_words_may_be_joined():
+    whole = words("작년 후소서군 가게 증폭기가 910미터 재미있는 창구를 구입했습니까")
+    assert edits(whole, words("작년후소서군 증폭기가910미터재미있는창구를구입했습니까"), 3) == 1  # a word dropped, five joined
+    assert edits(whole, words("작년후소서군시장증폭기가910미터재미있는창구를구입했습니까"), 3) == 1  # a word replaced inside eight
+    assert edits(whole, words("작년후소서군시장증폭기가910미터재미있는창문을구입했습니까"), 3) == 2
+
+
+def test_joined_record_with_a_dropped_word_is_found(spark):
+    en = "Did Husoseo County purchase the amusing window 910 meters from the amplifier shop last year"
+    rows = [("v", "작년 후소서군 가게 증폭기가 910미터 재미있는 창구를 구입했습니까", en, True), ("t", "작년후소서군 증폭기가910미터재미있는창구를구입했습니까", en, False)]
+    assert found(spark, rows) == [("t", "v")]
