@@ -176,19 +176,20 @@ def clean_pieces(texts: DataFrame) -> DataFrame:
 
 
 def _suspects(texts: DataFrame) -> DataFrame:
-    """``id, side, unit``: units that may be garbled, once for each text."""
-    schema = T.StructType([texts.schema["id"], texts.schema["side"], T.StructField("unit", T.StringType())])
+    """``id, side, copy, unit, plain``: units that may be garbled, once for each text; ``copy`` is the same for texts that differ in blanks, case and ASCII marks only, ``plain``: the unit may also be a genuine word."""
+    schema = T.StructType([texts.schema["id"], texts.schema["side"], T.StructField("copy", T.LongType()), T.StructField("unit", T.StringType()), T.StructField("plain", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, units = [], []
-            for i, t in enumerate(b.column(2).to_pylist()):
+            for i, t in enumerate(b.column(3).to_pylist()):
                 own = {unit(x) for x in TOKEN.findall(t) if not x.isascii() and SUSPICIOUS.search(x)} - {""}
                 rows += [i] * len(own)
                 units += own
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int32())) for c in (0, 1)), pa.array(units, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(rows, pa.int32())) for c in (0, 1, 2)), pa.array(units, pa.string()), pa.array(map(clean, units), pa.bool_())], names=schema.names)
 
-    return texts.where(F.col("text").rlike(JVM_SUSPICIOUS)).select("id", "side", "text").mapInArrow(run, schema)
+    copy = F.xxhash64("side", F.lower(F.regexp_replace("text", r"[\s\p{Punct}]+", ""))).alias("copy")
+    return texts.where(F.col("text").rlike(JVM_SUSPICIOUS)).select("id", "side", copy, "text").mapInArrow(run, schema)
 
 
 def _forms(known: DataFrame, sieve: object, kinds: tuple[str, ...]) -> DataFrame:
@@ -232,22 +233,29 @@ def garbled_units(texts: DataFrame) -> DataFrame:
     """
     known = cut(clean_pieces(texts))
     spots = cut(_suspects(texts))
-    units = cut(spots.groupBy("unit").agg(F.count("*").alias("times")))
+    units = cut(spots.groupBy("unit").agg(F.count_distinct("copy").alias("times"), F.bool_or("plain").alias("plain")))
     # Whole words first.
     forms = _forms(known, _sieve(units, "unit"), ("word",))
-    words = cut(
-        units.join(forms.withColumnRenamed("form", "unit"), "unit")
-        .where("unit <> original and times <= n")  # a garbled word is no commoner than the word itself
-        .groupBy("unit")
-        .agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original", F.negative("chain"))).alias("best"), (F.count_distinct("original") == 1).alias("sure"))
-        .select("unit", "best.original", "best.chain", "sure")
-    )
+    matches = cut(units.join(forms.withColumnRenamed("form", "unit"), "unit").where("unit <> original"))
+    best = lambda d, *by: d.groupBy("unit", *by).agg(F.max_by(F.struct("original", "chain"), F.struct("n", "original", F.negative("chain"))).alias("best"), (F.count_distinct("original") == 1).alias("sure"))
+    # What reads like a word is garbled if it stands in no more texts, copies aside, than the word itself.
+    words = cut(best(matches.where("times <= n or not plain")).select("unit", "best.original", "best.chain", "sure"))
     # Words that nobody wrote correctly: by the forms of their parts.
-    parts = cut(units.join(words, "unit", "left_anti").mapInArrow(_part_rows, "part string, unit string"))
+    parts = cut(units.join(words, "unit", "left_anti").select("unit").mapInArrow(_part_rows, "part string, unit string"))
     part_forms = _forms(known, _sieve(parts, "part"), ("pair", "char"))
     by_part = parts.join(part_forms.withColumnRenamed("form", "part"), "part").groupBy("unit").agg(F.max_by("chain", F.struct(F.length("part"), "n", F.negative("chain"))).alias("chain"))
     found = words.unionByName(by_part.select("unit", F.lit(None).cast("string").alias("original"), "chain", F.lit(False).alias("sure")))
-    return spots.join(found, "unit").select("id", "side", "unit", "original", "chain", "sure")
+    here = spots.join(found, "unit").select("id", "side", "unit", "original", "chain", "sure")
+    # A commoner one is garbled where the same text holds another form of the same chain.
+    doubtful = best(matches.join(words, "unit", "left_anti").where(~F.contains("unit", F.lit("�"))), "chain").select("unit", "best.original", "chain", "sure")
+    there = cut(spots.join(doubtful, "unit").select("id", "side", "unit", "original", "chain", "sure"))
+    keys = there.select("id", "side", "chain").distinct()
+    shown = here.select("id", "side", "chain", "unit").join(keys, ["id", "side", "chain"], "left_semi").unionByName(there.select("id", "side", "chain", "unit"))
+    backed = shown.groupBy("id", "side", "chain").agg(F.count_distinct("unit").alias("_n")).where("_n > 1").drop("_n")
+    seconded = cut(
+        there.join(backed, ["id", "side", "chain"], "left_semi").groupBy("id", "side", "unit").agg(F.min_by(F.struct("original", "chain", "sure"), "chain").alias("m")).select("id", "side", "unit", "m.original", "m.chain", "m.sure")
+    )
+    return here.join(seconded, ["id", "side", "unit"], "left_anti").unionByName(seconded)
 
 
 def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,3 +52,21 @@ def test_round_trip_of_chains():
         if x and "�" not in x and (back := g.restored(x, chain)):
             assert g.garbled(back, chain) == x
     assert g.restored("��", g.CHAINS[0]) is None
+
+
+def test_copies_of_a_garbled_record_and_commoner_forms(spark):
+    chains = {" > ".join(f"{w} {r}" for w, r in c): c for c in g.CHAINS}
+    hot = g.garbled("café", chains["cp1252 mac_roman"])  # one clean "café" only
+    hanja = [g.garbled(x, chains["cp949 gb18030"]) for x in ("의자를", "마을이")]
+    # Copies count once, however spaced; two forms of one chain in a text need no frequency.
+    texts = [*CLEAN, *[f"We met at the {hot} today"] * 5, f"We  met at the {hot}, today.", *(f"{hanja[0]} {hanja[1]} {i}번" for i in range(6))]
+    got = {int(r.pair_id[1:]) for r in g.garbled_sides(table(spark, texts)).collect()}
+    assert got == set(range(len(CLEAN), len(texts)))
+    restored = {r.restored_text for r in g.repaired_sides(table(spark, texts)).collect()}
+    assert "We met at the café today" in restored and "의자를 마을이 0번" in restored
+
+
+def test_a_common_word_that_is_also_a_form_is_no_case(spark):
+    word = g.garbled("의자를", next(c for c in g.CHAINS if c == (("cp949", "gb18030"),)))
+    assert g.clean(word)
+    assert g.garbled_sides(table(spark, [*CLEAN, *(f"{word} {'가나다라마바'[i]} 번" for i in range(6))])).count() == 0
