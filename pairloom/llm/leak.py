@@ -22,7 +22,7 @@ from .fold import BASES, _powers, blocks, folder, scramble
 
 Q = 12  # codes in a gram; a Hangul syllable has two or three
 BLOCK_CODES = 4_000_000  # codes of items indexed and broadcast at once
-SEGMENT = 1_000_000  # characters of a document read at once
+SEGMENT = 1_000_000  # characters of a document read at once; the codes of the longest item before them are read again
 WORDS = {"ko": 8, "en": 12}  # consecutive words that make a leak
 FILTER_BITS = 22
 BASE = BASES[0]
@@ -156,16 +156,16 @@ def banded_distance(needle: np.ndarray, hay: np.ndarray, most: int, slack: int)
     return min(row.values(), default=most + 1)
 
 
-def _segments(text: str, overlap: int) -> Iterator[str]:
-    at = 0
-    while True:
-        end = at + SEGMENT
-        yield text[at:end]
-        if end >= len(text):
-            return
-        at = end - overlap
-        while at < end and not text[at].isspace():
-            at += 1
+def _stretches(text: str, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes, and whether a word starts, ends at each, of SEGMENT characters at a time, always with the last ``overlap`` codes before them."""
+    codes, starts, before = np.zeros(0, np.int32), np.zeros(0, bool), -2
+    for at in range(0, len(text), SEGMENT):
+        new, _, origin = folder().fold([text[at : at + SEGMENT]])
+        starts = np.concatenate([starts[max(0, len(starts) - overlap) :], np.diff(origin + at, prepend=before) > 1])
+        codes = np.concatenate([codes[max(0, len(codes) - overlap) :], new])
+        before = at + int(origin[-1]) if len(origin) else before
+        # A word that may go on beyond the last code is seen again with what follows.
+        yield codes, starts, np.append(starts[1:], at + SEGMENT >= len(text) or before < at + SEGMENT - 1) if len(codes) else starts
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, edits: int = 0, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", lang: str = "lang") -> DataFrame:
@@ -190,14 +190,19 @@ def leaked_items(documents: DataFrame, items: DataFrame, edits: int = 0, doc: st
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             name, asked_rows = shared.value
             index = _index(name, asked_rows, edits)
-            overlap = 3 * max((len(r[1]) for r in asked_rows), default=0) + 1000
+            # In codes, so that blanks and marks, however many, take nothing from the longest item.
+            overlap = max((len(i.codes) for i in index.items), default=0) + 2 * edits + Q + 1
             for b in batches:
                 texts, rows = [], []
+                got: list[tuple] = []
                 for r, t in enumerate(b.column(1).to_pylist()):
-                    for s in _segments(t, overlap):
-                        texts.append(s)
+                    if len(t) <= SEGMENT:
+                        texts.append(t)
                         rows.append(r)
-                got: list[tuple] = []
+                        continue
+                    for codes, begun, ended in _stretches(t, overlap):
+                        if len(codes) >= Q:
+                            got += [(index.items[x].id, r, n) for x, n in leaks(index, codes, begun, ended, edits).items()]
                 for i, j in blocks(texts):
                     codes, offsets, origin = folder().fold(texts[i:j])
                     apart = np.concatenate([[True], np.diff(origin) > 1, [True]]) if len(origin) else np.ones(1, bool)

@@ -192,3 +192,26 @@ def test_reading_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, rater string, reading_level int")
     assert [(r.doc_id, r.reading_level) for r in reading.reading_levels(d, reading.train(d, none)).collect()] == [(1, None)]
     assert reading.reading_levels(d.limit(0), reading.train(d.limit(0), none)).count() == 0
+
+
+def test_leaks_across_the_border_of_what_is_read_at_once(spark):
+    """Around the border there is no blank, or nothing but blanks."""
+    at = leak.SEGMENT - len(ITEM) // 2
+    docs = [(1, "가" * at + "." + ITEM.replace(" ", "") + "." + "나" * 3000), (2, "가" * (at - 10_000) + "\n" + ITEM.replace(" ", " " * 2_000) + " 끝"), (3, "가" * at + ITEM.replace(" ", "") + "나" * 3000)]
+    assert leaks(spark, docs) == [(1, 1), (1, 2)]
+
+
+def test_stretches_are_the_whole_text(monkeypatch):
+    text = "가나 다, abc.de  fg\n\n   h" * 9
+    codes, offsets, origin = leak.folder().fold([text])
+    apart = np.concatenate([[True], np.diff(origin) > 1, [True]])
+    for size in (3, 7, 50, 1000):
+        monkeypatch.setattr(leak, "SEGMENT", size)
+        done = 0
+        for got, begun, ended in leak._stretches(text, 12):
+            new = len(got) - min(12, done)
+            at = done + new - len(got)
+            done += new
+            assert np.array_equal(got, codes[at:done]) and np.array_equal(begun, apart[at:done])
+            assert np.array_equal(ended[:-1], apart[at + 1 : done]) and (not len(ended) or ended[-1] <= apart[done])
+        assert done == len(codes)
