@@ -74,7 +74,7 @@ def order_statistic_interval(df: DataFrame, x: Column | str) -> DataFrame:
 
 
 def median_bootstrap(df: DataFrame, x: Column | str, replicates: int = 2000, seed: int = 1, by: list[str] | None = None, most_values: int = 2_000_000) -> dict:
-    """``median, low, high``: percentile interval of resampled medians.
+    """``median, low, high``: the median of the data, and the percentile interval of resampled medians.
 
     A resample of rows is a multinomial draw over distinct values, so only their counts
     reach the driver; with more than ``most_values`` of them this is an error, not a
@@ -96,9 +96,12 @@ def median_bootstrap(df: DataFrame, x: Column | str, replicates: int = 2000, see
     total = int(run[0, -1]) if len(values) else 0
     pick = lambda r: values[(run < r).sum(axis=1)]
     medians = (pick((total + 1) // 2) + pick(total // 2 + 1)) / 2
-    own = np.repeat(values, np.bincount(np.searchsorted(values, rows["value"]), rows["n"]).astype(int)) if total < 10_000_000 else None
+    upto = np.zeros(len(values), np.int64)
+    np.add.at(upto, np.searchsorted(values, rows["value"]), rows["n"].to_numpy())
+    upto = upto.cumsum()
+    own = (values[np.searchsorted(upto, (total + 1) // 2)] + values[np.searchsorted(upto, total // 2 + 1)]) / 2
     low, high = np.percentile(medians, [2.5, 97.5])
-    return {"median": float(np.median(own)) if own is not None else float(np.median(medians)), "low": float(low), "high": float(high), "replicates": replicates, "n": total}
+    return {"median": float(own), "low": float(low), "high": float(high), "replicates": replicates, "n": total}
 
 
 def subset_stability(df: DataFrame, x: str, subsets: dict[str, Column]) -> DataFrame:

@@ -226,3 +226,9 @@ def test_decoded_tokens(spark):
     d = tk.with_token_ids(spark.createDataFrame([("hello 가",), (None,)], "t string"), {"": "t"}).withColumn("d", tk.decoded_tokens("token_ids"))
     shown = d.first().d
     assert b"".join(bytes.fromhex(x.split(":")[1]) for x in shown).decode() == "hello 가"
+
+
+def test_median_of_many_rows_is_that_of_the_data(spark):
+    d = spark.range(12_000_000).select((F.col("id") % 2).cast("double").alias("x"))
+    got = inf.median_bootstrap(d, "x", 301)
+    assert got["median"] == 0.5 and got["n"] == 12_000_000
