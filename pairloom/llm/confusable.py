@@ -23,8 +23,6 @@ from pyspark.sql import types as T
 from . import garble
 from .fold import LOOKALIKES, LOOSE, MARKS, invisible
 
-# Texts of these characters alone are in the consistent form: ASCII, syllables, ideographs, composed accents, typographic marks.
-JVM_UNUSUAL = r"[^\t\n\r -~가-힣一-鿿¡-¬®-ɏ‘’“”–—…€「」『』]"
 ALPHABETS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}][\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Mn}]*")
 PICTURE = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|[\U0001F3FB-\U0001F3FF]")
@@ -68,6 +66,13 @@ def ordinary(c: str) -> str:
     return ud.normalize("NFKC", c) if wide or form or presented else c
 
 
+# Texts of these characters alone are in the consistent form: ASCII, syllables, ideographs, composed accents less those that pass for other letters, typographic marks.
+_PASSING = [c for c in map(chr, range(0xA1, 0x250)) if c not in LOOKALIKES and ordinary(c) == c and not invisible(c)]
+# As ranges: the JVM is slow with a class of many single characters.
+ACCENTED = "".join((c if chr(ord(c) - 1) not in _PASSING else "") + ("" if chr(ord(c) + 1) in _PASSING else f"-{c}") for c in _PASSING)
+JVM_UNUSUAL = rf"[^\t\n\r -~가-힣一-鿿{ACCENTED}‘’“”–—…€「」『』]"
+
+
 def without_invisible(text: str) -> str:
     """The text less invisible characters; those that belong to emoji or to joining scripts stay, blank letters become blanks."""
     out, before = [], ""

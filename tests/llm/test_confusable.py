@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from pairloom.llm import confusable as c
@@ -44,3 +46,12 @@ def test_garbled_sides_are_left_out(spark):
     bad = garble.garbled(words, garble.CHAINS[0]) + " ​"
     d = spark.createDataFrame([("a", words, "x"), ("b", bad, "x"), ("c", words + "​", "x")], "pair_id string, ko_text_nfc string, en_text_nfc string").selectExpr("*", "ko_text_nfc as ko_text_analysis", "en_text_nfc as en_text_analysis")
     assert {tuple(r) for r in c.lookalike_sides(d).collect()} == {("c", "ko")}
+
+
+def test_the_prefilter_passes_nothing_that_changes(spark):
+    usual = re.compile(c.JVM_UNUSUAL)
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000 and not usual.match(chr(p))]
+    assert not [x for x in points if c.consistent(x) != (x, [])] and {"é", "ß", "·", "힣"} <= set(points)
+    d = spark.createDataFrame([(x, f"sea{x}e", "plain") for x in "ıſƖǀȷĲǆé"], "pair_id string, ko_text_nfc string, en_text_nfc string")
+    got = {r.pair_id: r.consistent_text for r in c.consistent_sides(d).where("side = 'ko' and size(reasons) > 0").collect()}
+    assert got == {x: c.consistent(f"sea{x}e")[0] for x in "ıſƖǀȷĲǆ"}
