@@ -1,7 +1,7 @@
 """Same or near-same records across splits.
 
 Exact overlap: hashes of canonical records, evaluation joined with training.
-Near overlap, without loss: of records with at most one word in ``share``
+Near overlap, without loss between texts with the same word breaks: of records with at most one word in ``share``
 changed on a side, the rarest words agree in at least three (prefix filter), so the
 hash of three of its rarest words joins each record with all of its near copies.
 As both sides must be near, a hash that is too common on one side counts only
