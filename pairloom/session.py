@@ -40,15 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, lost executors cost nothing.
 
     A reliable checkpoint() computes its input twice unless it is cached; a Parquet
-    table is written once and read by column, so it is used instead.
+    table is written once and read by column, so it is used instead. ``rows_per_file``:
+    for rows that are costly afterwards, so that small tables are read by many tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
