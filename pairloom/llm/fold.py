@@ -96,9 +96,10 @@ def folder() -> Folder:
 
 
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+INVERSE = np.uint64(pow(int(BASES[0]), -1, 1 << 64))
 
 
-def _powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
+def powers(base: np.uint64, n: int, cache: dict = {}) -> np.ndarray:  # noqa: B006
     have = cache.get(base)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
@@ -123,7 +124,7 @@ def poly_hashes(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         value = scramble(codes.astype(np.uint64) + np.uint64(1))
         for k, base in enumerate(BASES):
-            terms = value * _powers(base, int(size.max()) if n else 0)[place]
+            terms = value * powers(base, int(size.max()) if n else 0)[place]
             sums = np.concatenate([[np.uint64(0)], np.cumsum(terms)])
             out[k] = scramble(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64))
     return out

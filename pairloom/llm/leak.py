@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fold import BASES, _powers, blocks, folder, scramble
+from .fold import BASES, INVERSE, blocks, folder, powers, scramble
 
 Q = 12  # codes in a gram; a Hangul syllable has two or three
 BLOCK_CODES = 4_000_000  # codes of items indexed and broadcast at once
@@ -26,7 +26,6 @@ SEGMENT = 1_000_000  # characters of a document read at once; the codes of the l
 WORDS = {"ko": 8, "en": 12}  # consecutive words that make a leak
 FILTER_BITS = 22
 BASE = BASES[0]
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -34,9 +33,9 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     if len(codes) < q:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        terms = scramble(codes.astype(np.uint64) + np.uint64(1)) * _powers(BASE, len(codes))[: len(codes)]
+        terms = scramble(codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(codes))[: len(codes)]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(terms)])
-        return scramble((sums[q:] - sums[:-q]) * _powers(INVERSE, len(codes))[: len(codes) - q + 1])
+        return scramble((sums[q:] - sums[:-q]) * powers(INVERSE, len(codes))[: len(codes) - q + 1])
 
 
 class Item:

@@ -1,51 +1,46 @@
 """Same or near-same records across splits.
 
 Exact overlap: hashes of canonical records, evaluation joined with training.
-Near overlap, without loss between texts with the same word breaks: of records with at most one word in ``share``
-changed on a side, the rarest words agree in at least three (prefix filter), so the
-hash of three of its rarest words joins each record with all of its near copies.
-As both sides must be near, a hash that is too common on one side counts only
-together with a hash of the other. Candidates are then compared word by word.
+
+Near overlap, without loss. Two texts are near if at most K stretches, none above a word, are
+changed in the texts without blanks; K is a ``share``-th of the words of the text that has more
+words. So they agree in K + 1 fragments, of which the longest is at least F long, and the text
+with more words (the finer) knows K and F from itself. It is hashed at the greatest length of a
+fixed ladder that F reaches: for K = 0 as a whole; for K = 1 its beginning and its end; beyond,
+the winnowed grams, of which any fragment of that length holds one. The other text (the coarser,
+in which any words may be joined) is hashed so at all lengths that some finer text of the other
+split uses. Every record plays both parts, so near records always share a hash, whatever else is
+in the corpus. A hash shared by many records of both splits counts only together with one of the
+other side, which is also near and so is bound to share one too. Candidates are compared word by word.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .fold import scramble
-from .words import far_apart, hangul, near, words
+from .fold import BASES, INVERSE, powers, scramble
+from .sieve import Filling, merged, passes, sieve_of, size_for
+from .words import far_apart, hangul, is_hangul, near, words
 
-SKETCH_BITS = 20  # counters of word frequency: 2**20 of 4 bytes, whatever the corpus
-SIEVE_BITS = 21  # the same for signatures, once for each split
-HOT = 2_000  # pairs of one validation and one training record under a signature, from which on it needs the other side too
-NEED = 3
-SHORT, LONG = 60, 45  # tokens up to which three words are taken, from which on one; between them both, as lengths of near texts differ by less
-TOKEN = re.compile(r"\d+|\D+")
+HOT = 32  # records of both splits under one hash, beyond which it counts only with one of the other side
+WHOLE, FIRST, LAST, WITHIN = range(4)  # kinds of hashes
 
 
-def _tokens(side: str) -> list[str]:
-    """Words, parted where digits meet letters, each occurrence named apart."""
-    seen: dict[str, int] = {}
-    out = []
-    for w in side.split():
-        for t in TOKEN.findall(w):
-            seen[t] = k = seen.get(t, 0) + 1
-            out.append(t if k == 1 else f"{t}\x00{k}")
-    return out
+def _ladder(most: int = 1 << 22) -> np.ndarray:
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, out[-1] * 4 // 3))
+    return np.array(out)
 
 
-def _bucket(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) >> (64 - SKETCH_BITS)
+LADDER = _ladder()
 
 
 def _canonical(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -66,116 +61,194 @@ def _canonical(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     return df.select(key, "_val", left, right).mapInArrow(run, schema)
 
 
-def word_sketch(reps: DataFrame) -> np.ndarray:
-    """How often words occur, in 2**SKETCH_BITS counters: a fixed size that the driver may hold and broadcast."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
-            ids = [_bucket(t) for c in b.columns for side in c.to_pylist() for t in _tokens(side)]
-            np.add.at(total, ids, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
-
-    counts = reps.select("wa", "wb").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, np.int32)
-    out[counts["bucket"].to_numpy()] = np.minimum(counts["n"].to_numpy(), 2**31 - 1)
-    return out
-
-
-def signatures(side: str, counts: np.ndarray, share: int) -> list[int]:
-    """Hashes of which two records that are near on this side share at least one."""
-    tokens = _tokens(side)
-    n = len(tokens)
-    changed = n // (share - 1)  # of the longer text one in ``share`` may differ, so of this one one in ``share - 1``
-    order = sorted(tokens, key=lambda t: (counts[_bucket(t)], t))
-    out = []
-    for need in ([min(NEED, n)] if n <= SHORT else []) + ([1] if n > LONG else []):
-        out += [xxhash.xxh64_intdigest("\x01".join(sorted(some))) - (1 << 63) for some in combinations(order[: changed + need], need)]
-    return out
-
-
-def _signed(reps: DataFrame, counts: object, share: int) -> DataFrame:
-    """``key_hi, key_lo, v, t, sa, sb``: each class with the signatures of its sides; where no side has more Hangul, of both at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sides = []
-            for wa, wb in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                sa, sb = (set(signatures(w, counts.value, share)) for w in (wa, wb))
-                if (hangul([wa]) > 0) == (hangul([wb]) > 0):
-                    sa = sb = sa | sb
-                sides.append((sorted(sa), sorted(sb)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], *(pa.array([s[k] for s in sides], pa.list_(pa.int64())) for k in (0, 1))], names=["key_hi", "key_lo", "v", "t", "sa", "sb"])
-
-    return reps.select("key_hi", "key_lo", "v", "t", "wa", "wb").mapInArrow(run, "key_hi long, key_lo long, v boolean, t boolean, sa array<long>, sb array<long>")
+class Texts:
+    """Texts without blanks in a row, with the hash of any stretch."""
+
+    def __init__(self, texts: list[str]) -> None:
+        squeezed = [t.replace(" ", "") for t in texts]
+        self.size = np.fromiter(map(len, squeezed), np.int64, len(squeezed))
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        codes = np.frombuffer("".join(squeezed).encode("utf-32-le", "surrogatepass"), np.uint32)
+        with np.errstate(over="ignore"):
+            terms = scramble(codes.astype(np.uint64) + np.uint64(1)) * powers(BASES[0], len(codes))[: len(codes)]
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(terms)])
+
+    def stretch(self, a: np.ndarray, b: np.ndarray, kind: int, length: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            got = (self.sums[b] - self.sums[a]) * powers(INVERSE, len(self.sums))[a]
+            return scramble(scramble(got) + np.uint64(kind << 32 | length))
+
+    def whole(self, rows: np.ndarray) -> np.ndarray:
+        return self.stretch(self.start[rows], self.end[rows], WHOLE, 0)
+
+    def first(self, rows: np.ndarray, length: int) -> np.ndarray:
+        return self.stretch(self.start[rows], self.start[rows] + length, FIRST, length)
+
+    def last(self, rows: np.ndarray, length: int) -> np.ndarray:
+        return self.stretch(self.end[rows] - length, self.end[rows], LAST, length)
+
+    def within(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and hashes of the winnowed grams: the least gram of each window, so that any stretch of ``length`` holds one.
+
+        Two thirds of the length are the gram's, the rest is the window's.
+        """
+        q = (2 * length + 2) // 3
+        w = length - q + 1
+        total = len(self.sums) - 1
+        if total < length:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        a = np.arange(total - q + 1)
+        least, have = self.stretch(a, a + q, WITHIN, length), 1
+        while 2 * have <= w:
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if w > have:
+            least = np.minimum(least[: len(least) - (w - have)], least[w - have :])
+        row = np.repeat(np.arange(len(self.size)), self.size)[: len(least)]
+        inside = np.arange(len(least)) + length <= self.end[row]
+        fresh = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(least) != 0)])  # a run of windows with one gram counts once
+        at = np.flatnonzero(inside & (fresh | np.concatenate([[True], ~inside[:-1]])))
+        return row[at], least[at]
+
+
+def _fine(texts: list[str], share: int) -> tuple[np.ndarray, np.ndarray, set[tuple[int, int]]]:
+    """Rows and hashes of the texts as the finer ones, and which kinds at which steps of the ladder occur."""
+    sizes = [sorted(map(len, t.split(" ")), reverse=True) if t else [] for t in texts]
+    k = np.array([len(s) // share for s in sizes], np.int64)
+    common = np.array([sum(s) - sum(s[:n]) for s, n in zip(sizes, k.tolist(), strict=True)], np.int64)
+    step = np.searchsorted(LADDER, -(-common // (k + 1)), side="right") - 1
+    t = Texts(texts)
+    zero = np.flatnonzero(k == 0)
+    rows, keys, used = [zero], [t.whole(zero)], {(WHOLE, 0)} if len(zero) else set()
+    for s in np.unique(step[k == 1]).tolist():
+        at = np.flatnonzero((k == 1) & (step == s))
+        rows += [at, at]
+        keys += [t.first(at, int(LADDER[s])), t.last(at, int(LADDER[s]))]
+        used.add((FIRST, s))
+    for s in np.unique(step[k > 1]).tolist():
+        at = np.flatnonzero((k > 1) & (step == s))
+        r, h = Texts([texts[i] for i in at]).within(int(LADDER[s]))
+        rows.append(at[r])
+        keys.append(h)
+        used.add((WITHIN, s))
+    return np.concatenate(rows), np.concatenate(keys), used
+
+
+def _coarse(texts: list[str], used: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the texts as the coarser ones, at the steps that finer ones use."""
+    t = Texts(texts)
+    every = np.arange(len(texts))
+    rows, keys = [every], [t.whole(every)]
+    for kind, s in sorted(used):
+        length = int(LADDER[s])
+        if kind == FIRST:  # two fragments: the longer has at most all, and its bound is at most half of the text
+            at = np.flatnonzero(t.size >= 2 * length - 1)
+            rows += [at, at]
+            keys += [t.first(at, length), t.last(at, length)]
+        elif kind == WITHIN:  # three or more
+            at = np.flatnonzero(t.size >= 3 * length - 2)
+            if len(at):
+                r, h = (t if len(at) == len(texts) else Texts([texts[i] for i in at])).within(length)
+                rows.append(at[r])
+                keys.append(h)
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _settled(wa: str, wb: str, share: int) -> bool:
+    """Whether each near copy of a record has Hangul in the copy of its first side, so that its sides can't be taken for one another.
+
+    The second side has none; in the first more letters than those outside Hangul outlast any changes.
+    """
+    if any(map(is_hangul, wb)):
+        return False
+    other = sum(not is_hangul(c) for c in wa if c != " ")
+    sizes = sorted(map(len, wa.split(" ")), reverse=True)
+    changed = max(len(sizes), other) // (share - 1)
+    return sum(sizes) - sum(sizes[:changed]) > other
 
 
-def _place(sig: np.ndarray) -> np.ndarray:
-    return (scramble(sig.view(np.uint64)) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+def _slots(wa: list[str], wb: list[str], share: int) -> list[tuple[list[str], np.ndarray]]:
+    """For the first and the second side: the texts that may stand there and their rows; unsettled records have both of theirs in both."""
+    loose = np.array([i for i, (x, y) in enumerate(zip(wa, wb, strict=True)) if not _settled(x, y, share)], np.int64)
+    every = np.arange(len(wa))
+    return [(own + [other[i] for i in loose], np.concatenate([every, loose])) for own, other in ((wa, wb), (wb, wa))]
 
 
-def _tagged(column: pa.ListArray, tag: int) -> tuple[np.ndarray, np.ndarray]:
-    """All signatures of a column, marked with their side, and the row of each."""
-    offsets = column.offsets.to_numpy()
-    flat = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-    rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+def _tagged(keys: np.ndarray, slot: int, finer: int) -> np.ndarray:
+    """Hashes of one side, and of pairs whose finer text is of the training split (1) or not (0)."""
     with np.errstate(over="ignore"):
-        return scramble(flat.view(np.uint64) + np.uint64(tag)).view(np.int64), rows
+        return scramble(keys + np.uint64(4 * slot + finer + 1))
 
 
-def signature_sketch(signed: DataFrame) -> np.ndarray:
-    """Validation and training records of each signature, in counters of fixed size."""
+def _finer_sieve(reps: DataFrame, share: int) -> object:
+    """Hashes of all finer texts in a sieve, and the steps of the ladder that occur on each side."""
+    bits = size_for(8 * reps.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << SIEVE_BITS), np.int64)
+        f, steps = Filling(bits), set()
         for b in batches:
-            own = [b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (0, 1)]
-            for c, tag in ((2, 1), (3, 2)):
-                sig, rows = _tagged(b.column(c), tag)
-                for k in (0, 1):
-                    np.add.at(total[k], _place(sig[own[k][rows]]), 1)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(t[at]) for t in total)], names=["place", "v", "t"])
-
-    counts = signed.select("v", "t", "sa", "sb").mapInArrow(run, "place int, v long, t long").groupBy("place").agg(F.sum("v").alias("v"), F.sum("t").alias("t")).toArrow()
-    out = np.zeros((2, 1 << SIEVE_BITS), np.int32)
-    for k, c in enumerate("vt"):
-        out[k][counts["place"].to_numpy()] = np.minimum(counts[c].to_numpy(), 2**31 - 1)
-    return out
-
-
-def _join_keys(signed: DataFrame, sketch: object, split: str) -> DataFrame:
-    """``sig, key_hi, key_lo`` of the classes of one split, without signatures that the other split has not.
-
-    A signature under which more than HOT pairs would meet is replaced by its combinations with those of the other side.
-    """
+            split = [b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (0, 1)]
+            for slot, (texts, own) in enumerate(_slots(b.column(2).to_pylist(), b.column(3).to_pylist(), share)):
+                rows, keys, used = _fine(texts, share)
+                for finer in (0, 1):
+                    f.add(_tagged(keys[split[finer][own[rows]]], slot, finer))
+                steps |= {(slot, *u) for u in used}
+        yield f.batch()
+        # Steps as words below 0, of which there are at most some hundred.
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - (slot << 16 | kind << 8 | s) for slot, kind, s in steps], pa.int32()), pa.array([1] * len(steps), pa.int64())], names=["word", "bits"])
+
+    words_set = cut(reps.select("v", "t", "wa", "wb").mapInArrow(run, "word int, bits long"))
+    used: list[set] = [set(), set()]
+    for r in words_set.where("word < 0").distinct().collect():
+        x = -1 - r.word
+        used[x >> 16].add((x >> 8 & 255, x & 255))
+    return reps.sparkSession.sparkContext.broadcast((merged(words_set, bits), used))
+
+
+def _hashes(reps: DataFrame, sieve: object, slot: int, share: int) -> DataFrame:
+    """``sig, training, cls, hi, lo``: the texts with the hashes of one of their sides in both parts; coarse ones only if a finer text has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, t = sketch.value
-        other = t if split == "v" else v
+        known, used = sieve.value
         for b in batches:
-            sigs, rows, hot = [], [], []
-            a, c = (_tagged(b.column(k), tag) for k, tag in ((2, 1), (3, 2)))
-            for sig, row in (a, c):
-                at = _place(sig)
-                shared = other[at] > 0
-                common = v[at].astype(np.int64) * t[at] > HOT
-                sigs.append(sig[shared & ~common])
-                rows.append(row[shared & ~common])
-                hot.append((sig[shared & common], row[shared & common]))
-            for (hs, hr), (os, orow), turned in ((hot[0], c, False), (hot[1], a, True)):
-                starts = np.searchsorted(orow, np.arange(b.num_rows + 1))
-                n = np.diff(starts)[hr]
-                took = np.repeat(starts[:-1][hr] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                first, second = np.repeat(hs, n).view(np.uint64), os[took].view(np.uint64)
-                with np.errstate(over="ignore"):
-                    sigs.append(scramble((second if turned else first) * np.uint64(0x9E3779B97F4A7C15) + (first if turned else second)).view(np.int64))
-                rows.append(np.repeat(hr, n))
-            row = pa.array(np.concatenate(rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), b.column(0).take(row), b.column(1).take(row)], names=["sig", "key_hi", "key_lo"])
-
-    return signed.where(split).select("key_hi", "key_lo", "sa", "sb").mapInArrow(run, "sig long, key_hi long, key_lo long")
+            split = [b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (3, 4)]
+            texts, own = _slots(b.column(5).to_pylist(), b.column(6).to_pylist(), share)[slot]
+            rows, keys, _ = _fine(texts, share)
+            crows, ckeys = _coarse(texts, used[slot])
+            for training in (0, 1):
+                here = split[training][own[rows]]
+                fine, frow = _tagged(keys[here], slot, training), own[rows[here]]
+                here = split[training][own[crows]]
+                coarse, crow = _tagged(ckeys[here], slot, 1 - training), own[crows[here]]
+                hit = known.holds(coarse)
+                row = np.concatenate([frow, crow[hit]])
+                sig = np.concatenate([fine, coarse[hit]]).view(np.int64)
+                once = np.unique(np.column_stack([row, sig]), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+                at = pa.array(once[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(once[:, 1]), pa.array(np.full(len(once), bool(training))), *(b.column(k).take(at) for k in range(3))], names=["sig", "training", "cls", "hi", "lo"])
+
+    return reps.select("cls", "hi", "lo", "v", "t", "wa", "wb").mapInArrow(run, "sig long, training boolean, cls long, hi long, lo long")
+
+
+def _meeting(hashes: DataFrame) -> DataFrame:
+    """``hi1, lo1, hi2, lo2``: texts of validation and of training records that share a hash and aren't the same less blanks."""
+    one = hashes.where("not training").select("sig", F.col("cls").alias("cls1"), F.col("hi").alias("hi1"), F.col("lo").alias("lo1"))
+    two = hashes.where("training").select("sig", F.col("cls").alias("cls2"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
+    return one.join(two, "sig").where("cls1 <> cls2").select("hi1", "lo1", "hi2", "lo2")
+
+
+def _candidates(reps: DataFrame, share: int) -> DataFrame:
+    """``hi1, lo1, hi2, lo2``: all texts that may be near, once each."""
+    sieve = _finer_sieve(reps, share)
+    hashes = cut(_hashes(reps, sieve, 0, share))
+    each = hashes.groupBy("sig").agg(F.count_if(~F.col("training")).alias("v"), F.count_if("training").alias("t"))
+    hot = cut(each.where(F.least("v", "t") > HOT).select("sig"))
+    cold = _meeting(hashes.join(hot, "sig", "left_anti"))
+    again = cut(hashes.join(hot, "sig"))
+    second = _hashes(reps.where(passes(sieve_of(again, "hi", again.count()), "hi")), sieve, 1, share).select(F.col("sig").alias("second"), "training", "hi", "lo")
+    both = again.join(second, ["hi", "lo", "training"]).select(F.xxhash64("sig", "second").alias("sig"), "training", "cls", "hi", "lo")
+    return cut(cold.unionByName(_meeting(both)).distinct())
 
 
 def _near_records(share: int):  # noqa: ANN202
@@ -192,6 +265,29 @@ def _near_records(share: int):  # noqa: ANN202
     return check
 
 
+def cross_split_links(df: DataFrame, key: str = "pair_id", left: str = "ko_text_analysis", right: str = "en_text_analysis", validation: str = "is_validation_upstream", share: int = 6) -> tuple[DataFrame, DataFrame]:
+    """The records, and the near texts among theirs.
+
+    First ``_k, _val, key_hi, key_lo, hi, lo``: each record, its split, its class (same less blanks) and its text (same
+    words; nearness depends on where words end). Then ``hi1, lo1, hi2, lo2``: each text of validation records with each of
+    training records that is near to it, but not of its class.
+    """
+    df = df.select(F.col(key).alias("_k"), F.coalesce(F.col(validation), F.lit(False)).alias("_val"), F.col(left).alias("_a"), F.col(right).alias("_b")).where(F.col("_k").isNotNull())
+    keyed = cut(_canonical(df, "_k", "_a", "_b").transform(record_keys_of))
+    # One row for each text; texts of one record aren't moved twice.
+    ends = F.struct("wa", "wb", F.col("key_hi").alias("cls"))
+    reps = cut(
+        keyed.groupBy("hi", "lo").agg(F.any_value(ends).alias("w"), F.bool_or("_val").alias("v"), F.bool_or(~F.col("_val")).alias("t")).select("hi", "lo", "w.cls", "w.wa", "w.wb", "v", "t"),
+        rows_per_file=16_384,
+    )
+    candidates = _candidates(reps, share)
+    # Only texts of candidates are moved.
+    some = reps.where(passes(sieve_of(candidates.select(F.explode(F.array("hi1", "hi2")).alias("hi")), "hi", 2 * candidates.count()), "hi"))
+    texts = lambda k: some.select(F.col("hi").alias(f"hi{k}"), F.col("lo").alias(f"lo{k}"), F.col("wa").alias(f"a{k}"), F.col("wb").alias(f"b{k}"))
+    links = candidates.join(texts(1), ["hi1", "lo1"]).join(texts(2), ["hi2", "lo2"]).where(_near_records(share)("a1", "b1", "a2", "b2")).select("hi1", "lo1", "hi2", "lo2")
+    return keyed.select("_k", "_val", "key_hi", "key_lo", "hi", "lo"), cut(links)
+
+
 def cross_split_pairs(
     df: DataFrame, key: str = "pair_id", left: str = "ko_text_analysis", right: str = "en_text_analysis", validation: str = "is_validation_upstream", share: int = 6
 ) -> DataFrame:
@@ -201,49 +297,41 @@ def cross_split_pairs(
     unique; rows with a null key are left out. A null split is training. Null text
     counts as empty. Other columns are ignored. An empty table gives no pairs.
     """
-    df = df.select(F.col(key).alias("_k"), F.coalesce(F.col(validation), F.lit(False)).alias("_val"), F.col(left).alias("_a"), F.col(right).alias("_b")).where(F.col("_k").isNotNull())
-    keyed = cut(_canonical(df, "_k", "_a", "_b").transform(record_keys_of))
-    members = keyed.select("_k", "_val", "key_hi", "key_lo")
+    members, linked = cross_split_links(df, key, left, right, validation, share)
     val, train = (members.where(c).drop("_val") for c in ("_val", "not _val"))
-    # Of copies the one with the most words stands for all; texts of classes with one member aren't moved twice.
-    reps = cut(
-        keyed.groupBy("key_hi", "key_lo").agg(
-            F.max_by(F.struct("wa", "wb"), F.struct(F.length("wa") + F.length("wb"), "_k")).alias("w"), F.bool_or("_val").alias("v"), F.bool_or(~F.col("_val")).alias("t")
-        ).select("key_hi", "key_lo", "w.wa", "w.wb", "v", "t")
-    )
-    spark = df.sparkSession
-    counts = spark.sparkContext.broadcast(word_sketch(reps))
-
-    signed = cut(_signed(reps, counts, share))
-    sketch = spark.sparkContext.broadcast(signature_sketch(signed))
-    one = _join_keys(signed, sketch, "v").select("sig", F.col("key_hi").alias("hi1"), F.col("key_lo").alias("lo1"))
-    two = _join_keys(signed, sketch, "t").select("sig", F.col("key_hi").alias("hi2"), F.col("key_lo").alias("lo2"))
-    candidates = one.join(two, "sig").where("hi1 <> hi2 or lo1 <> lo2").select("hi1", "lo1", "hi2", "lo2").distinct()
-    texts = lambda k: reps.select(F.col("key_hi").alias(f"hi{k}"), F.col("key_lo").alias(f"lo{k}"), F.col("wa").alias(f"a{k}"), F.col("wb").alias(f"b{k}"))
-    linked = candidates.join(texts(1), ["hi1", "lo1"]).join(texts(2), ["hi2", "lo2"]).where(_near_records(share)("a1", "b1", "a2", "b2")).select("hi1", "lo1", "hi2", "lo2")
     near_pairs = (
-        val.select(F.col("_k").alias("_v"), F.col("key_hi").alias("hi1"), F.col("key_lo").alias("lo1"))
+        val.select(F.col("_k").alias("_v"), F.col("hi").alias("hi1"), F.col("lo").alias("lo1"))
         .join(linked, ["hi1", "lo1"])
-        .join(train.select(F.col("_k").alias("_t"), F.col("key_hi").alias("hi2"), F.col("key_lo").alias("lo2")), ["hi2", "lo2"])
+        .join(train.select(F.col("_k").alias("_t"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2")), ["hi2", "lo2"])
         .select("_v", "_t", F.lit(False).alias("exact"))
     )
-    exact_pairs = val.withColumnRenamed("_k", "_v").join(train.withColumnRenamed("_k", "_t"), ["key_hi", "key_lo"]).select("_v", "_t", F.lit(True).alias("exact"))
+    exact_pairs = val.select("key_hi", "key_lo", F.col("_k").alias("_v")).join(train.select("key_hi", "key_lo", F.col("_k").alias("_t")), ["key_hi", "key_lo"]).select("_v", "_t", F.lit(True).alias("exact"))
     return exact_pairs.unionByName(near_pairs).select(F.least("_v", "_t").alias(f"{key}_a"), F.greatest("_v", "_t").alias(f"{key}_b"), "exact")
 
 
 def record_keys_of(canonical: DataFrame) -> DataFrame:
-    """Canonical words with the record's key: the unordered pair of sides, blanks not counting."""
+    """Canonical words with the keys of the record's class, which is the unordered pair of sides without blanks, and of its text."""
     squeezed = canonical.withColumns({"_x": F.replace("wa", F.lit(" "), F.lit("")), "_y": F.replace("wb", F.lit(" "), F.lit(""))})
-    both = F.concat_ws("\x00", F.least("_x", "_y"), F.greatest("_x", "_y"))
-    return squeezed.withColumns({"key_hi": F.xxhash64(both), "key_lo": F.xxhash64(F.lit(1), F.sha2(both, 256))}).drop("_x", "_y")
+    both, text = F.concat_ws("\x00", F.least("_x", "_y"), F.greatest("_x", "_y")), F.concat_ws("\x00", "wa", "wb")
+    digest = lambda x: F.xxhash64(F.lit(1), F.sha2(x, 256))
+    keys = {"key_hi": F.xxhash64(both), "key_lo": digest(both), "hi": F.xxhash64(text), "lo": digest(text)}
+    return squeezed.withColumns(keys).drop("_x", "_y")
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, key: str = "pair_id", by: tuple[str, ...] = ("logical_corpus", "source_provenance_raw"), validation: str = "is_validation_upstream") -> DataFrame:
-    """Per split and ``by``: records that have a partner in the other split, and pairs, exact and near.
+def overlap_report(df: DataFrame, key: str = "pair_id", by: tuple[str, ...] = ("logical_corpus", "source_provenance_raw"), validation: str = "is_validation_upstream", **texts: str) -> DataFrame:
+    """Per split and ``by``: ``records`` that have a partner in the other split, and their ``exact_pairs`` and ``near_pairs``.
 
-    Nulls in ``by`` form groups of their own.
+    Counted by classes and texts; pairs are not written out. Nulls in ``by`` form groups of their own.
     """
-    ends = pairs.select(F.explode(F.array(f"{key}_a", f"{key}_b")).alias(key), "exact")
-    per = ends.groupBy(key).agg(F.count_if("exact").alias("_e"), F.count_if(~F.col("exact")).alias("_n"))
+    members, linked = cross_split_links(df, key, validation=validation, **texts)
+    sizes = lambda *by: members.groupBy(*by).agg(F.count_if("_val").alias("v"), F.count_if(~F.col("_val")).alias("t"))
+    sides = F.inline(F.array(*(F.struct(F.lit(x).alias("_val"), F.col(c).alias("_e")) for x, c in ((True, "t"), (False, "v")))))
+    exact = sizes("key_hi", "key_lo").where("v > 0 and t > 0").select("key_hi", "key_lo", sides)
+    near_of = []
+    for own, other, count in (("1", "2", "t"), ("2", "1", "v")):
+        far = sizes("hi", "lo").select(F.col("hi").alias(f"hi{other}"), F.col("lo").alias(f"lo{other}"), F.col(count).alias("_n"))
+        near_of.append(linked.join(far, [f"hi{other}", f"lo{other}"]).groupBy(F.col(f"hi{own}").alias("hi"), F.col(f"lo{own}").alias("lo")).agg(F.sum("_n").alias("_n")).withColumn("_val", F.lit(own == "1")))
+    per = members.join(exact, ["key_hi", "key_lo", "_val"], "left").join(near_of[0].unionByName(near_of[1]), ["hi", "lo", "_val"], "left")
+    per = per.select(F.col("_k").alias(key), F.coalesce("_e", F.lit(0)).alias("_e"), F.coalesce("_n", F.lit(0)).alias("_n")).where("_e > 0 or _n > 0")
     split = F.when(F.coalesce(F.col(validation), F.lit(False)), "validation").otherwise("training").alias("split")
-    return df.join(per, key).groupBy(split, *by).agg(F.count("*").alias("records"), F.sum("_e").alias("exact_pairs"), F.sum("_n").alias("near_pairs"))
+    return df.select(key, validation, *by).join(per, key).groupBy(split, *by).agg(F.count("*").alias("records"), F.sum("_e").alias("exact_pairs"), F.sum("_n").alias("near_pairs"))

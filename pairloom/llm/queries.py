@@ -88,8 +88,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = table(spark, sf_dir, "pair_registry")
-    return overlap.overlap_report(registry, overlap.cross_split_pairs(registry))
+    return overlap.overlap_report(table(spark, sf_dir, "pair_registry"))
 
 
 @query

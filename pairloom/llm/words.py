@@ -22,8 +22,12 @@ def words(text: str | None) -> list[str]:
     return ud.normalize("NFC", text.translate(_table)).split() if text else []
 
 
+def is_hangul(c: str) -> bool:
+    return "가" <= c <= "힣"
+
+
 def hangul(ws: list[str]) -> int:
-    return sum("가" <= c <= "힣" for w in ws for c in w)
+    return sum(is_hangul(c) for w in ws for c in w)
 
 
 def edits(a: list[str], b: list[str], most: int) -> int:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -102,6 +103,54 @@ def test_edits_of_words_that_do_not_join(a, b, most):
     assert edits(a, b, most) == min(want, most + 1) or edits(a, b, most) < want and "".join(a) != "".join(b)
 
 
+def test_no_link_is_lost_on_codes_and_respacing(spark):
+    """Words of letters and digits, joined and parted anywhere, changed at random; sides exchanged at times."""
+    random.seed(11)
+    word = lambda: "".join(random.choices("abc123", k=random.choice((1, 2, 3, 5, 10))))
+    rows = []
+    for i in range(70):
+        a, b = ([word() for _ in range(random.randrange(1, 27))] for _ in range(2))
+        rows.append((f"v{i}", "가 " * (i % 3) + " ".join(a), " ".join(b), True))
+        for j in range(4):
+            sides = []
+            for side in (a, b):
+                p = list(side)
+                for _ in range(random.randrange(0, len(side) // 6 + 1)):
+                    at = random.randrange(len(p))
+                    random.choice((lambda: p.pop(at), lambda: p.insert(at, word()), lambda: p.__setitem__(at, random.choice((word(), "새말")))))()
+                blank = random.choice((0.0, 0.3, 0.6, 1.0))
+                spaced = "".join(w + ("" if random.random() < blank else " ") for w in p).strip()
+                if random.random() < 0.2:
+                    spaced = "".join(c + (" " if random.random() < 0.4 else "") for c in spaced)
+                sides.append(spaced)
+            sides[0] = "가 " * (i % 3) + sides[0]
+            rows.append((f"t{i}_{j}", *(sides[::-1] if random.random() < 0.2 else sides), False))
+    want = brute(rows)
+    assert len(want) > 150 and found(spark, rows) == want
+
+
+@pytest.mark.parametrize("others", [20, 120])
+def test_links_do_not_depend_on_unrelated_records(spark, others):
+    """Stock sentences in many records of both splits, beside near sides whose changed words are long or respaced."""
+    stock = "please see the attached list of parts and confirm the order today"
+    rows = [
+        ("v0", "서울 공장 a1b2c3d4e5 부품을 조립 했다", stock, True), ("t0", "서울 공장 q9w8x7y6z5 부품을 조립 했다", stock, False),
+        ("v1", "부산 창고 k1l2m3n4o5 상자를 운반 했다", stock, True), ("t1", "부산창고 z1y2x3w4v5 상자를운반 했다", stock, False),
+        *((f"{'vt'[i % 2]}x{i}", f"{i}번째 다른 문장 {i * 7} 입니다 여기 {i * 13}", stock, i % 2 == 0) for i in range(others)),
+    ]
+    got = found(spark, rows)
+    assert {("t0", "v0"), ("t1", "v1")} <= set(got) and got == brute(rows)
+    codes = [("v", "서울 공장 x1y2z3w4v5 부품을 조립 했다", "the plant k1l2m3n4o5 part was assembled", True), ("t", "서울 공장 a9b8c7d6e5 부품을 조립 했다", "the plant p1q2r3s4t5 part was assembled", False)]
+    assert found(spark, codes) == [("t", "v")]
+
+
+def test_hot_on_both_sides_and_by_halves(spark):
+    """Stock beginnings on both sides in hundreds of records: only the true pairs come out."""
+    rows = [(f"{'vt'[i % 2]}{i:03d}", f"안녕하세요 고객님 저희 상점을 이용해 주셔서 감사합니다 주문 {i // 2}{i // 2} 번", f"hello dear customer thank you for using our shop your order is {i // 2}x{i // 2}", i % 2 == 0) for i in range(160)]
+    rows = [(k, a + (f" 끝 {i}" if i % 8 == 3 else ""), b, v) for i, (k, a, b, v) in enumerate(rows)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_joined_words_cost_nothing():
     assert edits("가 나 다 라".split(), "가나 다 라".split(), 3) == 0
     assert edits("가 나 다 라 마".split(), "가나 다 바 마".split(), 3) == 1
@@ -110,8 +159,9 @@ def test_joined_words_cost_nothing():
 def test_report(spark, sf_dir):
     d = spark.read.parquet(f"{sf_dir}/pair_registry.parquet")
     pairs = overlap.cross_split_pairs(d)
-    r = overlap.overlap_report(d, pairs).agg(F.sum("exact_pairs").alias("e"), F.sum("near_pairs").alias("n")).first()
+    r = overlap.overlap_report(d).agg(F.sum("exact_pairs").alias("e"), F.sum("near_pairs").alias("n"), F.sum("records").alias("r")).first()
     assert (r.e or 0) + (r.n or 0) == 2 * pairs.count()
+    assert r.r == pairs.select(F.explode(F.array("pair_id_a", "pair_id_b"))).distinct().count()
     rows = [tuple(x) for x in d.select("pair_id", "ko_text_analysis", "en_text_analysis", "is_validation_upstream").collect()]
     assert sorted((x.pair_id_a, x.pair_id_b) for x in pairs.collect()) == brute(rows)
 
