@@ -1,146 +1,28 @@
 """Text that looks the same in different characters: one consistent form of every text.
 
-For each word the scripts of its letters are intersected. An empty intersection
-means a mixed word: the script in which every letter has a spelling is chosen and
-all letters are spelled in it. A word wholly of look-alikes in a text without other
-words of that script is respelled too. Width, ligature, blank and invisible forms
-are then brought to the ordinary character, and everything is composed.
+For each word the sets of scripts that its letters may stand for are intersected (``scripts``). Mixed words
+are spelled in the script that has all their letters, words of one or two look-alikes alone, or tied to Latin
+words or numbers, in Latin; other words wholly in another script stay. Width, ligature, blank and invisible
+forms become the ordinary character, and everything is composed.
 """
 
 from __future__ import annotations
 
-import unicodedata as ud
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import garble
-from .fold import LOOKALIKES, LOOSE, MARKS, invisible
-
-ALPHABETS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
-WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}][\p{Latin}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Mn}]*")
-PICTURE = regex.compile(r"\p{Extended_Pictographic}|\p{Regional_Indicator}|[\U0001F3FB-\U0001F3FF]")
-JOINING = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Mongolian}\p{Thai}]")
-BACK: dict[str, dict[str, str]] = {}  # letter of one script -> its spelling in another, by script
-
-
-@lru_cache(100_000)
-def script(c: str) -> str:
-    name = ud.name(c, "").split(" ")[0]
-    return name if name in ALPHABETS else ""
-
-
-for _own, _latin in LOOKALIKES.items():
-    if script(_own) != "LATIN":
-        BACK.setdefault(script(_own), {}).setdefault(_latin, _own)
-
-
-@lru_cache(100_000)
-def spellings(c: str) -> dict[str, str]:
-    """By script, the letter that looks like ``c`` in it."""
-    out = {script(c): c}
-    latin = c if script(c) == "LATIN" else LOOKALIKES.get(c)
-    if latin:
-        out["LATIN"] = LOOKALIKES.get(latin, latin)
-        out |= {s: m[latin] for s, m in BACK.items() if latin in m and s not in out}
-    return out
-
-
-@lru_cache(100_000)
-def ordinary(c: str) -> str:
-    """The ordinary character that a width, font, ligature, radical or blank form stands for, else the character."""
-    if c in MARKS and c != "·":
-        return MARKS[c]
-    if ud.category(c) in ("Zs", "Zl", "Zp") or c == "\x85":
-        return " "
-    kind = ud.decomposition(c).split(" ")[0]
-    wide = kind in ("<wide>", "<narrow>", "<font>", "<small>", "<vertical>", "<noBreak>")
-    form = kind == "<compat>" and ("⺀" <= c <= "⿕" or "ﬀ" <= c <= "ﬗ" or "Ⅰ" <= c <= "ⅿ" or "Ĳ" <= c <= "ĳ" or "Ǆ" <= c <= "ǳ" or "ſ" <= c <= "ſ")
-    presented = kind in ("<initial>", "<medial>", "<final>", "<isolated>")
-    return ud.normalize("NFKC", c) if wide or form or presented else c
-
+from .scripts import LOOKALIKES, consistent, invisible, ordinary
 
 # Texts of these characters alone are in the consistent form: ASCII, syllables, ideographs, composed accents less those that pass for other letters, typographic marks.
 _PASSING = [c for c in map(chr, range(0xA1, 0x250)) if c not in LOOKALIKES and ordinary(c) == c and not invisible(c)]
 # As ranges: the JVM is slow with a class of many single characters.
 ACCENTED = "".join((c if chr(ord(c) - 1) not in _PASSING else "") + ("" if chr(ord(c) + 1) in _PASSING else f"-{c}") for c in _PASSING)
-JVM_UNUSUAL = rf"[^\t\n\r -~가-힣一-鿿{ACCENTED}‘’“”–—…€「」『』]"
-
-
-def without_invisible(text: str) -> str:
-    """The text less invisible characters; those that belong to emoji or to joining scripts stay, blank letters become blanks."""
-    out, before = [], ""
-    for i, c in enumerate(text):
-        if c in "ㅤﾠᅠᅟ" and not ("ᄀ" <= text[i - 1 : i] <= "ᅞ" or "ᅡ" <= text[i + 1 : i + 2] <= "ᆧ"):
-            out.append(" ")
-            before = " "
-            continue
-        if not invisible(c) and not (ud.category(c) == "Cc" and c not in "\t\n\r\x85"):
-            out.append(c)
-            before = c
-            continue
-        after = text[i + 1 : i + 2]
-        emoji = c == "‍" and PICTURE.match(before) and PICTURE.match(after) or c in "︎️" and (PICTURE.match(before) or before in "#*0123456789©®™" and before) or "\U000e0020" <= c <= "\U000e007f"
-        if emoji or c in "‌‍" and JOINING.match(before) and JOINING.match(after):
-            out.append(c)
-    return "".join(out)
-
-
-def respelled(text: str) -> str:
-    """Each word in one script."""
-    words = [m[0] for m in WORD.finditer(text)]
-    if all(w.isascii() for w in words):
-        return text
-    own = [{script(c) for c in w if script(c)} for w in words]
-    genuine = {next(iter(s)) for w, s in zip(words, own, strict=True) if len(s) == 1 and s != {"LATIN"} and not all(c in LOOKALIKES and c not in LOOSE for c in w)}
-
-    def one(m: regex.Match) -> str:
-        w = m[0]
-        if w.isascii():
-            return w
-        letters = [c for c in w if script(c)]
-        if not letters:
-            return w
-        scripts = {script(c) for c in letters}
-        if len(scripts) == 1 and "LATIN" not in scripts:
-            if scripts & genuine or not all(c in LOOKALIKES and c not in LOOSE for c in letters):
-                return w
-            choice = "LATIN"  # wholly of look-alikes, and nothing else here is in its script
-        else:
-            options = set.intersection(*(set(spellings(c)) for c in letters))
-            if not options:
-                return w
-            votes = Counter(script(c) for c in letters)
-            choice = max(options, key=lambda s: (votes[s], s == "LATIN"))
-        return "".join(spellings(c).get(choice, c) if script(c) else c for c in w)
-
-    return WORD.sub(one, text)
-
-
-def consistent(text: str | None) -> tuple[str | None, list[str]]:
-    """The text's consistent form, and why it differs."""
-    if text is None:
-        return None, []
-    why, now = [], text
-    for reason, step in (
-        ("INVISIBLE", without_invisible),
-        ("FORM", lambda t: "".join(map(ordinary, t))),
-        ("DECOMPOSED", lambda t: ud.normalize("NFC", t)),
-        ("SCRIPT", respelled),
-    ):
-        then = step(now)
-        if then != now:
-            why.append(reason)
-        now = then
-    return ud.normalize("NFC", now), why
-
-
+JVM_UNUSUAL = rf"[^\t\n\r -~가-힣一-丧丩-鿿{ACCENTED}‘’“”–—…€「」『』]"
 SIDES = {"ko": "ko_text_nfc", "en": "en_text_nfc"}
 
 

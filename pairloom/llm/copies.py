@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .fold import blocks, fold_char, folder, poly_hashes, two_pointer_equal
+from .fold import blocks, code_digest, folder, poly_hashes, two_pointer_equal
+from .sieve import passes, sieve_of
+
+PART = 4096  # copies of one record compared in one part
 
 
 def record_keys(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
@@ -45,10 +48,12 @@ def same_record(a1, b1, a2, b2):  # noqa: ANN001, ANN201
     return pd.Series([two_pointer_equal(p, r) and two_pointer_equal(q, s) or two_pointer_equal(p, s) and two_pointer_equal(q, r) for p, q, r, s in both], dtype=bool)
 
 
-@F.udf(T.StringType())
-def spelled_out(a, b):  # noqa: ANN001, ANN201
-    """The canonical record itself: only for rows whose hashes agree though their texts differ."""
-    return "\x00".join(sorted("".join(map(fold_char, x or "")) for x in (a, b)))
+@F.pandas_udf(T.StringType())
+def record_digest(a, b):  # noqa: ANN001, ANN201
+    """SHA-256 of both sides' codes as they stream by, in order: only for rows whose hashes agree though their texts differ."""
+    import pandas as pd
+
+    return pd.Series(["".join(sorted(code_digest(x) for x in row)) for row in zip(a, b, strict=True)], dtype=object)
 
 
 def format_copies(df: DataFrame, key: str = "pair_id", left: str = "ko_text_analysis", right: str = "en_text_analysis") -> DataFrame:
@@ -62,18 +67,22 @@ def format_copies(df: DataFrame, key: str = "pair_id", left: str = "ko_text_anal
     df = df.select(F.col(key).alias("_k"), F.col(left).alias("_a"), F.col(right).alias("_b")).where(F.col("_k").isNotNull())
     keys = cut(record_keys(df, "_k", "_a", "_b"))
     groups = keys.groupBy("key_hi", "key_lo").agg(F.min("_k").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
-    # Only key rows were shuffled to find the groups; texts of rows in groups follow, the keep's once for each group.
-    rows = keys.join(groups, ["key_hi", "key_lo"]).select("_k", "_keep").join(df, "_k")
-    keeps = rows.where("_k = _keep").select("_keep", F.col("_a").alias("_ka"), F.col("_b").alias("_kb"))
+    # Only key rows are shuffled to find the groups, then only texts of rows in groups.
+    grouped = cut(keys.join(groups, ["key_hi", "key_lo"]).select("_k", "_keep", "_n", F.xxhash64("_k").alias("_h")))
+    texts = df.where(passes(sieve_of(grouped, "_h", grouped.count()), F.xxhash64("_k")))
+    # A large group is compared in parts, each with the keep's text.
+    parts = F.ceil(F.col("_n") / PART)
+    rows = grouped.join(texts, "_k").withColumn("_part", F.pmod("_h", parts))
+    keeps = rows.where("_k = _keep").select("_keep", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("_part"), F.col("_a").alias("_ka"), F.col("_b").alias("_kb"))
     checked = cut(
         rows.where("_k <> _keep")
-        .join(keeps, "_keep")
+        .join(keeps, ["_keep", "_part"])
         .withColumn("_same", same_record("_a", "_b", "_ka", "_kb"))
         .select("_k", "_keep", "_same", F.when(~F.col("_same"), F.struct("_a", "_b")).alias("_odd"))
     )
     good = checked.where("_same").select("_k", "_keep")
-    # Texts that differ under one hash form groups of their own, by the canonical text itself.
-    odd = checked.where("not _same").select("_k", spelled_out("_odd._a", "_odd._b").alias("_text"))
+    # Texts that differ under one hash form groups of their own.
+    odd = checked.where("not _same").select("_k", record_digest("_odd._a", "_odd._b").alias("_text"))
     odd_keeps = odd.groupBy("_text").agg(F.min("_k").alias("_keep"), F.count("*").alias("_n")).where("_n > 1")
     odd = odd.join(odd_keeps, "_text").where("_k <> _keep").select("_k", "_keep")
     return good.unionByName(odd).select(F.col("_keep").alias(f"keep_{key}"), F.col("_k").alias(f"copy_{key}"))

@@ -1,55 +1,42 @@
 """Skip-and-fold: one lookup table from code points to comparison codes, applied to whole Arrow batches.
 
 Folding ignores blanks, punctuation, invisible characters and letter case, and
-gives look-alike characters one code. Canonical strings are never built: a batch
+character forms. The few texts with letters of several scripts are first spelled consistently, as
+whether a letter passes for another depends on its word. Canonical strings are never built: a batch
 of texts becomes one flat array of codes plus row offsets.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata as ud
 
 import numpy as np
 
-# Letters of other scripts that look like a Latin letter, with that letter.
-LOOKALIKES = {
-    # Cyrillic
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Һ": "H", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I", "Ѵ": "V", "Ү": "Y", "ү": "y", "Ԍ": "G", "ԍ": "g", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï",
-    # Greek
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "υ": "u", "χ": "x", "γ": "y", "ϲ": "c", "ϳ": "j", "ω": "w", "η": "n", "τ": "t", "σ": "o",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "ό": "ó", "ί": "í", "ά": "á",
-    # Armenian
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "յ": "j", "զ": "q", "ա": "w", "Օ": "O", "Տ": "S", "Լ": "L", "Ս": "U",
-    # Latin letters that pass for basic ones
-    "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ȷ": "j", "ʟ": "L", "ɴ": "N", "ʀ": "R", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ſ": "s", "Ɩ": "l", "ǀ": "l",
-}
-# Greek pairs that pass for Latin only loosely; they count in a mixed word, not in a whole word.
-LOOSE = frozenset("υχγωητσ")
-# Marks and blanks that pass for an ASCII mark.
-MARKS = {"‐": "-", "‑": "-", "․": ".", "⁄": "/", "∕": "/", "∶": ":", "；": ";", "·": "·"}
-# Characters without any ink that are not of category Cf.
-BLANKLESS = frozenset("͏ᅟᅠ឴឵ㅤﾠ")
-
-
-def invisible(c: str) -> bool:
-    return c in BLANKLESS or ud.category(c) == "Cf" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef"
+from .scripts import invisible, spelled
+
+# ASCII symbols that make another word, as letters do; others are quote marks, markup and ornament.
+COUNTING = frozenset("$+=")
 
 
 def fold_char(c: str) -> str:
-    """What one character counts as: nothing, or one or more comparison characters."""
+    """What one character of a text in its consistent spelling counts as: nothing, or one or more comparison characters."""
     if invisible(c) or ud.category(c) == "Cc":
         return ""
     out = []
-    for d in ud.normalize("NFKD", LOOKALIKES.get(c, c)):
-        for e in ud.normalize("NFKD", LOOKALIKES.get(d, d).casefold()):
-            e = LOOKALIKES.get(e, e)
+    for d in ud.normalize("NFKD", c):
+        for e in ud.normalize("NFKD", d.casefold()):
             kind = ud.category(e)
-            if kind[0] in "LN" or kind in ("Mn", "Mc") and not invisible(e) or kind[0] == "S" and e > "\x7f":
+            if kind[0] in "LN" or kind in ("Mn", "Mc") and not invisible(e) or kind[0] == "S" and (e > "\x7f" or e in COUNTING):
                 out.append(e)
     return "".join(out)
 
 
+def folded(text: str | None) -> str:
+    """The canonical string itself, by definition; operators don't build it."""
+    return "".join(map(fold_char, spelled(text or "")))
+
+
 class Folder:
     """The lookup table, filled as code points first occur; one per Python worker."""
 
@@ -69,7 +56,8 @@ class Folder:
             self.used += len(codes)
 
     def fold(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of all texts in a row, the offsets of each text in them, and for each code its character's place in the batch."""
+        """Codes of all texts in a row, the offsets of each text in them, and for each code its character's place in the batch as spelled."""
+        texts = [spelled(t) if t else t for t in texts]
         lens = np.fromiter((len(t) if t else 0 for t in texts), np.int64, len(texts))
         points = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), np.int32)
         new = np.unique(points[self.size[points] == 255])
@@ -132,7 +120,7 @@ def poly_hashes(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def two_pointer_equal(a: str | None, b: str | None, step: int = 4096) -> bool:
     """Whether two texts have the same codes, read in step with two pointers, each skipping on its own."""
-    a, b, i, j = a or "", b or "", 0, 0
+    a, b, i, j = spelled(a or ""), spelled(b or ""), 0, 0
     f, x, y = folder(), np.zeros(0, np.int32), np.zeros(0, np.int32)
     while True:
         while not len(x) and i < len(a):
@@ -147,6 +135,14 @@ def two_pointer_equal(a: str | None, b: str | None, step: int = 4096) -> bool:
         x, y = x[n:], y[n:]
 
 
+def code_digest(text: str | None, step: int = 4096) -> str:
+    """SHA-256 of a text's codes, read piece by piece."""
+    text, h = spelled(text or ""), hashlib.sha256()
+    for i in range(0, len(text), step):
+        h.update(folder().fold([text[i : i + step]])[0].tobytes())
+    return h.hexdigest()
+
+
 def blocks(texts: list, most: int = 400_000):
     """Row ranges whose texts have about ``most`` characters together, so that arrays stay small."""
     start, size = 0, 0

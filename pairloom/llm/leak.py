@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .fold import BASES, INVERSE, blocks, folder, powers, scramble
+from .scripts import spelled
 
 Q = 12  # codes in a gram; a Hangul syllable has two or three
 BLOCK_CODES = 4_000_000  # codes of items indexed and broadcast at once
@@ -199,7 +200,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, edits: int = 0, doc: st
                         texts.append(t)
                         rows.append(r)
                         continue
-                    for codes, begun, ended in _stretches(t, overlap):
+                    for codes, begun, ended in _stretches(spelled(t), overlap):
                         if len(codes) >= Q:
                             got += [(index.items[x].id, r, n) for x, n in leaks(index, codes, begun, ended, edits).items()]
                 for i, j in blocks(texts):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata as ud
 
 from .fold import fold_char
+from .scripts import spelled
 
 
 class _Words(dict):
@@ -19,7 +20,7 @@ _table = _Words()
 
 def words(text: str | None) -> list[str]:
     """The folded words of a text; tokens of punctuation alone are none."""
-    return ud.normalize("NFC", text.translate(_table)).split() if text else []
+    return ud.normalize("NFC", spelled(text).translate(_table)).split() if text else []
 
 
 def is_hangul(c: str) -> bool:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairloom.llm import copies, fold
+from pairloom.llm import copies, fold, scripts
 
 SCHEMA = "pair_id string, ko_text_analysis string, en_text_analysis string"
 
@@ -18,7 +18,7 @@ def brute(rows):
     groups: dict = {}
     for k, a, b in rows:
         if k is not None:
-            key = tuple(sorted("".join(map(fold.fold_char, t or "")) for t in (a, b)))
+            key = tuple(sorted(fold.folded(t) for t in (a, b)))
             groups.setdefault(key, []).append(k)
     return sorted((min(v), k) for v in groups.values() for k in v if k != min(v))
 
@@ -40,6 +40,14 @@ def test_formats_of_one_record(spark):
     assert found(spark, rows) == [("a", "b"), ("a", "c"), ("a", "d")] == brute(rows)
 
 
+def test_letters_that_only_resemble_others_stay_apart(spark):
+    rows = [
+        ("a", "σ 값은 2", "sigma σ is 2"), ("b", "o 값은 2", "sigma o is 2"), ("c", "C++ 언어", "language"), ("d", "C 언어", "language"), ("e", "가격 5", "price $5"), ("f", "가격 5", "price 5"),
+        ("g", "> 인용문", "a > quote"), ("h", "인용문", "a quote"), ("i", "цοdе tεxt", "x"), ("j", "カ", "one"), ("k", "力", "one"), ("l", "ΝΑΙ", "yes"), ("m", "ναι", "yes"), ("n", "Σωτήρ", "no"), ("o", "σωτήρ", "no"),
+    ]
+    assert found(spark, rows) == [("g", "h"), ("l", "m"), ("n", "o")] == brute(rows)
+
+
 def test_nulls_empty_long_and_repeated(spark):
     long = "가나다 ABC, " * 30_000
     rows = [("a", None, "x"), ("b", "", "X!"), ("c", None, None), ("d", "", "..."), (None, "y", "y"), ("e", long, long.lower()), ("f", long.replace(",", ""), long), ("g", "é", "1"), ("h", "é", "1"), ("i", "e", "1")]
@@ -70,9 +78,9 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
 @settings(max_examples=60, deadline=None)
 @given(st.text(st.sampled_from("가각ㄱaAàéÅ .,!－ａ１1-​́СcοΟﬁfi"), max_size=40), st.text(st.sampled_from("가각aA .,１1ﬁfi"), max_size=40))
 def test_two_pointers_equal_canonical_comparison(a, b):
-    same = "".join(map(fold.fold_char, a)) == "".join(map(fold.fold_char, b))
+    same = fold.folded(a) == fold.folded(b)
     assert fold.two_pointer_equal(a, b, 3) == same
-    assert fold.two_pointer_equal(a, " ".join(a) + "!", 5)
+    assert fold.two_pointer_equal(a, " ".join(a) + "!", 5) or scripts.ODD.search(a)  # what a letter passes for depends on its word
     codes, offsets, _ = fold.folder().fold([a, b])
     h = fold.poly_hashes(codes, offsets)
     assert (h[0, 0] == h[0, 1] and h[1, 0] == h[1, 1]) == same
