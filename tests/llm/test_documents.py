@@ -124,6 +124,50 @@ def test_leaks_with_an_edit_budget(spark):
     assert leaks(spark, docs) == [] and leaks(spark, docs, edits=1) == [(1, 1)]
 
 
+def test_exact_passages_are_those_without_edits(spark):
+    w = ITEM.split()
+    docs = [(1, "aa " + " ".join(w[2:14]) + " zz"), (2, "aa " + " ".join(w[2:14]).replace("lazy", "lezy") + " zz"), (3, " ".join(w[:12]) + "s extra"), (4, "aa " + " ".join(w[2:14]).replace("lazy", "lazzy") + " zz"), (5, " ".join(w[:11]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM, "en")], "item_id long, item_text string, lang string")
+    got = {r.doc_id: (r.words >= 12, r.edits) for r in leak.leaked_items(d, i, 1).collect()}
+    assert got == {1: (True, 0), 2: (False, 1), 3: (False, 1), 4: (False, 1)}
+
+
+def test_short_passages_leak_too(spark):
+    items = [(1, "1 2 3 4 5 6 7 8 9 값은", "ko"), (2, "a b c d e f g h i j k l m", "en")]
+    docs = [(1, "여기 1 2 3 4 5 6 7 8 끝"), (2, "x b c d e f g h i j k l m y"), (3, "1 2 3 4 5 6 7")]
+    assert leaks(spark, docs, items) == [(1, 1), (2, 2)] == [x for x in leaks(spark, docs, items, 1) if x != (1, 3)]
+
+
+def test_repetitive_texts_in_bounded_memory(spark, monkeypatch):
+    word = [(1, "가나다 " * 400, "ko"), (2, "ha ho " * 200, "en")]
+    docs = [(1, "가나다 " * 60_000), (2, "가나다 " * 7 + "끝"), (3, "ho ha " * 60_000), (4, ("가나다 " * 7 + "라 ") * 2_000)]
+    index = leak.Index(word, 0)
+    assert all(len(i.places) < 100 for i in index.items)
+    assert leaks(spark, docs, word) == [(1, 1), (2, 3)]
+    monkeypatch.setattr(leak, "SLICE", 1000)
+    codes, offsets, _ = leak.folder().fold(["가나다 " * 3000])
+    one = np.ones(len(codes), bool)
+    assert [(t, i) for t, i, _, _ in leak.scan(index, codes, offsets, one, one)] == [(0, 0)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=4, max_size=10), st.lists(st.integers(0, 2), max_size=14), st.integers(0, 5), st.integers(0, 3), st.integers(1, 3))
+def test_banded_distance_by_definition(needle, hay, first, wide, most):
+    """Edits to any stretch of the hay that begins in the band, computed over the whole hay; alignments leave the band by no more than the budget."""
+    got = leak.banded_distance(np.array(needle), np.array(hay, int), first, first + wide, most)
+    best = most + 1
+    for start in range(first, min(first + wide, len(hay)) + 1):
+        row = list(range(len(hay) - start + 1))
+        row = [x if x else 0 for x in row]
+        for i, c in enumerate(needle, 1):
+            new = [i]
+            for j in range(1, len(hay) - start + 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != hay[start + j - 1])))
+            row = new
+        best = min(best, *row)
+    assert got == min(best, most + 1)
+
+
 def test_leaks_in_odd_tables(spark):
     assert leaks(spark, []) == [] and leaks(spark, [(1, None), (None, ITEM)]) == []
     assert leaks(spark, [(1, ITEM)], [(1, None, "en"), (None, ITEM, "en"), (3, "too short", "en"), (4, ITEM, None)]) == [(4, 1)]
@@ -134,9 +178,11 @@ def test_leaks_in_odd_tables(spark):
 
 def test_items_in_blocks_give_the_same(spark, sf_dir, monkeypatch):
     d, i = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet")
-    one = sorted(tuple(r) for r in leak.leaked_items(d, i).collect())
-    monkeypatch.setattr(leak, "BLOCK_CODES", 100_000)
-    assert sorted(tuple(r) for r in leak.leaked_items(d, i).collect()) == one
+    long = spark.createDataFrame([(-1, "filler words here " * 80_000 + i.where("lang = 'en'").first().item_text + " more " * 9)], "doc_id long, text string")
+    d = d.select("doc_id", "text").unionByName(long)
+    one = {e: sorted(tuple(r) for r in leak.leaked_items(d, i, e).collect()) for e in (0, 1)}
+    monkeypatch.setattr(leak, "BLOCK_CODES", 1000)
+    assert {e: sorted(tuple(r) for r in leak.leaked_items(d, i, e).collect()) for e in (0, 1)} == one and len(one[0]) > 4
 
 
 def test_leaks_equal_word_windows(spark, sf_dir):
