@@ -297,7 +297,9 @@ def repaired_sides(df: DataFrame, key: str = "pair_id", sides: dict[str, str] =
 
         return pd.DataFrame([mended(t, [tuple(x.values()) if isinstance(x, dict) else tuple(x) for x in u]) for t, u in zip(text, units, strict=True)], columns=["text", "complete", "chain"])
 
-    return texts.join(per_text, ["id", "side"]).withColumn("m", mend("text", "units")).select(
+    # Only suspicious texts are moved: no other has garbled units.
+    some = texts.where(F.col("text").rlike(JVM_SUSPICIOUS))
+    return some.join(per_text, ["id", "side"]).withColumn("m", mend("text", "units")).select(
         F.col("id").alias(key), "side", "m.chain", F.col("text").alias("garbled_text"), F.col("m.text").alias("restored_text"), "m.complete"
     )
 

@@ -20,6 +20,7 @@ from . import tokens
 
 CAPACITY = 2048
 SHARD = 4096  # items balanced together
+TASKS = 20_000  # of a pass at most
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -97,7 +98,8 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHAR
         window = pack(rows["n"].to_numpy(), capacity)
         return rows.assign(container=[f"{s}-{w}" for s, w in zip(rows["_s"], window, strict=True)])[["_d", "piece", "first", "n", "container"]]
 
-    packed = dealt.groupBy("_s").applyInPandas(run, whole.schema)
+    # A task for each shard, up to a bound: their rows are few bytes and much work, which adaptive execution would put in few tasks.
+    packed = dealt.repartition(min(shards, TASKS), "_s").groupBy("_s").applyInPandas(run, whole.schema)
     return packed.unionByName(whole).select(F.col("_d").alias(doc), "piece", F.col("first").alias("first_token"), F.col("n").alias("tokens"), "container")
 
 

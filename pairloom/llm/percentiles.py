@@ -9,6 +9,7 @@ and follows only the digits that hold a wanted rank.
 
 from __future__ import annotations
 
+import sys
 
 import numpy as np
 import pandas as pd
@@ -51,7 +52,7 @@ def day_pieces(measured: DataFrame, groups: DataFrame, by: list[str], key: str,
     that is null or NaN the key has no value. Each key's rows are first reduced to one a
     day, so a key with very many rows is no burden. ``groups`` has ``key`` and ``by``;
     keys it lacks are left out, null groups are groups. ``bits``: how many leading bits
-    are kept; with fewer than 64 a value is off by at most 2**(12 - bits) of itself.
+    are kept; with fewer than 64 a value is off by at most 2**(12 - bits) of itself, or of the least normal double if that is more.
     """
     last = F.max(F.struct(F.col(at).alias("at"), F.col(value).cast("double").alias("x")))
     daily = measured.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_k"), F.to_date(at).alias("day")).agg(last.alias("l")).select("_k", "day", "l.x")
@@ -75,7 +76,7 @@ def select_percentiles(pieces: DataFrame, by: list[str], percentiles: tuple[floa
     """``<by>, percentile, value, n, error_bound`` over all days of ``pieces``.
 
     Interpolated between neighbouring ranks. ``error_bound``: how far ``value`` may be
-    from the percentile of the full doubles (0 with 64 bits, else 2**(12 - bits) of it).
+    from the percentile of the full doubles (0 with 64 bits, else 2**(12 - bits) of the greater neighbour, or of the least normal double).
     Groups without values have no rows.
     """
     named = {c: f"_g{i}" for i, c in enumerate(by)}
@@ -102,13 +103,12 @@ def select_percentiles(pieces: DataFrame, by: list[str], percentiles: tuple[floa
     found = targets.withColumn("x", _value(F.shiftleft("prefix", 64 - DIGIT * levels)))
     step = found.groupBy(*g, "total", "p").agg(F.min_by("x", "rank").alias("lo"), F.max_by("x", "rank").alias("hi"), F.min("rank").alias("rank"))
     part = F.col("p") * (F.col("total") - 1) - F.col("rank")
-    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * part)
-    bound = F.lit(0.0) if bits >= 64 else F.greatest(F.abs("lo"), F.abs("hi")) * F.lit(2.0 ** (12 - bits))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") * (1 - part) + F.col("hi") * part)
+    bound = F.lit(0.0) if bits >= 64 else F.greatest(F.abs("lo"), F.abs("hi"), F.lit(sys.float_info.min)) * F.lit(2.0 ** (12 - bits))
     return step.select(*(F.col(n).alias(c) for c, n in named.items()), F.col("p").alias("percentile"), value.alias("value"), F.col("total").alias("n"), bound.alias("error_bound"))
 
 
 
-
 def readable(pieces: DataFrame) -> DataFrame:
     """Pieces with the value that their digits stand for in place of the digits."""
     return pieces.withColumn("value", _value("digits")).drop("digits")

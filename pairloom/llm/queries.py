@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_dir, table
 from . import confusable, copies, garble, leak, overlap, packing, percentiles, reading, sample, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +25,7 @@ def query(f: Query) -> Query:
 def p1_density_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["domain", "length_stratum"]
     pieces = percentiles.day_pieces(table(spark, sf_dir, "morph_features"), table(spark, sf_dir, "pair_registry"), by, "pair_id", "morpheme_density", "measured_at")
-    found = percentiles.select_percentiles(pieces, by)
-    return found.withColumn("value", F.round("value", 9))
+    return percentiles.select_percentiles(pieces, by)
 
 
 ORACLE_SQL["p1_density_percentiles"] = """
@@ -33,11 +33,12 @@ WITH latest AS (
   SELECT pair_id, morpheme_density AS x,
          row_number() OVER (PARTITION BY pair_id ORDER BY measured_at DESC, morpheme_density DESC NULLS LAST) AS k
   FROM morph_features WHERE pair_id IS NOT NULL AND measured_at IS NOT NULL),
-ps AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS percentile, unnest([1, 2, 3, 4, 5, 6]) AS i),
-q AS (
-  SELECT domain, length_stratum, count(*) AS n, quantile_cont(x, [0.01, 0.25, 0.5, 0.75, 0.9, 0.99]) AS qs
-  FROM latest JOIN pair_registry USING (pair_id) WHERE k = 1 AND x IS NOT NULL AND NOT isnan(x) GROUP BY ALL)
-SELECT domain, length_stratum, percentile, round(qs[i], 9) AS value, n, 0.0::DOUBLE AS error_bound FROM q, ps
+ps AS (SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.9, 0.99]::DOUBLE[]) AS percentile),
+g AS (SELECT domain, length_stratum, count(*) AS n, list_sort(list(x)) AS xs
+      FROM latest JOIN pair_registry USING (pair_id) WHERE k = 1 AND x IS NOT NULL AND NOT isnan(x) GROUP BY ALL),
+r AS (SELECT *, percentile * (n - 1) AS pos FROM g, ps),
+e AS (SELECT *, xs[floor(pos)::BIGINT + 1] AS lo, xs[ceil(pos)::BIGINT + 1] AS hi, pos - floor(pos) AS d FROM r)
+SELECT domain, length_stratum, percentile, CASE WHEN lo = hi THEN lo ELSE lo * (1 - d) + hi * d END AS value, n, 0.0::DOUBLE AS error_bound FROM e
 """
 
 
@@ -120,21 +121,39 @@ def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 RATE = 0.05
 
 
-@query
-def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    epochs = sample.first_epochs(table(spark, sf_dir, "pair_registry"), "pair_id", "ingest_batch")
-    rates = epochs.select(F.col("first_epoch").alias("epoch")).distinct().withColumn("rate", F.lit(RATE))
-    return sample.stable_sample(table(spark, sf_dir, "rep_features"), epochs, rates, "pair_id").select("pair_id", "first_epoch", "rate")
+def _sample(spark: SparkSession, sf_dir: str, rate: float | Callable[[int], float]) -> DataFrame:
+    """By a ledger in the shared folder that observes the registry's batches; a lasting one would only be given the new batches."""
+    ledger = sample.Ledger(spark, f"{shared_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}")
+    ledger.observe(table(spark, sf_dir, "pair_registry"), "pair_id", "ingest_batch", rate)
+    return sample.stable_sample(table(spark, sf_dir, "rep_features"), ledger.epochs(), ledger.rates(), "pair_id").select("pair_id", "first_epoch", "rate")
 
 
-ORACLE_SQL["p7_sample"] = f"""
+def _sample_sql(rate: str) -> str:
+    return f"""
 WITH e AS (SELECT pair_id, min(ingest_batch) AS first_epoch FROM pair_registry WHERE ingest_batch IS NOT NULL GROUP BY pair_id),
-r AS (SELECT DISTINCT pair_id FROM rep_features WHERE pair_id IS NOT NULL)
-SELECT pair_id, first_epoch, {RATE}::DOUBLE AS rate FROM r JOIN e USING (pair_id)
-WHERE substr(sha256('{sample.SEED}|0|' || pair_id), 1, 13) <= '{int(RATE * (1 << 52)):013x}'
+r AS (SELECT DISTINCT pair_id FROM rep_features WHERE pair_id IS NOT NULL),
+x AS (SELECT pair_id, first_epoch, {rate}::DOUBLE AS rate FROM r JOIN e USING (pair_id))
+SELECT * FROM x WHERE substr(sha256('{sample.SEED}|0|' || pair_id), 1, 13) <= lpad(format('{{:x}}', (rate * {1 << sample.BITS})::BIGINT), 13, '0')
 """
 
 
+@query
+def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark, sf_dir, RATE)
+
+
+ORACLE_SQL["p7_sample"] = _sample_sql(str(RATE))
+
+
+@query
+def p7_changing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a rate that was doubled for every other batch: each record keeps that of its own."""
+    return _sample(spark, sf_dir, lambda epoch: RATE * (1 + epoch % 2))
+
+
+ORACLE_SQL["p7_changing_rates"] = _sample_sql(f"({RATE} * (1 + first_epoch % 2))")
+
+
 @query
 def p6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = tokens.pair_budget(table(spark, sf_dir, "token_measurement"), table(spark, sf_dir, "pair_registry"))

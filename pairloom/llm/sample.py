@@ -8,6 +8,8 @@ never changed by records that come later, nor by a new rate for new epochs.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,39 +35,48 @@ def stable_sample(records: DataFrame, epochs: DataFrame, rates: DataFrame, key:
     ``epochs`` has ``key, first_epoch``; ``rates`` has ``epoch, rate``. A key without an
     epoch or a rate can't be sampled. Repeated rows count once; other columns are ignored.
     """
-    ids = records.select(key).where(F.col(key).isNotNull()).distinct().withColumn("draw", draw(key, seed=seed))
-    return ids.join(epochs, key).join(rates, F.col("first_epoch") == F.col("epoch")).where(F.col("draw") < F.col("rate")).select(key, "first_epoch", "rate", "draw")
+    # Draws above the highest rate are dropped before anything is shuffled.
+    top = rates.agg(F.max("rate")).first()[0]
+    low = draw(key, seed=seed) < F.lit(-1.0 if top is None else top)
+    ids = records.select(key).where(F.col(key).isNotNull() & low).distinct().withColumn("draw", draw(key, seed=seed))
+    return ids.join(epochs.where(low), key).join(rates, F.col("first_epoch") == F.col("epoch")).where(F.col("draw") < F.col("rate")).select(key, "first_epoch", "rate", "draw")
 
 
 class Ledger:
-    """First-seen epochs and frozen rates on disk: a folder of ids for each epoch and a file with its rate."""
+    """First-seen epochs and frozen rates on disk: tables of ids with their epoch, one for each time something was observed, and a file for each epoch's rate."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):  # noqa: ANN202
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def _exists(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
     def epochs(self) -> DataFrame | None:
-        fs, path = self._fs()
-        return self.spark.read.parquet(f"{self.path}/ids").withColumnRenamed("epoch", "first_epoch") if fs.exists(path(f"{self.path}/ids")) else None
+        """``key, first_epoch`` of all keys observed so far."""
+        return self.spark.read.parquet(f"{self.path}/ids/*") if self._exists("ids") else None
 
     def rates(self) -> DataFrame:
-        return self.spark.read.schema("epoch long, rate double").json(f"{self.path}/rates/*")
+        """``epoch, rate`` of the frozen epochs."""
+        schema = "epoch long, rate double"
+        return self.spark.read.schema(schema).json(f"{self.path}/rates/*") if self._exists("rates") else self.spark.createDataFrame([], schema)
 
-    def add(self, records: DataFrame, key: str, epoch: int, rate: float) -> None:
-        """Register the keys of ``records`` not seen before under ``epoch``; an epoch is written once and its rate never changes."""
-        fs, path = self._fs()
-        if fs.exists(path(f"{self.path}/rates/{epoch}")):
-            raise ValueError(f"epoch {epoch} is frozen")
-        ids = records.select(key).where(F.col(key).isNotNull()).distinct()
-        known = self.epochs()
+    def observe(self, records: DataFrame, key: str, epoch: str, rate: float | Callable[[int], float]) -> None:
+        """Register keys of ``records`` that were not seen before, each under its earliest epoch; epochs without a rate get theirs, for good.
+
+        ``rate``: of new epochs, one number or a function of the epoch. Null keys and epochs are left out. What was
+        registered before stays as it is, so a failed attempt can be repeated.
+        """
+        ids, known = first_epochs(records, key, epoch), self.epochs()
         if known is not None:
             ids = ids.join(known, key, "left_anti")
-        ids.write.parquet(f"{self.path}/ids/epoch={epoch}")
-        # The rate is written last: without it the epoch does not count, and a failed attempt can be repeated.
-        self.spark.createDataFrame([(epoch, rate)], "epoch long, rate double").coalesce(1).write.json(f"{self.path}/rates/{epoch}")
-
+        ids.write.parquet(f"{self.path}/ids/{uuid.uuid4().hex}")
+        # Rates are written last: an epoch without one gives no sample.
+        for e in sorted(r[0] for r in self.epochs().select(F.col("first_epoch").cast("long")).distinct().join(self.rates(), F.col("first_epoch") == F.col("epoch"), "left_anti").collect()):
+            self.spark.createDataFrame([(e, float(rate(e) if callable(rate) else rate))], "epoch long, rate double").coalesce(1).write.json(f"{self.path}/rates/{e}")
 
+    def add(self, records: DataFrame, key: str, epoch: int, rate: float) -> None:
+        """Register all keys of ``records`` not seen before under one new epoch."""
+        if self._exists(f"rates/{epoch}"):
+            raise ValueError(f"epoch {epoch} is frozen")
+        self.observe(records.select(key).withColumn("_epoch", F.lit(epoch).cast("long")), key, "_epoch", rate)

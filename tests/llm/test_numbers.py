@@ -75,6 +75,14 @@ def test_fewer_bits_keep_the_bound(spark):
         assert 0 < r.error_bound <= 2e-6 * r.value and abs(r.value - np.quantile(x, r.percentile)) <= r.error_bound
 
 
+def test_the_bound_holds_for_the_smallest_doubles(spark):
+    x = [5e-324 * k for k in (1, 3, 70_001, 2**40 + 5)] + [-5e-324 * 9, 2.3e-308]
+    rows = [(f"p{i}", DAY, v) for i, v in enumerate(x)]
+    pieces = pc.day_pieces(measured(spark, rows), groups(spark, [r[0] for r in rows]), ["g"], "pair_id", "v", "measured_at", bits=32)
+    for r in pc.select_percentiles(pieces, ["g"], bits=32).collect():
+        assert abs(r.value - np.quantile(x, r.percentile)) <= r.error_bound < 1e-308
+
+
 def test_empty_and_infinite(spark):
     assert pc.select_percentiles(pc.day_pieces(measured(spark, []), groups(spark, ["a"]), ["g"], "pair_id", "v", "measured_at"), ["g"]).count() == 0
     rows = [("a", DAY, math.inf), ("b", DAY, -math.inf), ("c", DAY, 0.0), ("d", DAY, -0.0)]
@@ -104,6 +112,23 @@ def test_ledger_keeps_members_when_data_and_rates_grow(spark, tmp_path):
         ledger.add(batch(0, 10), "k", 1, 0.9)
 
 
+def test_ledger_observes_batches_in_any_number_of_steps(spark, tmp_path):
+    d = spark.range(3000).select(F.format_string("id%d", "id").alias("k"), (F.col("id") % 4).alias("e"))
+    d = d.unionByName(d.where("k like '%0'").withColumn("e", F.lit(9).cast("long"))).unionByName(spark.createDataFrame([(None, 1), ("z", None)], "k string, e long"))
+    rate = lambda e: 0.05 * (1 + e % 2)
+    one, two = sp.Ledger(spark, f"file://{tmp_path}/one"), sp.Ledger(spark, f"file://{tmp_path}/two")
+    one.observe(d, "k", "e", rate)
+    members = []
+    for last in (0, 1, 2, 9):
+        two.observe(d.where(F.col("e") <= last), "k", "e", rate if last < 9 else 0.9)
+        members.append({r.k for r in sp.stable_sample(d, two.epochs(), two.rates(), "k").collect()})
+    assert all(a <= b for a, b in zip(members, members[1:], strict=False))
+    assert members[-1] >= {r.k for r in sp.stable_sample(d, one.epochs(), one.rates(), "k").where("first_epoch < 3").collect()}
+    assert {r.epoch: r.rate for r in two.rates().collect() if r.epoch < 3} == {0: 0.05, 1: 0.1, 2: 0.05}
+    assert two.epochs().count() == 3000 and two.epochs().where("first_epoch = 9").count() == 0
+    assert sp.Ledger(spark, f"file://{tmp_path}/none").rates().count() == 0
+
+
 def test_sample_of_nulls_and_nothing(spark):
     d = spark.createDataFrame([(None, 1), ("a", None), ("b", 2)], "k string, e long")
     rates = spark.createDataFrame([(1, 1.0)], "epoch long, rate double")
