@@ -2,8 +2,10 @@
 
 Gradient-boosted regression trees over distributions of length, vocabulary, syntax
 and cohesion, one model for each language, trained on the median rating of a bounded
-sample of rated documents. Predictions are cross-validated with whole sources held
-out, and an isotonic curve over the held-out predictions calibrates the grades.
+sample of rated documents. Vocabulary, syntax (which word endings stand side by side) and
+sentence openings are weighed by tables learned from the ratings, not by word lists.
+Predictions are cross-validated with whole sources held out, and an isotonic curve over
+the held-out predictions calibrates the grades.
 """
 
 from __future__ import annotations
@@ -22,67 +24,121 @@ from pyspark.sql import types as T
 
 from ..session import cut
 from . import tokens
+from .fold import scramble
 
 MOST_LABELLED = 20_000  # rated documents a language's model is trained on; beyond it a sample by hash of the id
 MOST_BROADCAST = 1_000_000  # ratings of 16 bytes each
-LEXICON_BITS = 16  # words share 2**16 difficulty cells
+LEXICON_BITS = 16  # each learned table has 2**16 cells
 FOLDS = 5
 ROUNDS, DEPTH, RATE, LEAF, SHRINK = 120, 4, 0.08, 12, 4.0
 BINS = 48
+CHUNK = 500  # documents described at once
 SENTENCE = re.compile(r"[.!?。！？]+[\s\"'”’)\]」]*|\n+")
+CLAUSE = re.compile(r"[,;:，；：、()\[\]–—]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
-# Words and endings that open or join clauses.
-CLAUSE_EN = frozenset("because since although though while before after that which who whom whose if unless until when where whereas whether as so but and or".split())
-CLAUSE_KO = re.compile(r"(?:므로|지만|으며|며|면서|기에|아서|어서|니까|려고|도록|다고|라고|는데|거나|든지|때문에|전에|후에|따르면)$")
-RELATIVE_KO = re.compile(r"(?:한|은|는|던|을|된|인|적인)$")
-LINKS = frozenset("however therefore moreover thus also then this these those it they he she such 그러나 그래서 그리고 또한 따라서 이는 그는 그것은 이러한 그런 하지만 즉".split())
-QUANTILES = (10, 25, 50, 75, 90)
-
-
-def _spread(x: list[float] | np.ndarray) -> list[float]:
-    """Mean, deviation and quantiles of a distribution; zeros for none."""
-    if not len(x):
-        return [0.0] * (2 + len(QUANTILES))
-    x = np.asarray(x, float)
-    return [float(x.mean()), float(x.std()), *np.percentile(x, QUANTILES).tolist()]
-
-
-def features(text: str, language: str) -> tuple[list[float], list[int]]:
-    """A document's features and the lexicon cells of its words."""
-    sentences = [w for w in (WORD.findall(s.lower()) for s in SENTENCE.split(text)) if w]
-    words = [w for s in sentences for w in s]
-    n = max(1, len(words))
-    lengths = [len(w) for w in words]
-    if language == "ko":
-        clauses = [sum(bool(CLAUSE_KO.search(w)) for w in s) for s in sentences]
-        relatives = sum(bool(RELATIVE_KO.search(w)) for w in words)
-    else:
-        clauses = [sum(w in CLAUSE_EN for w in s) for s in sentences]
-        relatives = sum(w in ("that", "which", "who", "of") for w in words)
-    overlap = [len(set(a) & set(b)) / max(1, min(len(set(a)), len(set(b)))) for a, b in zip(sentences, sentences[1:], strict=False)]
-    distinct = len(set(words))
-    row = [
-        *_spread([len(s) for s in sentences]), *_spread(lengths), *_spread(clauses), *_spread(overlap),
-        np.log1p(len(words)), np.log1p(len(sentences)), distinct / n, distinct / np.sqrt(n), relatives / n,
-        sum(w in LINKS for w in words) / n, text.count(",") / n, sum(map(str.isdigit, words)) / n,
-        sum(x >= (5 if language == "ko" else 10) for x in lengths) / n, text.count("\n") / max(1, len(sentences)),
-    ]
-    stem = (lambda w: w[:2]) if language == "ko" else (lambda w: w[:7])
-    return row, [xxhash.xxh32_intdigest(stem(w)) >> (32 - LEXICON_BITS) for w in words]
-
-
-def lexicon(cells: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """How far above the mean the ratings of documents with a word are, by cell, drawn towards 0 where few are known."""
-    total, seen = np.zeros(1 << LEXICON_BITS), np.zeros(1 << LEXICON_BITS)
-    for c, v in zip(cells, y - y.mean(), strict=True):
-        u = np.unique(c)
-        total[u] += v
-        seen[u] += 1
-    return total / (seen + 5.0)
-
-
-def with_lexicon(rows: np.ndarray, cells: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-    return np.hstack([rows, np.array([_spread(table[c]) for c in cells]).reshape(len(rows), -1)])
+QUANTILES = np.array((0.1, 0.25, 0.5, 0.75, 0.9))
+SPREAD = 2 + len(QUANTILES)
+KINDS = ("vocabulary", "syntax", "openings")  # what the learned tables of difficulty are about: stems, neighbouring word endings, first words
+KNOWN = 300_000  # words whose cells a worker keeps
+
+
+def spreads(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Mean, deviation and quantiles of each row's values, which stand in a row one after another; zeros for none."""
+    out = np.zeros((len(sizes), SPREAD))
+    if not len(values):
+        return out
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.maximum(sizes, 1)
+    mean = np.bincount(row, values, len(sizes)) / n
+    out[:, 0] = mean
+    out[:, 1] = np.sqrt(np.maximum(np.bincount(row, (values - mean[row]) ** 2, len(sizes)) / n, 0))
+    rising = values[np.lexsort((values, row))]
+    start = np.cumsum(sizes) - sizes
+    at = QUANTILES * (n - 1)[:, None]
+    lo = np.minimum(start[:, None] + np.floor(at).astype(np.int64), len(values) - 1)
+    hi = np.minimum(start[:, None] + np.ceil(at).astype(np.int64), len(values) - 1)
+    out[:, 2:] = rising[lo] * (1 - at + np.floor(at)) + rising[hi] * (at - np.floor(at))
+    out[sizes == 0] = 0
+    return out
+
+
+_words: dict[str, dict[str, tuple[int, int]]] = {"ko": {}, "en": {}}
+
+
+def _cells_of(words: list[str], language: str) -> tuple[list[int], list[int]]:
+    """The cell of each word's stem, and a number for its ending: Korean stems and endings are two syllables long, English ones seven and three letters."""
+    known = _words[language]
+    if len(known) > KNOWN:
+        known.clear()
+    stem, ending = (2, 2) if language == "ko" else (7, 3)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh32_intdigest(w[:stem]) >> (32 - LEXICON_BITS), xxhash.xxh32_intdigest(w[-ending:])
+    both = [known[w] for w in words]
+    return [x for x, _ in both], [y for _, y in both]
+
+
+class Described:
+    """Features of documents of one language, with the cells of their words in the learned tables."""
+
+    def __init__(self, texts: list[str], language: str) -> None:
+        spread: list[list[list[float]]] = [[], [], [], [], [], []]
+        plain, self.cells = [], {k: [] for k in KINDS}
+        for t in texts:
+            raw = [s for s in SENTENCE.split(t.lower()) if s]
+            found = [WORD.findall(s) for s in raw]
+            sentences = [w for w in found if w]
+            words = [w for s in sentences for w in s]
+            clauses = [n for s in raw for c in CLAUSE.split(s) if (n := len(WORD.findall(c)))]
+            sets = [set(s) for s in sentences]
+            shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:], strict=False)]
+            last: dict[str, int] = {}
+            fresh, gaps = [], []
+            for k, s in enumerate(sets):
+                again = [k - last[w] for w in s if w in last]
+                gaps += again
+                fresh.append(1 - len(again) / len(s))
+                last |= dict.fromkeys(s, k)
+            lengths = list(map(len, words))
+            for x, y in zip(spread, (list(map(len, sentences)), lengths, clauses, shared, fresh, gaps), strict=True):
+                x.append(y)
+            n, m = max(1, len(words)), max(1, len(sentences))
+            plain.append((np.log1p(len(words)), np.log1p(len(sentences)), len(last) / n, len(last) / np.sqrt(n), len(gaps) / n, len(clauses) / m, sum(map(str.isdigit, words)) / n, t.count("\n") / m))
+            stems, endings = _cells_of(words, language)
+            e = np.array(endings, np.uint64)
+            self.cells["vocabulary"].append(np.array(stems, np.int64))
+            self.cells["syntax"].append((scramble((e[:-1] << np.uint64(32)) + e[1:]) >> np.uint64(64 - LEXICON_BITS)).astype(np.int64))
+            self.cells["openings"].append(np.array([xxhash.xxh32_intdigest(s[0]) >> (32 - LEXICON_BITS) for s in sentences], np.int64))
+        flat = [(np.array([v for row in x for v in row], float), np.array(list(map(len, x)), np.int64)) for x in spread]
+        self.rows = np.hstack([*(spreads(v, n) for v, n in flat), np.array(plain, float).reshape(len(texts), -1)])
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def some(self, at: np.ndarray) -> Described:
+        """The documents at these places (numbers or a mask)."""
+        out = object.__new__(Described)
+        places = np.arange(len(self))[at]
+        out.rows, out.cells = self.rows[places], {k: [c[i] for i in places] for k, c in self.cells.items()}
+        return out
+
+    def with_tables(self, tables: dict[str, np.ndarray]) -> np.ndarray:
+        """The features, and for each table the spread of difficulty over the document's cells."""
+        learned = [spreads(tables[k][np.concatenate(c)] if c else np.zeros(0), np.array(list(map(len, c)), np.int64)) for k, c in self.cells.items()]
+        return np.hstack([self.rows, *learned])
+
+
+def learned_tables(docs: Described, y: np.ndarray) -> dict[str, np.ndarray]:
+    """For each kind, how far above the mean the ratings of documents with a cell are, drawn towards 0 where few are known."""
+    out = {}
+    for k, cells in docs.cells.items():
+        total, seen = np.zeros(1 << LEXICON_BITS), np.zeros(1 << LEXICON_BITS)
+        for c, v in zip(cells, y - y.mean(), strict=True):
+            u = np.unique(c)
+            total[u] += v
+            seen[u] += 1
+        out[k] = total / (seen + 5.0)
+    return out
 
 
 class Boosted:
@@ -150,38 +206,40 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration of one language."""
+    """Learned tables, trees and calibration of one language."""
 
-    def fit(self, rows: np.ndarray, cells: list[np.ndarray], y: np.ndarray, fold: np.ndarray) -> np.ndarray:
-        """Trains; returns the held-out predictions of the training documents, calibrated."""
+    def fit(self, docs: Described, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        """Trains; returns the grades of the training documents as models without their sources, calibrated without their sources, give them."""
         held = np.full(len(y), float(y.mean()) if len(y) else 3.5)
         for k in range(FOLDS):
             out = fold == k
             if out.any() and not out.all():
-                one = self._one(rows[~out], [c for c, o in zip(cells, out, strict=True) if not o], y[~out])
-                held[out] = self._raw(one, rows[out], [c for c, o in zip(cells, out, strict=True) if o])
+                held[out] = self._raw(self._one(docs.some(~out), y[~out]), docs.some(out))
         self.curve = isotonic(held, y) if len(y) else (np.array([1.0, 6.0]), np.array([1.0, 6.0]))
-        self.parts = self._one(rows, cells, y)
-        # Each fold's own held-out curve would need a third level of folds; the curve is monotone and has few corners.
-        return np.interp(held, *self.curve)
+        self.parts = self._one(docs, y)
+        graded = held.copy()
+        for k in range(FOLDS):
+            out = fold == k
+            if out.any() and not out.all():
+                graded[out] = np.interp(held[out], *isotonic(held[~out], y[~out]))
+        return graded
 
-    def _one(self, rows: np.ndarray, cells: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, Boosted]:
-        # Trees must not learn from a word's rating through the document itself: half the documents give the lexicon of the other half.
+    def _one(self, docs: Described, y: np.ndarray) -> tuple[dict[str, np.ndarray], Boosted]:
+        # Trees must not learn from a word's rating through the document itself: half the documents give the tables of the other half.
         half = np.arange(len(y)) % 2 == 0
-        full = lexicon(cells, y)
-        x = np.empty((len(y), rows.shape[1] + 2 + len(QUANTILES)))
+        full = learned_tables(docs, y)
+        x = np.empty((len(y), docs.rows.shape[1] + SPREAD * len(KINDS)))
         for part in (half, ~half):
             if part.any():
-                rest = [c for c, p in zip(cells, part, strict=True) if not p]
-                x[part] = with_lexicon(rows[part], [c for c, p in zip(cells, part, strict=True) if p], lexicon(rest, y[~part]) if rest else full)
+                x[part] = docs.some(part).with_tables(full if part.all() else learned_tables(docs.some(~part), y[~part]))
         return full, Boosted().fit(x, y)
 
     @staticmethod
-    def _raw(parts: tuple[np.ndarray, Boosted], rows: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
-        return parts[1].predict(with_lexicon(rows, cells, parts[0]))
+    def _raw(parts: tuple[dict[str, np.ndarray], Boosted], docs: Described) -> np.ndarray:
+        return parts[1].predict(docs.with_tables(parts[0]))
 
-    def predict(self, rows: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
-        return np.interp(self._raw(self.parts, rows, cells), *self.curve)
+    def predict(self, docs: Described) -> np.ndarray:
+        return np.interp(self._raw(self.parts, docs), *self.curve)
 
 
 def median_ratings(labels: DataFrame, doc: str = "doc_id", rater: str = "rater", level: str = "reading_level") -> DataFrame:
@@ -189,12 +247,6 @@ def median_ratings(labels: DataFrame, doc: str = "doc_id", rater: str = "rater",
     return labels.where(F.col(level).isNotNull() & F.col(doc).isNotNull()).select(doc, rater, level).distinct().groupBy(doc).agg(F.median(level).alias("rating"))
 
 
-def _described(texts: list[str], language: list[str] | str) -> tuple[np.ndarray, list[np.ndarray]]:
-    langs = [language] * len(texts) if isinstance(language, str) else language
-    both = [features(t, lang) for t, lang in zip(texts, langs, strict=True)]
-    return np.array([r for r, _ in both], float).reshape(len(both), -1), [np.array(c, int) for _, c in both]
-
-
 def _main_language(text: str) -> Column:
     """ko or en, whichever has more of the letters; null without letters of either."""
     text = F.coalesce(F.col(text), F.lit(""))
@@ -208,20 +260,20 @@ def train(documents: DataFrame, labels: DataFrame) -> DataFrame:
     # Few ratings go to the documents, so that only rated texts move; beyond the bound both sides are shuffled.
     ratings = F.broadcast(ratings) if ratings.count() <= MOST_BROADCAST else ratings
     rated = documents.where("text is not null").join(ratings, "doc_id").dropDuplicates(["doc_id"])
-    rated = rated.select("doc_id", tokens.source_key("source").alias("source"), "text", "rating", _main_language("text").alias("language")).where("language is not null")
+    rated = cut(rated.select("doc_id", tokens.source_key("source").alias("source"), "text", "rating", _main_language("text").alias("language")).where("language is not null"))
     # A bounded sample for each language: the smallest hashes of the ids, without gathering a language's rows anywhere first.
     counts = rated.groupBy("language").agg(F.count("*").alias("_n"))
     share = F.lit(float(MOST_LABELLED)) / F.col("_n")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    bounded = rated.join(counts, "language").where(unit < share).drop("_n")
+    bounded = rated.join(F.broadcast(counts), "language").where(unit < share).drop("_n")  # two rows
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
         language = rows["language"].iloc[0]
-        x, cells = _described(rows["text"].tolist(), language)
+        docs = Described(rows["text"].tolist(), language)
         fold = np.array([xxhash.xxh32_intdigest(s or "") % FOLDS for s in rows["source"]])
         model = Model()
-        held = model.fit(x, cells, rows["rating"].to_numpy(float), fold)
+        held = model.fit(docs, rows["rating"].to_numpy(float), fold)
         out = rows[["language", "doc_id", "source", "rating"]].assign(held_out=held, model=None)
         one = pd.DataFrame([{"language": language, "doc_id": None, "source": None, "rating": None, "held_out": None, "model": pickle.dumps(model)}])
         columns = {c: [*out[c].tolist(), *one[c].tolist()] for c in out.columns}
@@ -249,9 +301,9 @@ def reading_levels(documents: DataFrame, trained: DataFrame) -> DataFrame:
             score = np.full(len(texts), np.nan)
             for name, model in ready.items():
                 at = [i for i, x in enumerate(language) if x == name]
-                for k in range(0, len(at), 1000):
-                    some = at[k : k + 1000]
-                    score[some] = model.predict(*_described([texts[i] for i in some], name))
+                for k in range(0, len(at), CHUNK):
+                    some = at[k : k + CHUNK]
+                    score[some] = model.predict(Described([texts[i] for i in some], name))
             known = ~np.isnan(score)
             level = np.clip(np.floor(np.where(known, score, 1) + 0.5), 1, 6).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, mask=~known), pa.array(level, mask=~known)], names=schema.names)
