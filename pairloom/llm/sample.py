@@ -43,7 +43,7 @@ def stable_sample(records: DataFrame, epochs: DataFrame, rates: DataFrame, key:
 
 
 class Ledger:
-    """First-seen epochs and frozen rates on disk: tables of ids with their epoch, one for each time something was observed, and a file for each epoch's rate."""
+    """First-seen epochs and frozen rates on disk: tables of ids with their epoch, and tables of epochs with their rate, one for each time something new was observed."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -71,12 +71,14 @@ class Ledger:
         if known is not None:
             ids = ids.join(known, key, "left_anti")
         ids.write.parquet(f"{self.path}/ids/{uuid.uuid4().hex}")
-        # Rates are written last: an epoch without one gives no sample.
-        for e in sorted(r[0] for r in self.epochs().select(F.col("first_epoch").cast("long")).distinct().join(self.rates(), F.col("first_epoch") == F.col("epoch"), "left_anti").collect()):
-            self.spark.createDataFrame([(e, float(rate(e) if callable(rate) else rate))], "epoch long, rate double").coalesce(1).write.json(f"{self.path}/rates/{e}")
+        # Rates are written last: an epoch without one gives no sample. There are as many as epochs.
+        first = self.epochs().select(F.col("first_epoch").cast("long").alias("epoch")).distinct()
+        fresh = [(e, float(rate(e) if callable(rate) else rate)) for e in sorted(r.epoch for r in first.join(self.rates(), "epoch", "left_anti").collect())]
+        if fresh:
+            self.spark.createDataFrame(fresh, "epoch long, rate double").coalesce(1).write.json(f"{self.path}/rates/{uuid.uuid4().hex}")
 
     def add(self, records: DataFrame, key: str, epoch: int, rate: float) -> None:
         """Register all keys of ``records`` not seen before under one new epoch."""
-        if self._exists(f"rates/{epoch}"):
+        if self.rates().where(F.col("epoch") == epoch).count():
             raise ValueError(f"epoch {epoch} is frozen")
         self.observe(records.select(key).withColumn("_epoch", F.lit(epoch).cast("long")), key, "_epoch", rate)
