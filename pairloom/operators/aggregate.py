@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 Columns = dict[str, Column | str]
 
 
@@ -23,14 +25,17 @@ def long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Per feature (and group): count, exact interpolated quantiles, moments, zero count, Tukey fence.
 
-    ``percentile`` keeps a value-to-count map for each group; for columns with billions
-    of distinct values use the radix selection of the other subpackage instead.
+    All from counts of distinct values, which are spread over value ranges: no buffer holds a group's values.
     """
-    long = long_values(df, columns, by).where("value is not null and not isnan(value)")
-    q = F.percentile("value", F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)))).alias("_q")
-    d = long.groupBy(*(by or []), "feature").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), q, F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count_if(F.col("value") == 0).alias("zeros"))
-    names = ("p05", "p25", "p50", "p75", "p95", "p99")
-    d = d.select("*", *(F.col("_q")[i].alias(name) for i, name in enumerate(names))).drop("_q")
+    keys = [*(by or []), "feature"]
+    c = ranks.running(ranks.value_counts(long_values(df, columns, by), "value", keys), keys, _mean=F.sum(F.col("n") * F.col("value")) / F.sum("n"))
+    names = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    squares = F.sum(F.col("n") * (F.col("value") - F.col("_mean")) ** 2)
+    n = F.max("total")
+    d = c.groupBy(*keys).agg(
+        n.alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.max("_mean").alias("mean"), F.sqrt(F.when(n > 1, squares / (n - 1))).alias("sd"),
+        F.sum(F.when(F.col("value") == 0, F.col("n")).otherwise(0)).alias("zeros"), *(ranks.quantile(p).alias(k) for k, p in names.items()),
+    )
     iqr = F.col("p75") - F.col("p25")
     return d.withColumns({"iqr": iqr, "upper_fence": F.col("p75") + 1.5 * iqr, "zero_iqr": iqr == 0})
 
@@ -77,7 +82,9 @@ def counts_of(df: DataFrame, predicates: dict[str, Column], label: str = "rule")
 def regions(df: DataFrame, named: dict[str, Column], value: Column | str) -> DataFrame:
     """``region, n, median``: overlapping named regions in one scan, each row once for each region it is in."""
     member = F.filter(F.array(*(F.when(p, F.lit(k)) for k, p in named.items())), lambda x: x.isNotNull())
-    return df.select(F.explode(member).alias("region"), _c(value).alias("_v")).groupBy("region").agg(F.count("*").alias("n"), F.median("_v").alias("median"))
+    d = df.select(F.explode(member).alias("region"), _c(value).alias("_v"))
+    medians = ranks.quantiles(d, "_v", {"median": 0.5}, ["region"]).select("region", "median")
+    return d.groupBy("region").agg(F.count("*").alias("n")).join(medians, "region", "left")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,50 +94,33 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r")) for i, (a, b) in enumerate(pairs)))))
 
 
-def average_ranks(df: DataFrame, x: Column | str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """``<by>, value, n, rank``: each distinct value with the mean rank of its rows, from counts: no window over the rows.
-
-    The window runs over distinct values. Where these are too many for one task, values
-    are first counted in ranges (``range_ranks``).
-    """
-    d = df.select(*(by or []), _c(x).alias("value")).where("value is not null").groupBy(*(by or []), "value").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*(by or [])).orderBy("value")) - F.col("n")
-    return d.withColumn(out, before + (F.col("n") + 1) / 2)
+def average_ranks(df: DataFrame, x: Column | str, by: list[str] | None = None, parts: int = ranks.PARTS) -> DataFrame:
+    """``<by>, value, n, rank``: each distinct value with the mean rank of its rows; nulls and NaN are left out."""
+    c = ranks.running(ranks.value_counts(df, x, by), by, parts)
+    return c.select(*(by or []), "value", "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def range_ranks(df: DataFrame, x: str, parts: int = 64) -> DataFrame:
-    """``value, n, rank`` as ``average_ranks`` gives without groups, with work spread over value ranges.
-
-    Ranges come from approximate quantiles, a list of fixed length; ranks are exact,
-    since each range adds the exact counts of those below it.
-    """
-    d = df.select(F.col(x).cast("double").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    cuts = sorted(set(d.approxQuantile("value", [i / parts for i in range(1, parts)], 0.01)))
-    part = F.aggregate(F.array(*(F.lit(c) for c in cuts)), F.lit(0), lambda k, c: k + (F.col("value") >= c).cast("int")) if cuts else F.lit(0)
-    d = d.withColumn("_p", part)
-    sizes = d.groupBy("_p").agg(F.sum("n").alias("_s")).withColumn("_below", F.sum("_s").over(Window.orderBy("_p")) - F.col("_s")).drop("_s")
-    inside = F.sum("n").over(Window.partitionBy("_p").orderBy("value")) - F.col("n")
-    return d.join(sizes, "_p").withColumn("rank", F.col("_below") + inside + (F.col("n") + 1) / 2).select("value", "n", "rank")
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``rho, n``: Pearson correlation of average ranks over rows with both values; constant columns give null."""
+    both = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.count("*").alias("w"))
 
+    def rank(c: str) -> DataFrame:
+        r = ranks.running(both.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("n")))
+        return r.select(F.col("value").alias(c), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``rho``: Pearson correlation of average ranks."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("w"))
-    rank = lambda c: both.groupBy(c).agg(F.sum("w").alias("n")).withColumn(f"r{c}", F.sum("n").over(Window.orderBy(c)) - F.col("n") + (F.col("n") + 1) / 2).drop("n")
     d = both.join(rank("x"), "x").join(rank("y"), "y")
     n, sx, sy = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))
     s = d.agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), *(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(a + b) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry"))))
     cov = F.col("rxry") - F.col("sx") * F.col("sy") / F.col("n")
     vx, vy = F.col("rxrx") - F.col("sx") ** 2 / F.col("n"), F.col("ryry") - F.col("sy") ** 2 / F.col("n")
-    return s.select((cov / F.sqrt(vx * vy)).alias("rho"), "n")
+    return s.select(F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"), "n")
 
 
 def nearest_rank_quantiles(df: DataFrame, x: Column | str, ps: list[float]) -> DataFrame:
-    """``p, value``: nearest-rank quantiles of a table of value counts."""
-    counts = df.select(_c(x).alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    run = counts.withColumns({"upto": F.sum("n").over(Window.orderBy("value")), "total": F.sum("n").over(Window.partitionBy())})
-    hits = run.select("value", "upto", "total", F.explode(F.array(*(F.lit(float(p)) for p in ps))).alias("p"))
-    return hits.where(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * F.col("p")))).groupBy("p").agg(F.min("value").alias("value"))
+    """``p, value``: nearest-rank quantiles of a table of value counts; none for no values."""
+    c = ranks.running(ranks.value_counts(df, x))
+    picks = c.agg(*(ranks.at_rank(F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(float(p))))).alias(f"_{i}") for i, p in enumerate(ps)))
+    return picks.select(F.inline(F.array(*(F.struct(F.lit(float(p)).alias("p"), F.col(f"_{i}").alias("value")) for i, p in enumerate(ps))))).where("value is not null")
 
 
 def profile(df: DataFrame, columns: list[str], top: int = 25) -> DataFrame:
@@ -163,5 +153,3 @@ def tiles(df: DataFrame, x: str, tie: str, n: int) -> DataFrame:
     from ..functions.quality import length_strata
 
     return length_strata(df, F.col(x), tie, n, "tile")
-
-

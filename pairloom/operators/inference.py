@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+from . import ranks
+
 Z95 = 1.959964
 
 
@@ -19,10 +25,11 @@ def signed_rank(df: DataFrame, x: Column | str) -> DataFrame:
     x = F.col(x) if isinstance(x, str) else x
     d = df.select(x.cast("double").alias("x")).where("x is not null and not isnan(x)")
     counts = d.where("x <> 0").groupBy(F.abs("x").alias("a")).agg(F.count("*").alias("t"), F.count_if(F.col("x") > 0).alias("p"))
-    ranks = counts.withColumn("r", F.sum("t").over(Window.orderBy("a")) - F.col("t") + (F.col("t") + 1) / 2)
+    c = ranks.running(counts.select(F.col("a").alias("value"), F.col("t").alias("n"), "p"))
+    ranked = c.select(F.col("n").alias("t"), "p", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
     # Products of counts are formed in doubles: with billions of ties t**3 leaves a long.
     t = F.col("t").cast("double")
-    s = ranks.agg(F.sum("t").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(t * t * t - t).alias("ties"))
+    s = ranked.agg(F.sum("t").alias("n"), F.sum(F.col("r") * F.col("p")).alias("w_plus"), F.sum(t * t * t - t).alias("ties"))
     zeros = d.agg(F.count_if(F.col("x") == 0).alias("zeros"))
     n = F.col("n").cast("double")
     variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
@@ -58,54 +65,123 @@ def exact_sign_p(positive: int, negative: int) -> float:
     return min(1.0, 2 * math.exp(top) * sum(math.exp(v - top) for v in logs))
 
 
-def value_counts(df: DataFrame, x: Column | str, by: list[str] | None = None) -> DataFrame:
-    x = F.col(x) if isinstance(x, str) else x
-    return df.select(*(by or []), x.cast("double").alias("value")).where("value is not null and not isnan(value)").groupBy(*(by or []), "value").agg(F.count("*").alias("n"))
-
-
 def order_statistic_interval(df: DataFrame, x: Column | str) -> DataFrame:
     """``n, median, low, high``: the values at ranks n/2 -+ z sqrt(n)/2, from cumulative counts."""
-    c = value_counts(df, x).withColumns({"upto": F.sum("n").over(Window.orderBy("value")), "total": F.sum("n").over(Window.partitionBy())})
     n = F.col("total")
     low = F.greatest(F.lit(1), F.floor(n / 2 - Z95 * F.sqrt(n.cast("double")) / 2))
     high = F.least(n, F.ceil(n / 2 + Z95 * F.sqrt(n.cast("double")) / 2) + 1)
-    at = lambda r: F.min(F.when(F.col("upto") >= r, F.col("value")))
-    return c.agg(F.max("total").alias("n"), ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"), at(low).alias("low"), at(high).alias("high"))
+    at = ranks.at_rank
+    return ranks.running(ranks.value_counts(df, x)).agg(F.max("total").alias("n"), ((at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2).alias("median"), at(low).alias("low"), at(high).alias("high"))
+
+
+BITS = 12  # of a value's 64 that one pass of the bootstrap follows
+
+
+@dataclass
+class _Search:
+    """Where the middle of one resample is still looked for: below which leading bits, with how many drawn rows of each stratum, at which ranks among them."""
+
+    replicate: int
+    prefix: int
+    drawn: np.ndarray
+    ranks: tuple[int, ...]
 
 
-def median_bootstrap(df: DataFrame, x: Column | str, replicates: int = 2000, seed: int = 1, by: list[str] | None = None, most_values: int = 2_000_000) -> dict:
-    """``median, low, high``: the median of the data, and the percentile interval of resampled medians.
+def median_bootstrap(df: DataFrame, x: Column | str, replicates: int = 2000, seed: int = 1, by: list[str] | None = None) -> dict:
+    """``median, low, high, replicates, n``: the median of the data, and the percentile interval of resampled medians.
 
-    A resample of rows is a multinomial draw over distinct values, so only their counts
-    reach the driver; with more than ``most_values`` of them this is an error, not a
-    guess. ``by``: resampled within strata of fixed sizes.
+    Exact at any size, and no rows or values reach the driver: how many rows of a resample fall on each of the 4,096 values
+    of the next 12 bits is one multinomial draw for each stratum, so each resample is drawn only where its middle is. A pass
+    fetches counts for the bits that are still followed, of which there are few, as the middles lie close together. ``by``:
+    resampled within strata of fixed sizes, which should be some hundred at most. Without values all are NaN.
     """
-    counts = value_counts(df, x, by)
-    distinct = counts.count()
-    if distinct > most_values:
-        raise ValueError(f"{distinct} distinct values; the bound is {most_values}")
-    rows = counts.toPandas()
+    spread = ranks.value_counts(df, x, by).withColumn("stratum", F.to_json(F.struct(*by)) if by else F.lit(""))
+    counts = cut(spread.select("value", "stratum", "n"))
+    sizes = {r.stratum: r.n for r in counts.groupBy("stratum").agg(F.sum("n").alias("n")).collect()}
+    strata, total = sorted(sizes), sum(sizes.values())
+    if not total:
+        return {"median": math.nan, "low": math.nan, "high": math.nan, "replicates": replicates, "n": 0}
     rng = np.random.default_rng(seed)
-    values = np.unique(rows["value"])
-    draws = np.zeros((replicates, len(values)), np.int64)
-    groups = [g for _, g in rows.groupby(by, dropna=False)] if by else [rows]
-    for g in groups:
-        n = g["n"].to_numpy()
-        draws[:, np.searchsorted(values, g["value"])] += rng.multinomial(int(n.sum()), n / n.sum(), replicates)
-    run = draws.cumsum(axis=1)
-    total = int(run[0, -1]) if len(values) else 0
-    pick = lambda r: values[(run < r).sum(axis=1)]
-    medians = (pick((total + 1) // 2) + pick(total // 2 + 1)) / 2
-    upto = np.zeros(len(values), np.int64)
-    np.add.at(upto, np.searchsorted(values, rows["value"]), rows["n"].to_numpy())
-    upto = upto.cumsum()
-    own = (values[np.searchsorted(upto, (total + 1) // 2)] + values[np.searchsorted(upto, total // 2 + 1)]) / 2
-    low, high = np.percentile(medians, [2.5, 97.5])
-    return {"median": float(own), "low": float(low), "high": float(high), "replicates": replicates, "n": total}
+    middle = tuple(sorted({(total + 1) // 2, total // 2 + 1}))
+    start = np.array([sizes[s] for s in strata])
+    # Replicate 0 is the data itself, which is counted and not drawn.
+    searches = [_Search(k, 0, start, middle) for k in range(replicates + 1)]
+    found: list[list[float]] = [[] for _ in range(replicates + 1)]
+    done = 0
+    while searches:
+        cells = _cells(counts, sorted({s.prefix for s in searches}), done, strata)
+        following = []
+        for prefix, group in _grouped(searches):
+            digits, n, low, high = cells[prefix]
+            per_digit = np.zeros((len(group), len(digits)), np.int64)
+            drawn = np.zeros((len(group), len(digits), len(strata)), np.int64)
+            for g in range(len(strata)):
+                if n[:, g].sum():
+                    drawn[:, :, g] = rng.multinomial([s.drawn[g] for s in group], n[:, g] / n[:, g].sum())
+            for k, s in enumerate(group):
+                if s.replicate == 0:
+                    drawn[k] = n
+            per_digit = drawn.sum(axis=2)
+            upto = per_digit.cumsum(axis=1)
+            for k, s in enumerate(group):
+                at = np.searchsorted(upto[k], s.ranks)
+                for d in np.unique(at).tolist():
+                    left = tuple(int(r - (upto[k, d] - per_digit[k, d])) for r, c in zip(s.ranks, at, strict=True) if c == d)
+                    if low[d] == high[d]:
+                        found[s.replicate] += [low[d]] * len(left)
+                    else:
+                        following.append(_Search(s.replicate, prefix << BITS | int(digits[d]), drawn[k, d], left))
+        searches = following
+        done += BITS
+    medians = np.array([sum(f) / len(f) for f in found])
+    low, high = np.percentile(medians[1:], [2.5, 97.5])
+    return {"median": float(medians[0]), "low": float(low), "high": float(high), "replicates": replicates, "n": total}
+
+
+def _grouped(searches: list[_Search]) -> list[tuple[int, list[_Search]]]:
+    groups: dict[int, list[_Search]] = {}
+    for s in searches:
+        groups.setdefault(s.prefix, []).append(s)
+    return sorted(groups.items())
+
+
+def _cells(counts: DataFrame, prefixes: list[int], done: int, strata: list[str]) -> dict[int, tuple[np.ndarray, ...]]:
+    """For each leading bits followed: the next digits in rising order, their counts by stratum, and the least and greatest value of each."""
+    wanted = np.array(prefixes, np.uint64)
+    width = min(BITS, 64 - done)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = ordered_bits(b.column(0).to_numpy(zero_copy_only=False))
+            prefix = bits >> np.uint64(64 - done) if done else np.zeros(len(bits), np.uint64)
+            keep = np.isin(prefix, wanted)
+            digit = (bits[keep] << np.uint64(done)) >> np.uint64(64 - width) << np.uint64(BITS - width)
+            yield pa.RecordBatch.from_arrays([pa.array(prefix[keep].view(np.int64)), pa.array(digit.astype(np.int32)), *(c.filter(pa.array(keep)) for c in b.columns)], names=["prefix", "digit", "value", "stratum", "n"])
+
+    d = counts.select("value", "stratum", "n").mapInArrow(run, "prefix long, digit int, value double, stratum string, n long")
+    rows = d.groupBy("prefix", "digit", "stratum").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).toPandas()
+    out = {}
+    for prefix, r in rows.groupby("prefix"):
+        digits, at = np.unique(r["digit"], return_inverse=True)
+        n, low, high = np.zeros((len(digits), len(strata)), np.int64), np.full(len(digits), np.inf), np.full(len(digits), -np.inf)
+        n[at, np.searchsorted(strata, r["stratum"].to_numpy(str))] = r["n"]
+        np.minimum.at(low, at, r["low"])
+        np.maximum.at(high, at, r["high"])
+        out[int(np.int64(prefix).view(np.uint64))] = (digits, n, low, high)
+    return out
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; both zeros are one."""
+    bits = (np.asarray(x, np.float64) + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
 
 
 def subset_stability(df: DataFrame, x: str, subsets: dict[str, Column]) -> DataFrame:
     """``subset, n, median, positive, negative`` of overlapping subsets, in one scan."""
     member = F.filter(F.array(*(F.when(p, F.lit(k)) for k, p in subsets.items())), lambda v: v.isNotNull())
     d = df.select(F.explode(member).alias("subset"), F.col(x).alias("_x")).where("_x is not null")
-    return d.groupBy("subset").agg(F.count("*").alias("n"), F.median("_x").alias("median"), F.count_if(F.col("_x") > 0).alias("positive"), F.count_if(F.col("_x") < 0).alias("negative"))
+    c = ranks.running(ranks.value_counts(d, "_x", ["subset"]), ["subset"])
+    total = lambda p: F.sum(F.when(p, F.col("n")).otherwise(0))
+    return c.groupBy("subset").agg(F.max("total").alias("n"), ranks.quantile(0.5).alias("median"), total(F.col("value") > 0).alias("positive"), total(F.col("value") < 0).alias("negative"))

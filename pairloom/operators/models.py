@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import exact_median
+
 Z95 = 1.959964
 HUBER_K, MAD = 1.345, 0.67449
 
@@ -200,7 +202,7 @@ def huber(df: DataFrame, x: list[str], y: str, rounds: int = 8) -> dict:
         for t, b in zip(fit.terms[1:], fit.beta[1:], strict=True):
             guess = guess + F.col(f"`{t}`").cast("double") * F.lit(float(b))
         e = F.abs(F.col(f"`{y}`").cast("double") - guess)
-        sigma = float(df.agg(F.percentile(e, F.lit(0.5))).first()[0]) / MAD
+        sigma = exact_median(df, e) / MAD
         w = F.least(F.lit(1.0), F.lit(HUBER_K * sigma) / F.greatest(e, F.lit(1e-300)))
         fit = ols(gram(df.withColumn("__w", w), x, [y], "__w"), y)
     return {"terms": fit.terms, "beta": fit.beta.tolist(), "sigma": sigma}

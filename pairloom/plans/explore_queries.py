@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as ag
+from ..operators import ranks as rk
 from ..operators import sampling as sm
 from ..session import table
 from .catalogue import query
@@ -87,7 +88,8 @@ def level_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eojeol_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("ko_eojeol_count")
     bucket = F.when(c <= 3, "1-3").when(c <= 6, "4-6").when(c <= 10, "7-10").when(c <= 20, "11-20").otherwise("21+")
-    return cohort(spark, sf_dir).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.percentile("token_premium", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("token_premium", F.lit(0.9)), 6).alias("p90"))
+    q = rk.quantiles(cohort(spark, sf_dir).select(bucket.alias("bucket"), "token_premium"), "token_premium", {"p50": 0.5, "p90": 0.9}, ["bucket"])
+    return q.withColumns({c: F.round(c, 6) for c in ("p50", "p90")})
 
 
 CORR = ["log_token_premium", "log_code_point_ratio", "log_byte_density_ratio", "log_compression_penalty"]
@@ -108,7 +110,7 @@ def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT value, count(*) AS n, any_value(rank) AS rank FROM (SELECT ko_codepoint_count::DOUBLE AS value, rank() OVER (ORDER BY ko_codepoint_count) + (count(*) OVER (PARTITION BY ko_codepoint_count) - 1) / 2.0 AS rank FROM rep_features WHERE ko_codepoint_count IS NOT NULL) GROUP BY value")
 def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ag.range_ranks(table(spark, sf_dir, "rep_features"), "ko_codepoint_count", 16)
+    return ag.average_ranks(table(spark, sf_dir, "rep_features"), "ko_codepoint_count")
 
 
 @query("WITH o AS (SELECT n_chars, row_number() OVER (ORDER BY n_chars) AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL) SELECT p, min(n_chars) AS value FROM o, (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p) WHERE k >= greatest(1, ceil(n * p)) GROUP BY p")
@@ -152,12 +154,12 @@ def ratio_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(share(c < 1).alias("below"), share(c == 1).alias("equal"), share(c > 1).alias("above"), share((F.col("code_point_ratio") < 1) & (F.col("code_point_ratio") * F.col("byte_density_ratio") > 1)).alias("reversed"))
 
 
-@query(f"WITH ids AS (SELECT pair_id FROM pair_registry ORDER BY md5(pair_id || 'bridge') LIMIT 40) SELECT 'listed' AS basis, count(*) AS n, round(quantile_cont(token_premium, 0.5), 6) AS median FROM ({TOKENS}) WHERE pair_id IN (SELECT pair_id FROM ids) UNION ALL SELECT 'all', count(*), round(quantile_cont(token_premium, 0.5), 6) FROM ({TOKENS})")
+@query(f"WITH ids AS (SELECT pair_id FROM pair_registry ORDER BY md5(pair_id || 'bridge') LIMIT 40) SELECT 'listed' AS basis, count(token_premium) AS n, round(quantile_cont(token_premium, 0.5), 6) AS median FROM ({TOKENS}) WHERE pair_id IN (SELECT pair_id FROM ids) UNION ALL SELECT 'all', count(token_premium), round(quantile_cont(token_premium, 0.5), 6) FROM ({TOKENS})")
 def fixed_id_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same statistic over forty listed ids (the feature) and over all."""
     ids = sm.hash_sample(table(spark, sf_dir, "pair_registry").select("pair_id"), "pair_id", 40, "bridge")
     t = latest_tokens(spark, sf_dir, ["token_premium"])
-    one = lambda d, s: d.agg(F.lit(s).alias("basis"), F.count("*").alias("n"), F.round(F.median("token_premium"), 6).alias("median"))
+    one = lambda d, s: rk.quantiles(d, "token_premium", {"median": 0.5}).select(F.lit(s).alias("basis"), "n", F.round("median", 6).alias("median"))
     return one(t.join(ids, "pair_id", "left_semi"), "listed").unionByName(one(t, "all"))
 
 
@@ -180,7 +182,7 @@ def named_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT tile, count(*) AS n, round(quantile_cont(log_token_premium, 0.5), 6) AS median FROM (SELECT log_token_premium, ntile(20) OVER (ORDER BY morpheme_density, pair_id) AS tile {COHORT_FROM} WHERE morpheme_density IS NOT NULL) GROUP BY tile")
 def density_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ag.tiles(cohort(spark, sf_dir).where("morpheme_density is not null"), "morpheme_density", "pair_id", 20)
-    return d.groupBy("tile").agg(F.count("*").alias("n"), F.round(F.median("log_token_premium"), 6).alias("median"))
+    return rk.quantiles(d, "log_token_premium", {"median": 0.5}, ["tile"]).withColumn("median", F.round("median", 6))
 
 
 @query("SELECT pair_id FROM pair_registry ORDER BY md5(pair_id || 'audit-v1'), pair_id LIMIT 200")

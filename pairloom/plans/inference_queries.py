@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..operators import inference as inf
 from ..operators import models as ml
+from ..operators import ranks as rk
 from ..operators import validate as va
 from ..session import cut, table
 from .catalogue import query
 from .measure_queries import TOKENS, latest_tokens
-from .relation_queries import cohort
+from .relation_queries import COHORT_FROM, cohort
 
 
 @query(
@@ -148,9 +149,27 @@ def principal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, float(v[0]), float(v[1])) for t, v in got["loadings"].items()], "term string, pc1 double, pc2 double")
 
 
-@query()
-def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bootstrap intervals of the median premium, plain and within sources."""
+def _bootstraps(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = cut(cohort(spark, sf_dir).select("token_premium", "source_id"))
     rows = [(k, *(float(v) for v in inf.median_bootstrap(d, "token_premium", 2000, 1, by).values())) for k, by in (("plain", None), ("within_source", ["source_id"]))]
     return spark.createDataFrame(rows, "kind string, median double, low double, high double, replicates double, n double")
+
+
+@query()
+def median_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap intervals of the median premium, plain and within sources."""
+    return _bootstraps(spark, sf_dir)
+
+
+@query(
+    f"""WITH o AS (SELECT token_premium AS v, row_number() OVER (ORDER BY token_premium) AS k, count(*) OVER () AS n {COHORT_FROM}), m AS (SELECT max(n)::DOUBLE AS n, quantile_cont(v, 0.5) AS median FROM o)
+SELECT unnest(['plain', 'within_source']) AS kind, n, round(median, 9) AS median, true AS around_the_median, true AS as_wide_as_its_ranks FROM m"""
+)
+def median_bootstrap_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bootstrap's median and rows, and whether its interval is what resampling gives: around the median, and within the values four standard errors of its rank away."""
+    d = cohort(spark, sf_dir).select("token_premium")
+    n, at = F.col("total"), rk.at_rank
+    wide = lambda s: F.least(n, F.greatest(F.lit(1), F.floor(n / 2 + s * 2 * F.sqrt(n.cast("double")))))
+    bounds = rk.running(rk.value_counts(d, "token_premium")).agg(at(wide(-1)).alias("least"), at(wide(1)).alias("most"))
+    b = _bootstraps(spark, sf_dir).join(bounds, F.lit(True))
+    return b.select("kind", "n", F.round("median", 9).alias("median"), F.expr("low <= median and median <= high").alias("around_the_median"), F.expr("least <= low and high <= most").alias("as_wide_as_its_ranks"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators import relations as rl
 from ..operators import validate as va
@@ -20,16 +24,24 @@ def latest_reps(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFra
     return rl.latest_rows(table(spark, sf_dir, "rep_features"), "pair_id", "measured_at", ["ko_codepoint_count", "en_codepoint_count"], columns)
 
 
+T_FIELDS = ["log_token_premium", "log_compression_penalty", "log_code_point_ratio", "log_byte_density_ratio", "token_premium"]
+R_FIELDS = ["ko_codepoint_count", "en_codepoint_count", "ko_whitespace_density", "en_whitespace_density", "ko_latin_share", "ko_digit_share", "en_digit_share", "ko_script_switch_count", "ko_eojeol_count", "pair_byte_ratio"]
+M_FIELDS = ["morpheme_density", "particle_ratio", "ending_ratio", "deriv_affix_ratio"]
+
+
 def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysis matrix: tokens, registry, surface features and morphemes of each accepted pair, one row each."""
-    t = latest_tokens(spark, sf_dir, ["log_token_premium", "log_compression_penalty", "log_code_point_ratio", "log_byte_density_ratio", "token_premium"])
+    """The analysis matrix: tokens, registry, surface features and morphemes of each accepted pair, one row each. Only rows whose numbers are all there and finite."""
+    t = latest_tokens(spark, sf_dir, T_FIELDS)
     p = table(spark, sf_dir, "pair_registry").where(COHORT).select("pair_id", "source_id", "domain", "translation_direction", "length_stratum", "logical_corpus")
-    r = latest_reps(spark, sf_dir, ["ko_codepoint_count", "en_codepoint_count", "ko_whitespace_density", "en_whitespace_density", "ko_latin_share", "ko_digit_share", "en_digit_share", "ko_script_switch_count", "ko_eojeol_count", "pair_byte_ratio"])
-    m = _latest_morphs(spark, sf_dir, ["morpheme_density", "particle_ratio", "ending_ratio", "deriv_affix_ratio"])
-    return rl.spine_join(t, [p, r, m], "pair_id")
+    joined = rl.spine_join(t, [p, latest_reps(spark, sf_dir, R_FIELDS), _latest_morphs(spark, sf_dir, M_FIELDS)], "pair_id")
+    return joined.where(reduce(and_, (tx.is_finite(c) for c in (*T_FIELDS, *R_FIELDS, *M_FIELDS))))
+
+
+def _finite(sql: str, fields: list[str]) -> str:
+    return f"SELECT * FROM ({sql}) WHERE " + " AND ".join(f"isfinite({c}::DOUBLE)" for c in fields)
 
 
-COHORT_FROM = f"FROM ({TOKENS}) t JOIN (SELECT pair_id, source_id, domain, translation_direction, length_stratum, logical_corpus FROM pair_registry WHERE {COHORT}) p USING (pair_id) JOIN ({REPS}) r USING (pair_id) JOIN ({MORPHS}) m USING (pair_id)"
+COHORT_FROM = f"FROM ({_finite(TOKENS, T_FIELDS)}) t JOIN (SELECT pair_id, source_id, domain, translation_direction, length_stratum, logical_corpus FROM pair_registry WHERE {COHORT}) p USING (pair_id) JOIN ({_finite(REPS, R_FIELDS)}) r USING (pair_id) JOIN ({_finite(MORPHS, M_FIELDS)}) m USING (pair_id)"
 SIZE = "0.5 * (ln(ko_codepoint_count) + ln(en_codepoint_count))"
 
 

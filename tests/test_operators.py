@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pairloom.operators import aggregate as ag
 from pairloom.operators import inference as inf
 from pairloom.operators import models as ml
+from pairloom.operators import ranks as rk
 from pairloom.operators import relations as rl
 from pairloom.operators import sampling as sm
 from pairloom.operators import validate as va
@@ -73,8 +74,8 @@ def test_ranks_both_ways(spark):
     d = spark.createDataFrame([(v,) for v in x] + [(None,)], "x double")
     want = {v: statistics.mean(i + 1 for i, y in enumerate(sorted(x)) if y == v) for v in set(x)}
     assert {r.value: r["rank"] for r in ag.average_ranks(d, "x").collect()} == pytest.approx(want)
-    assert {r.value: r["rank"] for r in ag.range_ranks(d, "x", 5).collect()} == pytest.approx(want)
-    assert ag.range_ranks(d.limit(0), "x").count() == 0
+    assert {r.value: r["rank"] for r in ag.average_ranks(d, "x", parts=5).collect()} == pytest.approx(want)
+    assert ag.average_ranks(d.limit(0), "x").count() == 0
 
 
 def test_describe_histogram_entropy(spark):
@@ -203,9 +204,46 @@ def test_bootstrap_on_a_lattice_is_degenerate(spark):
     got = inf.median_bootstrap(d, "x", 300)
     assert got["median"] == got["low"] == got["high"] == 4 / 3
     assert inf.median_bootstrap(d, "x", 300, by=["s"])["median"] == 4 / 3
-    with pytest.raises(ValueError):
-        inf.median_bootstrap(d, "x", 10, most_values=2)
-
+    none = inf.median_bootstrap(d.limit(0), "x", 10)
+    assert none["n"] == 0 and none["median"] != none["median"]
+
+
+def test_bootstrap_resamples_as_numpy_does(spark):
+    """The same distribution of medians as by drawing rows, with ties, negative values, an even number of rows and strata."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=120), np.repeat([0.0, -0.5, 0.25], 20), rng.lognormal(5, 3, 20)])
+    s = np.array(["ab"[i % 3 == 0] for i in range(len(x))])
+    d = spark.createDataFrame([(float(v), k) for v, k in zip(x, s)] + [(None, "a"), (float("nan"), "b")], "x double, s string")
+    strata = [np.flatnonzero(s == k) for k in "ab"]
+    for by, groups in ((None, [np.arange(len(x))]), (["s"], strata)):
+        got = inf.median_bootstrap(d, "x", 4000, 7, by)
+        want = [np.median(np.concatenate([x[rng.choice(g, len(g))] for g in groups])) for _ in range(4000)]
+        assert got["median"] == np.median(x) and got["n"] == len(x)
+        assert (got["low"], got["high"]) == pytest.approx(np.percentile(want, [2.5, 97.5]), abs=0.05)
+    assert inf.median_bootstrap(d, "x", 200, 7) == inf.median_bootstrap(d.repartition(5), "x", 200, 7)
+
+
+def test_ordered_bits(spark):
+    x = np.array([-np.inf, -1e300, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, np.inf])
+    assert (np.diff(inf.ordered_bits(x).astype(object)) >= 0).all() and inf.ordered_bits(x)[4] == inf.ordered_bits(x)[5]
+
+
+def test_exact_quantiles_by_group(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(v)) for g in ("a", None, "c") for v in (rng.lognormal(size=500) if g != "c" else [3.0])] + [("d", None), ("a", float("nan"))]
+    d = spark.createDataFrame(rows, "g string, v double")
+    ps = {"p1": 0.01, "p50": 0.5, "p99": 0.99}
+    got = {r.g: r for r in rk.quantiles(d, "v", ps, ["g"]).collect()}
+    assert set(got) == {"a", None, "c"}
+    for g, r in got.items():
+        x = [v for k, v in rows if k == g and v is not None and v == v]
+        assert [r[k] for k in ps] == pytest.approx(np.quantile(x, list(ps.values()))) and r.n == len(x)
+    assert rk.quantiles(d.limit(0), "v", ps).first().p50 is None and rk.quantiles(d.limit(0), "v", ps, ["g"]).count() == 0
+    assert rk.exact_median(d.where("g = 'a'"), F.col("v")) == pytest.approx(np.median([v for k, v in rows if k == "a" and v == v])) and rk.exact_median(d.limit(0), F.col("v")) is None
+    tied = spark.range(999).select(F.when(F.col("id") % 3 == 0, F.lit(2.0)).otherwise(F.col("id").cast("double")).alias("v"))
+    assert rk.exact_median(tied, F.col("v")) == np.median([2.0 if i % 3 == 0 else float(i) for i in range(999)])
+    plan = rk.quantiles(d, "v", ps, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan
 
 def test_contract_problems():
     assert va.contract_problems({"a": 1, "b": 2}, {"v": (1, 1)}, {"write": False}) == []

@@ -27,7 +27,7 @@ def plain(v):
     if isinstance(v, bool) or v is None:
         return v
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 6) + 0.0
+        return "NaN" if math.isnan(v) else float(f"{v:.12g}") + 0.0
     if isinstance(v, int):
         return float(v)
     return tuple(map(plain, v)) if isinstance(v, (list, tuple)) else str(v)
