@@ -51,6 +51,27 @@ def side_flags(raw: str, analysis: str, side: str) -> dict[str, Column]:
     }
 
 
+def deferred() -> dict[str, Column]:
+    """Columns of a stage that is yet to run: typed nulls, and a status that says so."""
+    return {"translation_quality_review_flag": F.lit(None).cast("boolean"), "named_entity_heavy_flag": F.lit(None).cast("boolean"), "named_entity_evaluation_status": F.lit("DEFERRED")}
+
+
+def direction(record: Column, expected: Column) -> dict[str, Column]:
+    """``translation_direction_raw`` and its review flag from a record's fields (a map of strings) and the direction its file stands for.
+
+    Two signals: the pair of languages, and which original there is. Both agree with the file: that direction. No
+    original, but the languages agree with it: that direction, to be reviewed. Anything else: UNKNOWN, to be reviewed.
+    """
+    source, target = F.try_element_at(record, F.lit("source_language")), F.try_element_at(record, F.lit("target_language"))
+    there = {s: F.coalesce(F.try_element_at(record, F.lit(f"{s}_original")), F.lit("")) != "" for s in ("ko", "en")}
+    of_languages = F.when((source == "ko") & (target == "en"), "KO_TO_EN").when((source == "en") & (target == "ko"), "EN_TO_KO")
+    of_original = F.when(there["ko"] & ~there["en"], "KO_TO_EN").when(there["en"] & ~there["ko"], "EN_TO_KO")
+    agrees = F.coalesce(of_languages == expected, F.lit(False))
+    strong = agrees & F.coalesce(of_original == expected, F.lit(False))
+    found = F.when(strong | agrees & of_original.isNull(), expected).otherwise("UNKNOWN")
+    return {"translation_direction_raw": found, "translation_direction_review_flag": ~strong}
+
+
 def rejection(flags: dict[str, Column]) -> dict[str, Column]:
     """Primary reason (the first true hard flag), the other true ones as a JSON list, and the status."""
     first = None

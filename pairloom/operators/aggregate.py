@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import ranks
 
 Columns = dict[str, Column | str]
@@ -116,6 +119,24 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return s.select(F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy)).alias("rho"), "n")
 
 
+def rank_correlations(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
+    """``family, a, b, rho``: Spearman correlation of all pairs of columns within each family, over rows that have the numbers of all families.
+
+    Average ranks of all columns come from their value counts together; they are joined back by value. A constant column gives null.
+    """
+    columns = list(dict.fromkeys(c for f in families.values() for c in f))
+    d = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).where(reduce(and_, (F.col(c).isNotNull() & ~F.isnan(c) for c in columns)))
+    ranked = cut(average_ranks(long_values(d, columns), "value", ["feature"]))
+    for i, c in enumerate(columns):
+        d = d.join(ranked.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_r{i}")), c)
+    r = {c: F.col(f"_r{i}") for i, c in enumerate(columns)}
+    pairs = [(k, a, b) for k, f in families.items() for a, b in combinations(f, 2)]
+    varies = lambda c: F.min(r[c]) < F.max(r[c])  # noqa: E731 (sums over tasks leave a constant's variance a little above 0)
+    one = d.agg(*(F.when(varies(a) & varies(b), F.corr(r[a], r[b])).alias(f"_{i}") for i, (_, a, b) in enumerate(pairs)))
+    rows = (F.struct(F.lit(k).alias("family"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("rho")) for i, (k, a, b) in enumerate(pairs))
+    return one.select(F.inline(F.array(*rows)))
+
+
 def nearest_rank_quantiles(df: DataFrame, x: Column | str, ps: list[float]) -> DataFrame:
     """``p, value``: nearest-rank quantiles of a table of value counts; none for no values."""
     c = ranks.running(ranks.value_counts(df, x))

@@ -155,17 +155,8 @@ def _normal_p(z: np.ndarray) -> np.ndarray:
 
 
 def hc1(df: DataFrame, fit: Fit) -> list[dict]:
-    """Heteroskedasticity-robust table of a fit: a second pass sums (x e)(x e)'."""
-    p = len(fit.terms)
-
-    def make(b: np.ndarray) -> np.ndarray:
-        a = np.column_stack([np.ones(len(b)), b[:, :-1]])
-        u = a * (b[:, -1] - a @ fit.beta)[:, None]
-        return (u.T @ u).ravel()
-
-    meat = _blocks(df, [*fit.terms[1:], fit.outcome], make, p * p).reshape(p, p)
-    cov = fit.inverse @ meat @ fit.inverse * fit.n / (fit.n - p)
-    se = np.sqrt(np.diag(cov))
+    """Heteroskedasticity-robust table of a fit."""
+    se = np.sqrt(np.diag(robust_covariance(df, fit)))
     z = fit.beta / se
     return [{"term": t, "beta": float(b), "se": float(s), "z": float(v), "p": float(q), "low": float(b - Z95 * s), "high": float(b + Z95 * s)} for t, b, s, v, q in zip(fit.terms, fit.beta, se, z, _normal_p(z), strict=True)]
 
@@ -188,6 +179,58 @@ def wild_bootstrap(df: DataFrame, fit: Fit, key: str, replicates: int, seed: int
     return (fit.beta[:, None] + fit.inverse @ sums).T
 
 
+def robust_covariance(df: DataFrame, fit: Fit) -> np.ndarray:
+    """The HC1 covariance of a fit's coefficients: a second pass sums (x e)(x e)'."""
+    p = len(fit.terms)
+
+    def make(b: np.ndarray) -> np.ndarray:
+        a = np.column_stack([np.ones(len(b)), b[:, :-1]])
+        u = a * (b[:, -1] - a @ fit.beta)[:, None]
+        return (u.T @ u).ravel()
+
+    meat = _blocks(df, [*fit.terms[1:], fit.outcome], make, p * p).reshape(p, p)
+    return fit.inverse @ meat @ fit.inverse * fit.n / (fit.n - p)
+
+
+def wald(df: DataFrame, fit: Fit, terms: list[str]) -> dict:
+    """The robust Wald test that all of ``terms`` have coefficient 0: chi-squared and degrees of freedom."""
+    at = [fit.terms.index(t) for t in terms]
+    b = fit.beta[at]
+    return {"wald_chi2": float(b @ np.linalg.solve(robust_covariance(df, fit)[np.ix_(at, at)], b)), "df": len(at)}
+
+
+def bootstrap_gain(df: DataFrame, g: Gram, fit: Fit, blocks: dict[str, list[str]], key: str, replicates: int, seed: int) -> dict[str, np.ndarray]:
+    """For each block of columns, ``replicates`` draws of the R-squared that the full model gains by it.
+
+    One pseudo-outcome for all blocks: the full fit plus residuals under Rademacher signs from a hash of the key. Its products
+    with the columns, and its squares, are all that a pass needs to sum.
+    """
+    p = len(fit.terms)
+    words = -(-replicates // 32)
+    bits = [F.xxhash64(F.col(key), F.lit(seed), F.lit(w)).bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias(f"__w{w}") for w in range(words)]
+
+    def make(b: np.ndarray) -> np.ndarray:
+        a = np.column_stack([np.ones(len(b)), b[:, : p - 1]])
+        guess = a @ fit.beta
+        w = b[:, p:].astype(np.int64)
+        signs = ((w[:, :, None] >> np.arange(32)) & 1).reshape(len(b), -1)[:, :replicates] * 2.0 - 1
+        y = guess[:, None] + signs * (b[:, p - 1] - guess)[:, None]
+        return np.concatenate([(a.T @ y).ravel(), (y * y).sum(axis=0)])
+
+    names = [*fit.terms[1:], fit.outcome, *(f"__w{w}" for w in range(words))]
+    sums = _blocks(df.select("*", *bits), names, make, (p + 1) * replicates).reshape(p + 1, replicates)
+    xy, yy = sums[:p], sums[p]
+    sst = yy - xy[0] ** 2 / fit.n
+
+    def r2(terms: list[str]) -> np.ndarray:
+        at = [fit.terms.index(t) for t in terms]
+        beta = np.linalg.solve(g.part(terms, terms), xy[at])
+        return 1 - (yy - (beta * xy[at]).sum(axis=0)) / sst
+
+    full = r2(fit.terms)
+    return {k: full - r2([t for t in fit.terms if t not in own]) for k, own in blocks.items()}
+
+
 def nested(full: Fit, reduced: Fit) -> dict:
     """What the full model adds: R-squared gain, partial R-squared, likelihood-ratio chi-squared and its degrees of freedom."""
     return {"delta_r2": full.r2 - reduced.r2, "partial_r2": 1 - full.ssr / reduced.ssr, "lr_chi2": full.n * math.log(reduced.ssr / full.ssr), "df": len(full.beta) - len(reduced.beta)}
@@ -220,6 +263,14 @@ def collinearity(g: Gram) -> list[dict]:
     return [{"term": t, "vif": float(v), "condition": condition, "triggered": bool(v > 20 or condition > 100)} for t, v in zip(g.x, vif, strict=True)]
 
 
+def triggers(g: Gram, groups: dict[str, list[str]], vif: float = 20, condition: float = 100) -> list[dict]:
+    """``what, value, triggered``: the condition number, the greatest VIF, and for each group of columns GVIF**(1/2df), against their limits."""
+    rows = collinearity(g)
+    out = [("condition", rows[0]["condition"], condition), ("max_vif", max(r["vif"] for r in rows), vif)]
+    out += [(f"gvif:{k}", gvif(g, terms) ** (1 / (2 * len(terms))), vif) for k, terms in groups.items()]
+    return [{"what": w, "value": float(v), "triggered": bool(v >= limit)} for w, v, limit in out]
+
+
 def gvif(g: Gram, terms: list[str]) -> float:
     """Generalized VIF of a group of columns, by determinants."""
     a = g.part(["(intercept)", *g.x], ["(intercept)", *g.x])

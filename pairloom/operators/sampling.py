@@ -15,6 +15,18 @@ def hash_sample(df: DataFrame, key: str, n: int, salt: str) -> DataFrame:
     return df.orderBy(stable_order(key, salt), key).limit(n)
 
 
+def reservoir(df: DataFrame, key: str, n: int, seed: int, by: list[str] | None = None) -> DataFrame:
+    """A uniform sample of ``n`` rows without knowing their number, of each group if ``by`` is given.
+
+    A reservoir that keeps the rows of smallest seeded random number is the same in any order and partitioning,
+    and two reservoirs merge into that of both inputs. Each task keeps ``n`` rows a group at most.
+    """
+    if not by:
+        return hash_sample(df, key, n, f"reservoir-{seed}")
+    ranked = F.row_number().over(Window.partitionBy(*by).orderBy(stable_order(key, f"reservoir-{seed}"), key))  # Spark keeps n rows a group before the shuffle
+    return df.withColumn("_k", ranked).where(F.col("_k") <= n).drop("_k")
+
+
 def first_rows(df: DataFrame, key: str, n: int) -> DataFrame:
     """A pilot: the first rows by key."""
     return df.orderBy(key).limit(n)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.hashing import schema_fingerprint, set_fingerprint
 from ..functions.text import is_finite
@@ -46,6 +53,47 @@ def identity_errors(df: DataFrame, identities: dict[str, tuple[Column, Column]])
     return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("identity"), F.col(f"_{i}").cast("double").alias("max_abs_error")) for i, k in enumerate(identities)))))
 
 
+def differing_fields(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``field, differing`` of two tables of one key: rows in which a common column differs, nulls and NaN being equal to themselves; and, as ``(rows)``, keys that only one has.
+
+    An optimized path is refused unless all are 0. Keys must be unique in each.
+    """
+    fields = [c for c in a.columns if c in b.columns and c != key]
+    x = a.select(F.col(key).alias("_k"), F.struct(*fields).alias("_a"))
+    y = b.select(F.col(key).alias("_k"), F.struct(*fields).alias("_b"))
+    d = x.join(y, "_k", "full")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    counts = {"(rows)": F.count_if(~both)} | {f: F.count_if(both & ~F.col(f"_a.{f}").eqNullSafe(F.col(f"_b.{f}"))) for f in fields}
+    one = d.agg(*(c.alias(f"_{i}") for i, c in enumerate(counts.values())))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(k).alias("field"), F.col(f"_{i}").alias("differing")) for i, k in enumerate(counts)))))
+
+
+def order_breaks(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``rows, breaks``: in an explicit total order, how many rows have a value below that of the row before; a null is below nothing.
+
+    Rows are sorted in ranges, each range is compared within itself, and each with the last value of the range before.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(F.col(value).alias("v"))
+    kind = ranged.schema["v"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = breaks = 0
+        first = last = pa.nulls(1).cast(to_arrow_type(kind))
+        for b in batches:
+            if b.num_rows:
+                v = b.column(0)
+                breaks += sum(pc.sum(pc.less(y, x)).as_py() or 0 for x, y in ((v[:-1], v[1:]), (last, v[:1])) if len(x))
+                first = v[:1] if not rows else first
+                rows, last = rows + b.num_rows, v[-1:]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rows], pa.int64()), pa.array([breaks], pa.int64()), first, last], names=["part", "n", "b", "first", "last"])
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("b", T.LongType()), T.StructField("first", kind), T.StructField("last", kind)])
+    parts = ranged.mapInArrow(run, schema)  # one row a range
+    between = (F.col("first") < F.lag("last").over(Window.orderBy("part"))).cast("int")
+    return parts.withColumn("c", F.coalesce(between, F.lit(0))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("b") + F.col("c")), F.lit(0)).alias("breaks"))
+
+
 def biconditional(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """``a, b, both, equivalent``: whether two conditions hold of the same rows."""
     d = df.agg(F.count_if(a).alias("a"), F.count_if(b).alias("b"), F.count_if(a & b).alias("both"))

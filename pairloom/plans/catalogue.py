@@ -25,5 +25,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _module in ("text_queries", "identity_queries", "quality_queries", "measure_queries", "relation_queries", "explore_queries", "inference_queries", "stream_queries"):
+for _module in ("text_queries", "identity_queries", "quality_queries", "measure_queries", "relation_queries", "explore_queries", "inference_queries", "contract_queries", "stream_queries"):
     import_module(f"pairloom.plans.{_module}")
