@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +55,28 @@ def canonical_metadata(column: str | Column, without: tuple[str, ...] = ()) -> C
     return F.to_json(F.map_from_entries(F.array_sort(kept, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1))), {"ignoreNullFields": "false"})
 
 
+def _ordered_digest(df: DataFrame, key: str, algorithm: str, end: str) -> DataFrame:
+    """``digest`` over all keys in order. A hash of a sequence is one sequence of steps, so there is one task; it sorts on disk and holds a batch at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.new(algorithm)
+        for b in batches:
+            h.update("".join(f"{k}{end}" for k in b.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["digest"])
+
+    keys = df.select(F.col(key).cast("string").alias("k")).where("k is not null")
+    found = keys.repartition(1).sortWithinPartitions("k").mapInArrow(run, "digest string")
+    return found.agg(F.coalesce(F.max("digest"), F.lit(hashlib.new(algorithm).hexdigest())).alias("digest"))  # an empty table may start no task
+
+
 def sorted_set_digest(df: DataFrame, key: str) -> DataFrame:
-    """``digest``: MD5 of all keys in order, joined. Ordered concatenation needs one task; for large sets use ``set_fingerprint``."""
-    return df.agg(F.md5(F.coalesce(F.expr(f"listagg({key}, '') WITHIN GROUP (ORDER BY {key})"), F.lit(""))).alias("digest"))
+    """``digest``: MD5 of all keys in order, joined. For large sets ``set_fingerprint`` needs no order."""
+    return _ordered_digest(df, key, "md5", "")
 
 
 def sorted_lines_digest(df: DataFrame, key: str) -> DataFrame:
     """``digest``: SHA-256 over the keys in order, each ended by a newline."""
-    lines = F.concat(F.col(key), F.lit("\n"))
-    return df.select(lines.alias("_l")).agg(F.sha2(F.coalesce(F.expr("listagg(_l, '') WITHIN GROUP (ORDER BY _l)"), F.lit("")), 256).alias("digest"))
+    return _ordered_digest(df, key, "sha256", "\n")
 
 
 def set_fingerprint(df: DataFrame, key: str) -> DataFrame:
@@ -80,7 +96,43 @@ def seed(label: str | Column) -> Column:
     return F.conv(F.substring(F.sha2(F.lit(label) if isinstance(label, str) else label, 256), 1, 8), 16, 10).cast("long")
 
 
-def file_sha256(spark, paths: str | list[str]) -> DataFrame:  # noqa: ANN001
-    """``path, bytes, sha256`` of files, hashed where they are read."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+PIECE = 1 << 20
+
+
+def open_file(path: str):  # noqa: ANN201
+    """A seekable binary file on any file system that executors see."""
+    local = re.sub(r"^file:/+", "/", path)
+    if "://" not in local:
+        return open(local, "rb")
+    from pyarrow.fs import FileSystem
+
+    fs, inside = FileSystem.from_uri(path)
+    return fs.open_input_file(inside)
+
+
+def pieces(path: str, size: int = PIECE) -> Iterator[bytes]:
+    """A file's bytes, ``size`` at a time."""
+    with open_file(path) as f:
+        while piece := f.read(size):
+            yield piece
+
+
+def files(spark, paths: str | list[str], **options: object) -> DataFrame:  # noqa: ANN001
+    """``path, length`` of files; their content is not read. Tasks are cut by the files' lengths."""
+    return spark.read.format("binaryFile").options(**options).load(paths).select("path", "length")
+
+
+def file_sha256(spark, paths: str | list[str], **options: object) -> DataFrame:  # noqa: ANN001
+    """``path, bytes, sha256`` of files, hashed piece by piece where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = []
+            for path in b.column(0).to_pylist():
+                h = hashlib.sha256()
+                for piece in pieces(path):
+                    h.update(piece)
+                digests.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
+
+    return files(spark, paths, **options).mapInArrow(run, "path string, bytes long, sha256 string")

@@ -10,7 +10,8 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,20 @@ def vocabulary_path(path: str | None = None, sha256: str | None = None) -> str:
     return path
 
 
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a vocabulary along with the job, so that executors need not have it; returns the name that ``shipped`` takes."""
+    sent = ship.__dict__.setdefault("sent", set())
+    if (spark.sparkContext.applicationId, path) not in sent:
+        spark.sparkContext.addFile(path)
+        sent.add((spark.sparkContext.applicationId, path))
+    return os.path.basename(path)
+
+
+def shipped(name: str) -> str:
+    """Where a worker finds a file that was sent along."""
+    return SparkFiles.get(name)
+
+
 def rank_hash(path: str) -> str:
     """SHA-256 over rank, length and bytes of each token in rank order."""
     h = hashlib.sha256()
@@ -53,13 +68,14 @@ def _over_batches(df: DataFrame, columns: list[str], fields: list[T.StructField]
     """All other columns of ``df`` plus ``fields``, which ``row(encoding, *values)`` gives for each row."""
     schema = T.StructType([*df.schema.fields, *fields])
     at = [df.columns.index(c) for c in columns]
+    name = ship(df.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         for b in batches:
-            e = encoding(path)
+            e = encoding(shipped(name))
             rows = [row(e, *v) for v in zip(*(b.column(k).to_pylist() for k in at), strict=True)]
             new = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=schema.names)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = getattr(shared_dir, "made", None)
     if made is None:
-        made = shared_dir.made = f"file://{tempfile.mkdtemp(prefix='pairloom-')}"
+        folder = tempfile.mkdtemp(prefix="pairloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        made = shared_dir.made = f"file://{folder}"
     return made
 
 
@@ -49,14 +53,27 @@ def cut(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _cuts.append(path)
     (df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_cuts: list[str] = []
+
+
+def forget_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` wrote so far, once no result that reads them is needed any more; returns how many."""
+    jvm, n = spark._jvm, len(_cuts)
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores, for costly expressions over an input of fewer partitions than cores; else ``df`` as it is, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
 
 
-__all__ = ["StorageLevel", "build_session", "cut", "shared_dir", "spread", "table"]
+__all__ = ["StorageLevel", "build_session", "cut", "forget_cuts", "shared_dir", "spread", "table"]

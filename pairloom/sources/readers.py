@@ -2,57 +2,100 @@
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import json
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from io import BytesIO
+from itertools import islice
 from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import hashing as hs
 from ..operators.validate import Violation
 
 
-def batches(df: DataFrame, size: int) -> DataFrame:
-    """``df`` whose Arrow batches have at most ``size`` rows; a size that is no positive whole number is refused."""
+def in_batches(df: DataFrame, size: int, run: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """``run`` over batches of at most ``size`` rows, in this scan alone; a size that is no positive whole number is refused."""
     if isinstance(size, bool) or not isinstance(size, int) or size <= 0:
         raise ValueError("a batch size is a positive whole number")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
-    return df
 
-
-def json_records(spark: SparkSession, paths: str | list[str], record: T.StructType, array: str = "data") -> DataFrame:
-    """One row for each object in the ``array`` of each file, with its ``file`` and ``index`` (from 0). A file without the array gives none."""
-    schema = T.StructType([T.StructField(array, T.ArrayType(record))])
-    files = spark.read.schema(schema).option("multiLine", True).json(paths).withColumn("file", F.input_file_name())
-    return files.select("file", F.posexplode(array).alias("index", "_r")).select("file", "index", "_r.*")
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for at in range(0, b.num_rows, size):
+                yield run(b.slice(at, size))
+
+    return df.mapInArrow(each, schema)
+
+
+ROWS = 5_000  # records given on at once
+
+
+def array_items(parts: Iterable[bytes], array: str = "data") -> Iterator[object]:
+    """The items of the array of this name in a JSON document that comes in pieces; no more than an item and a piece are held.
+
+    Nothing without the array; an error if it doesn't end.
+    """
+    decode, decoder = codecs.getincrementaldecoder("utf-8-sig")().decode, json.JSONDecoder()
+    start = re.compile(rf'"{re.escape(array)}"\s*:\s*\[')
+    text, at, inside = "", 0, False
+    for part in parts:
+        text, at = text[at:] + decode(part), 0
+        if not inside:
+            found = start.search(text)
+            if not found:
+                text = text[-len(array) - 64 :]  # the name may be cut by the end of a piece
+                continue
+            inside, at = True, found.end()
+        while True:
+            while at < len(text) and text[at] in " \t\r\n,":
+                at += 1
+            if at < len(text) and text[at] == "]":
+                return
+            try:
+                value, end = decoder.raw_decode(text, at)
+            except json.JSONDecodeError:
+                break
+            if end == len(text):  # a number may go on in the next piece
+                break
+            yield value
+            at = end
+    if inside:
+        raise Violation(f"the array {array} doesn't end")
 
 
 def json_lines_of_array(spark: SparkSession, paths: str | list[str], array: str = "data") -> DataFrame:
-    """``file, index, record``: each object of the array as JSON text, for files too deep or varied for a schema; read in pieces, not as one document."""
+    """``file, index, record``: each object of the array as JSON text with sorted keys, for files of any size: they are read in pieces."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        decoder = json.JSONDecoder()
         for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                text = content.decode("utf-8-sig")
-                found = re.search(rf'"{re.escape(array)}"\s*:\s*\[', text)
-                rows, at = [], found.end() if found else len(text)
-                while True:
-                    while at < len(text) and text[at] in " \t\r\n,":
-                        at += 1
-                    if at >= len(text) or text[at] == "]":
-                        break
-                    value, at = decoder.raw_decode(text, at)
-                    rows.append((path, len(rows), json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))))
-                yield pd.DataFrame(rows, columns=["file", "index", "record"])
+            for path in part["path"]:
+                items = enumerate(array_items(hs.pieces(path), array))
+                while some := list(islice(items, ROWS)):
+                    rows = [(path, i, json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))) for i, v in some]
+                    yield pd.DataFrame(rows, columns=["file", "index", "record"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "file string, index int, record string")
+    return hs.files(spark, paths).mapInPandas(run, "file string, index long, record string")
+
+
+def json_records(spark: SparkSession, paths: str | list[str], record: T.StructType, array: str = "data") -> DataFrame:
+    """One row for each object in the ``array`` of each file, with its ``file`` and ``index`` (from 0). A file without the array gives none."""
+    return json_lines_of_array(spark, paths, array).select("file", "index", F.from_json("record", record).alias("_r")).select("file", "index", "_r.*")
+
+
+def row_count_problems(records: DataFrame, expected: DataFrame, by: str = "file") -> DataFrame:
+    """``<by>, expected, found`` where the rows of a file, or of a family of files, aren't as many as listed (``<by>, expected``). Empty if all are."""
+    found = records.groupBy(F.col(by).alias("_b")).agg(F.count("*").alias("found"))
+    both = expected.select(by, "expected").join(found, F.col(by).eqNullSafe(F.col("_b")), "full")
+    return both.select(F.coalesce(by, "_b").alias(by), "expected", F.coalesce("found", F.lit(0)).alias("found")).where(~F.col("expected").eqNullSafe(F.col("found")))
 
 
 def _cells(content: bytes) -> Iterator[tuple[int, dict[int, str | None]]]:
@@ -97,9 +140,29 @@ def worksheet_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``path, bytes, sha256`` of the files below a folder, relative to it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    files = hs.file_sha256(spark, folder, recursiveFileLookup=True, pathGlobFilter=pattern)
     root = folder.rstrip("/").removeprefix("file:")
-    return files.select(F.regexp_replace("path", rf"^(file:)?/*{re.escape(root.lstrip('/'))}/", "").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return files.withColumn("path", F.regexp_replace("path", rf"^(file:)?/*{re.escape(root.lstrip('/'))}/", ""))
+
+
+def zip_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``file, member, bytes, sha256`` of what zip files hold, folders aside; members are hashed piece by piece."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part["path"]:
+                rows = []
+                with hs.open_file(path) as f, zipfile.ZipFile(f) as z:
+                    for info in sorted(z.infolist(), key=lambda i: i.filename):
+                        if not info.is_dir():
+                            h = hashlib.sha256()
+                            with z.open(info) as m:
+                                while piece := m.read(hs.PIECE):
+                                    h.update(piece)
+                            rows.append((path, info.filename, info.file_size, h.hexdigest()))
+                yield pd.DataFrame(rows, columns=["file", "member", "bytes", "sha256"])
+
+    return hs.files(spark, paths).mapInPandas(run, "file string, member string, bytes long, sha256 string")
 
 
 def verified(found: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -42,6 +42,22 @@ def to_parquet(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def to_table(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """An aggregate as a table that each trigger replaces as a whole, so a repeated trigger changes nothing; ends when all files there now are read. Read it by ``latest_table``."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/trigger={number:09d}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
+def latest_table(spark: SparkSession, folder: str) -> DataFrame:
+    """What the last trigger of ``to_table`` wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return spark.read.parquet(max(s.getPath().toString() for s in fs.listStatus(path)))
+
+
 def observed(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     """``df`` with metrics that a listener receives as rows pass, in batch and stream, at no further scan."""
     return df.observe(name, *(m.alias(k) for k, m in metrics.items()))

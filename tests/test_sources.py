@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,7 +76,39 @@ def test_staging_and_batches(spark):
         rd.staging(d, schema, z=F.lit(1))
     for bad in (0, -1, True, "5"):
         with pytest.raises(ValueError):
-            rd.batches(d, bad)
+            rd.in_batches(d, bad, lambda b: b, d.schema)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = rd.in_batches(spark.range(25).coalesce(1), 10, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]), "n long")
+    assert [r.n for r in sizes.collect()] == [10, 10, 5] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 64, 1 << 20])
+def test_arrays_in_pieces_of_any_size(size):
+    value = {"meta": {"data": 5, "x": "\"data\": ["}, "data": [{"가": "나", "b": [1, {"c": "]"}]}, 12, 345, "말]", None, {"d": -1.5e3}], "after": [1]}
+    for text in (json.dumps(value, ensure_ascii=False), json.dumps(value, indent=2)):
+        data = b"\xef\xbb\xbf" + text.encode()
+        parts = [data[i : i + size] for i in range(0, len(data), size)]
+        if "x" not in value["meta"] or size:
+            value_found = list(rd.array_items(parts, "data"))
+            assert value_found == value["data"]
+    assert list(rd.array_items([b'{"other": [1]}'], "data")) == []
+    with pytest.raises(Violation):
+        list(rd.array_items([b'{"data": [1, 2'], "data"))
+
+
+def test_row_counts_of_files(spark, files):
+    lines = rd.json_lines_of_array(spark, str(files / "in")).withColumn("file", F.regexp_extract("file", "[^/]+$", 0))
+    expected = spark.createDataFrame([("a.json", 2), ("b.json", 1)], "file string, expected long")
+    assert [tuple(r) for r in rd.row_count_problems(lines, expected).collect()] == [("b.json", 1, 0)]
+
+
+def test_zip_members(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("b/two.txt", "two")
+        z.writestr("one.txt", "1" * 3_000_000)
+        z.mkdir("b/empty")
+    got = {r.member: (r.bytes, r.sha256) for r in rd.zip_members(spark, str(tmp_path / "z.zip")).collect()}
+    assert got == {"b/two.txt": (3, hashlib.sha256(b"two").hexdigest()), "one.txt": (3_000_000, hashlib.sha256(b"1" * 3_000_000).hexdigest())}
 
 
 def test_validated_write(spark, tmp_path):
@@ -95,10 +129,16 @@ def test_validated_write(spark, tmp_path):
 
 def test_reports_and_manifests(spark, tmp_path):
     d = spark.createDataFrame([(1, None), (2, 'q"x')], "k int, v string")
-    sk.write_report(d, str(tmp_path / "r.csv"), ["k", "v"])
+    assert sk.write_report(d, str(tmp_path / "r.csv"), ["k", "v"]) == 2
     assert (tmp_path / "r.csv").read_text().splitlines()[0] == "k,v"
+    assert sk.write_report(spark.range(150_000).toDF("k"), str(tmp_path / "s.csv"), ["k"]) == 150_000
+    (tmp_path / "t.csv.partial").write_text("")
     with pytest.raises(Violation):
-        sk.write_report(d, str(tmp_path / "s.csv"), ["k"], most_rows=1)
+        sk.write_report(d, str(tmp_path / "t.csv"), ["k"])
+    assert sk.write_counted(d, str(tmp_path / "counted"), "v") == {None: 1, 'q"x': 1}
+    full = sk.write_manifest(spark.read.parquet(str(tmp_path / "counted")), "k", str(tmp_path / "counted"), str(tmp_path / "full.json"), stage="y")
+    assert full["rows"] == 2 and full["files"] and all(len(f["sha256"]) == 64 for f in full["files"].values()) and full["stage"] == "y"
+    assert sk.code_commit(tmp_path) is None
     m = sk.manifest(d, "k", stage="x")
     sk.write_canonical_json(m, str(tmp_path / "m.json"))
     sk.same_manifest(m, json.loads((tmp_path / "m.json").read_text()))
