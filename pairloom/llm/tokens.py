@@ -10,7 +10,6 @@ documents of the block that hold the piece. Nothing is shuffled but the totals.
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,13 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tokenizer import PATTERN, ship, shipped, vocabulary_path
 from ..session import cut
 from .fold import blocks
 
-VOCABULARIES = os.environ.get("PAIRLOOM_TOKENIZERS", "/opt/tokenizers")
-DEFAULT = "byte_bpe_multi_50k.tiktoken"
-# Fixed value: the pattern that splits text before the merges of byte-level vocabularies.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT = 500_000  # counts of pieces that a worker keeps between blocks
 
 
@@ -112,12 +108,12 @@ def counter(path: str) -> Counter:
 
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", vocabulary: str | None = None) -> DataFrame:
     """``df`` less ``text``, plus ``out``: the number of tokens of ``text`` (0 for null). A column named ``out`` is replaced."""
-    path = vocabulary or f"{VOCABULARIES}/{DEFAULT}"
+    name = ship(df.sparkSession, vocabulary_path(vocabulary))
     others = [c for c in df.columns if c not in (text, out)]
     schema = T.StructType([*(df.schema[c] for c in others), T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = counter(shipped(name))
         for b in batches:
             texts, n = b.column(len(others)).to_pylist(), []
             for i, j in blocks(texts, 2_000_000):

@@ -10,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pairloom.functions.tokenizer import vocabulary_path
 from pairloom.llm import leak, packing, reading, tokens
 
-VOCABULARY = f"{tokens.VOCABULARIES}/{tokens.DEFAULT}"
+VOCABULARY = vocabulary_path()
 
 
 @pytest.fixture(scope="module")
