@@ -107,11 +107,12 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """``rho, n``: Pearson correlation of average ranks over rows with both values; constant columns give null."""
     both = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.count("*").alias("w"))
 
-    def rank(c: str) -> DataFrame:
-        r = ranks.running(both.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("n")))
-        return r.select(F.col("value").alias(c), (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
-
-    d = both.join(rank("x"), "x").join(rank("y"), "y")
+    # Both columns' values are ranked together, as two groups.
+    long = both.select("w", F.inline(F.array(F.struct(F.lit("x").alias("feature"), F.col("x").alias("value")), F.struct(F.lit("y").alias("feature"), F.col("y").alias("value")))))
+    r = ranks.running(long.groupBy("feature", "value").agg(F.sum("w").alias("n")), ["feature"])
+    ranked = r.select("feature", "value", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
+    of = lambda c: ranked.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("r").alias(f"r{c}"))
+    d = both.join(of("x"), "x").join(of("y"), "y")
     n, sx, sy = F.sum("w"), F.sum(F.col("w") * F.col("rx")), F.sum(F.col("w") * F.col("ry"))
     s = d.agg(n.alias("n"), sx.alias("sx"), sy.alias("sy"), *(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(a + b) for a, b in (("rx", "rx"), ("ry", "ry"), ("rx", "ry"))))
     cov = F.col("rxry") - F.col("sx") * F.col("sy") / F.col("n")

@@ -152,7 +152,7 @@ def _cells(counts: DataFrame, prefixes: list[int], done: int, strata: list[str])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = ordered_bits(b.column(0).to_numpy(zero_copy_only=False))
+            bits = ranks.ordered_bits(b.column(0).to_numpy(zero_copy_only=False))
             prefix = bits >> np.uint64(64 - done) if done else np.zeros(len(bits), np.uint64)
             keep = np.isin(prefix, wanted)
             digit = (bits[keep] << np.uint64(done)) >> np.uint64(64 - width) << np.uint64(BITS - width)
@@ -171,13 +171,6 @@ def _cells(counts: DataFrame, prefixes: list[int], done: int, strata: list[str])
     return out
 
 
-def ordered_bits(x: np.ndarray) -> np.ndarray:
-    """Unsigned integers in the order of the doubles; both zeros are one."""
-    bits = (np.asarray(x, np.float64) + 0.0).view(np.uint64)
-    top = np.uint64(1 << 63)
-    return np.where(bits & top, ~bits, bits | top)
-
-
 def subset_stability(df: DataFrame, x: str, subsets: dict[str, Column]) -> DataFrame:
     """``subset, n, median, positive, negative`` of overlapping subsets, in one scan."""
     member = F.filter(F.array(*(F.when(p, F.lit(k)) for k, p in subsets.items())), lambda v: v.isNotNull())

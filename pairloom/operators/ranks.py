@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +62,66 @@ def quantiles(df: DataFrame, x: Column | str, ps: dict[str, float], by: list[str
     return running(value_counts(df, x, by), by).groupBy(*(by or [])).agg(F.coalesce(F.max("total"), F.lit(0)).alias("n"), *(quantile(p).alias(k) for k, p in ps.items()))
 
 
+DIGIT = 16
+
+
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; both zeros are one."""
+    bits = (np.asarray(x, np.float64) + 0.0).view(np.uint64)
+    top = np.uint64(1 << 63)
+    return np.where(bits & top, ~bits, bits | top)
+
+
 def exact_median(df: DataFrame, x: Column) -> float | None:
-    """The median of a column in passes without a shuffle of its rows: an approximate bracket, then the exact counts within it.
+    """The median of a column by passes that move counts only: each follows the next 16 bits of the middle values, until these are one value.
 
-    None without values. A bracket that misses the middle, which the approximation rules out but for
-    very uneven ties, is replaced by the whole range.
+    Nulls and NaN are left out; None without values. Two passes are the rule, four the most.
     """
     d = df.select(x.cast("double").alias("value")).where("value is not null and not isnan(value)")
-    lo, hi = d.agg(F.percentile_approx("value", [0.498, 0.502], ACCURACY).alias("q")).first().q or (None, None)
-    if lo is None:
-        return None
-    for a, b in ((lo, hi), (float("-inf"), float("inf"))):
-        inside = d.where((F.col("value") >= a) & (F.col("value") <= b))
-        n, below, within = d.agg(F.count("*"), F.count_if(F.col("value") < a), F.count_if((F.col("value") >= a) & (F.col("value") <= b))).first()
-        first, last = (n + 1) // 2 - below, n // 2 + 1 - below
-        if first >= 1 and last <= within:
-            pick = running(value_counts(inside, "value")).agg(at_rank(F.lit(first)).alias("a"), at_rank(F.lit(last)).alias("b")).first()
-            return (pick.a + pick.b) / 2
-    raise AssertionError("unreachable")
+    following: dict[int, list[int]] = {0: []}  # leading bits, and the ranks looked for among the values that have them
+    found: list[float] = []
+    for done in range(0, 64, DIGIT):
+        rows = _digits(d, sorted(following), done)
+        if not done:
+            n = int(rows["n"].sum())
+            if not n:
+                return None
+            following[0] = [(n + 1) // 2, n // 2 + 1]
+        deeper: dict[int, list[int]] = {}
+        for prefix, wanted in following.items():
+            r = rows[rows["prefix"] == prefix].sort_values("digit")
+            upto = r["n"].cumsum().to_numpy()
+            for rank in wanted:
+                at = int(np.searchsorted(upto, rank))
+                low, high = r["low"].iloc[at], r["high"].iloc[at]
+                if low == high:
+                    found.append(float(low))
+                else:
+                    deeper.setdefault(prefix << DIGIT | int(r["digit"].iloc[at]), []).append(rank - int(upto[at] - r["n"].iloc[at]))
+        following = deeper
+        if not following:
+            break
+    return sum(found) / len(found)
+
+
+def _digits(d: DataFrame, prefixes: list[int], done: int) -> pd.DataFrame:
+    """``prefix, digit, n, low, high``: for each leading bits followed, the counts and ends of the values by their next 16 bits, at most 65,536 rows each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(prefixes), 1 << DIGIT), np.int64)
+        low, high = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
+        for b in batches:
+            value = b.column(0).to_numpy(zero_copy_only=False)
+            bits = ordered_bits(value)
+            for k, prefix in enumerate(prefixes):
+                keep = bits >> np.uint64(64 - done) == np.uint64(prefix) if done else np.ones(len(bits), bool)
+                digit = ((bits[keep] << np.uint64(done)) >> np.uint64(64 - DIGIT)).astype(np.int64)
+                n[k] += np.bincount(digit, minlength=1 << DIGIT)
+                np.minimum.at(low[k], digit, value[keep])
+                np.maximum.at(high[k], digit, value[keep])
+        k, digit = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(digit.astype(np.int32)), *(pa.array(x[k, digit]) for x in (n, low, high))], names=["k", "digit", "n", "low", "high"])
+
+    parts = d.mapInArrow(run, "k int, digit int, n long, low double, high double")
+    rows = parts.groupBy("k", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    return rows.assign(prefix=[prefixes[k] for k in rows["k"]])

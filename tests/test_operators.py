@@ -225,7 +225,7 @@ def test_bootstrap_resamples_as_numpy_does(spark):
 
 def test_ordered_bits(spark):
     x = np.array([-np.inf, -1e300, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, np.inf])
-    assert (np.diff(inf.ordered_bits(x).astype(object)) >= 0).all() and inf.ordered_bits(x)[4] == inf.ordered_bits(x)[5]
+    assert (np.diff(rk.ordered_bits(x).astype(object)) >= 0).all() and rk.ordered_bits(x)[4] == rk.ordered_bits(x)[5]
 
 
 def test_exact_quantiles_by_group(spark):
@@ -242,6 +242,8 @@ def test_exact_quantiles_by_group(spark):
     assert rk.exact_median(d.where("g = 'a'"), F.col("v")) == pytest.approx(np.median([v for k, v in rows if k == "a" and v == v])) and rk.exact_median(d.limit(0), F.col("v")) is None
     tied = spark.range(999).select(F.when(F.col("id") % 3 == 0, F.lit(2.0)).otherwise(F.col("id").cast("double")).alias("v"))
     assert rk.exact_median(tied, F.col("v")) == np.median([2.0 if i % 3 == 0 else float(i) for i in range(999)])
+    for values in ([1.0, 2.0], [-1.0, 0.0, -0.0, 1.0], [5e-324, 1e-323], [1.0, 1.0 + 2**-52, 1.0 + 2**-51], [float("-inf"), float("inf"), 3.0], [7.0] * 9):
+        assert rk.exact_median(spark.createDataFrame([(v,) for v in values], "v double"), F.col("v")) == np.median(values)
     plan = rk.quantiles(d, "v", ps, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in plan
 
