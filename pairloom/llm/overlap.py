@@ -11,12 +11,15 @@ the winnowed grams, of which any fragment of that length holds one. The other te
 in which any words may be joined) is hashed so at all lengths that some finer text of the other
 split uses. Every record plays both parts, so near records always share a hash, whatever else is
 in the corpus. A hash shared by many records of both splits counts only together with one of the
-other side, which is also near and so is bound to share one too. Candidates are compared word by word.
+other side, which is also near and so is bound to share one too. If that is hot as well (records from
+a template), beginning and end are hashed together: with one change, a beginning that ends between two
+steps of the ladder leaves an end of known length. Candidates are compared word by word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from .sieve import Filling, merged, passes, sieve_of, size_for
 from .words import far_apart, hangul, is_hangul, near, words
 
 HOT = 32  # records of both splits under one hash, beyond which it counts only with one of the other side
-WHOLE, FIRST, LAST, WITHIN = range(4)  # kinds of hashes
+WHOLE, FIRST, LAST, WITHIN, ENDS, ANY = range(6)  # kinds of hashes
 
 
 def _ladder(most: int = 1 << 22) -> np.ndarray:
@@ -112,35 +115,44 @@ class Texts:
         return row[at], least[at]
 
 
-def _fine(texts: list[str], share: int) -> tuple[np.ndarray, np.ndarray, set[tuple[int, int]]]:
-    """Rows and hashes of the texts as the finer ones, and which kinds at which steps of the ladder occur."""
+Steps = set[tuple[int, int, int]]  # kinds of hashes with one or two steps of the ladder
+Hashed = tuple[np.ndarray, np.ndarray]  # rows and hashes
+
+
+def _known(texts: list[str], share: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many changes there may be if a text is the finer one, and how much at least is then common to both."""
     sizes = [sorted(map(len, t.split(" ")), reverse=True) if t else [] for t in texts]
     k = np.array([len(s) // share for s in sizes], np.int64)
-    common = np.array([sum(s) - sum(s[:n]) for s, n in zip(sizes, k.tolist(), strict=True)], np.int64)
+    return k, np.array([sum(s) - sum(s[:n]) for s, n in zip(sizes, k.tolist(), strict=True)], np.int64)
+
+
+def _fine(texts: list[str], share: int) -> tuple[Hashed, Steps]:
+    """The hashes of the texts as the finer ones, and which steps they use: one fragment of the longest length that is certain."""
+    k, common = _known(texts, share)
     step = np.searchsorted(LADDER, -(-common // (k + 1)), side="right") - 1
     t = Texts(texts)
     zero = np.flatnonzero(k == 0)
-    rows, keys, used = [zero], [t.whole(zero)], {(WHOLE, 0)} if len(zero) else set()
+    rows, keys, used = [zero], [t.whole(zero)], set()
     for s in np.unique(step[k == 1]).tolist():
         at = np.flatnonzero((k == 1) & (step == s))
         rows += [at, at]
         keys += [t.first(at, int(LADDER[s])), t.last(at, int(LADDER[s]))]
-        used.add((FIRST, s))
+        used.add((FIRST, s, 0))
     for s in np.unique(step[k > 1]).tolist():
         at = np.flatnonzero((k > 1) & (step == s))
         r, h = Texts([texts[i] for i in at]).within(int(LADDER[s]))
         rows.append(at[r])
         keys.append(h)
-        used.add((WITHIN, s))
-    return np.concatenate(rows), np.concatenate(keys), used
+        used.add((WITHIN, s, 0))
+    return (np.concatenate(rows), np.concatenate(keys)), used
 
 
-def _coarse(texts: list[str], used: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the texts as the coarser ones, at the steps that finer ones use."""
+def _coarse(texts: list[str], used: Steps) -> Hashed:
+    """The hashes of the texts as the coarser ones, at the steps that finer ones use."""
     t = Texts(texts)
     every = np.arange(len(texts))
     rows, keys = [every], [t.whole(every)]
-    for kind, s in sorted(used):
+    for kind, s, _ in sorted(used):
         length = int(LADDER[s])
         if kind == FIRST:  # two fragments: the longer has at most all, and its bound is at most half of the text
             at = np.flatnonzero(t.size >= 2 * length - 1)
@@ -155,6 +167,46 @@ def _coarse(texts: list[str], used: set[tuple[int, int]]) -> tuple[np.ndarray, n
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def _both_ends(t: Texts, at: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Hashes of a beginning and an end of the lengths of two steps, counted from 1; 0 is none."""
+    begin, end = (t.first(at, int(LADDER[first - 1])) if first else np.zeros(len(at), np.uint64)), (t.last(at, int(LADDER[last - 1])) if last else np.zeros(len(at), np.uint64))
+    with np.errstate(over="ignore"):
+        return scramble(begin * np.uint64(0x9E3779B97F4A7C15) + end + np.uint64(ENDS << 48 | first << 24 | last))
+
+
+def _fine_ends(texts: list[str], share: int) -> tuple[Hashed, Steps]:
+    """As ``_fine``, with all that is certain of texts with one change. For each step that the common beginning may reach, it is hashed with
+    the end that is then left. Of texts with more changes nothing more is said: they meet all."""
+    k, common = _known(texts, share)
+    t = Texts(texts)
+    zero, more = np.flatnonzero(k == 0), np.flatnonzero(k > 1)
+    rows, keys, used = [zero, more], [t.whole(zero), np.full(len(more), ANY, np.uint64)], {(ANY, 0, 0)} if len(more) else set()
+    one = np.flatnonzero(k == 1)
+    for first in range(int(np.searchsorted(LADDER, t.size[one].max(initial=0), side="right")) + 1):
+        at = one[t.size[one] >= (LADDER[first - 1] if first else 0)]
+        last = np.searchsorted(LADDER, np.maximum(common[at] - LADDER[first] + 1, 0), side="right")
+        for n in np.unique(last).tolist():
+            rows.append(at[last == n])
+            keys.append(_both_ends(t, rows[-1], first, n))
+            used.add((ENDS, first, n))
+    return (np.concatenate(rows), np.concatenate(keys)), used
+
+
+def _coarse_ends(texts: list[str], used: Steps) -> Hashed:
+    t = Texts(texts)
+    every = np.arange(len(texts))
+    rows, keys = [every], [t.whole(every)]
+    for kind, first, last in sorted(used):
+        if kind == ANY:
+            rows.append(every)
+            keys.append(np.full(len(every), ANY, np.uint64))
+        else:
+            at = np.flatnonzero(t.size >= (LADDER[first - 1] if first else 0) + (LADDER[last - 1] if last else 0))
+            rows.append(at)
+            keys.append(_both_ends(t, at, first, last))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
 def _settled(wa: str, wb: str, share: int) -> bool:
     """Whether each near copy of a record has Hangul in the copy of its first side, so that its sides can't be taken for one another.
 
@@ -181,49 +233,48 @@ def _tagged(keys: np.ndarray, slot: int, finer: int) -> np.ndarray:
         return scramble(keys + np.uint64(4 * slot + finer + 1))
 
 
-def _finer_sieve(reps: DataFrame, share: int) -> object:
-    """Hashes of all finer texts in a sieve, and the steps of the ladder that occur on each side."""
-    bits = size_for(8 * reps.count())
+def _finer_sieve(reps: DataFrame, n: int, slot: int, fine: Callable, share: int) -> object:
+    """Hashes of all finer texts of one side in a sieve, and the steps that occur."""
+    bits = size_for(8 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, steps = Filling(bits), set()
         for b in batches:
             split = [b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (0, 1)]
-            for slot, (texts, own) in enumerate(_slots(b.column(2).to_pylist(), b.column(3).to_pylist(), share)):
-                rows, keys, used = _fine(texts, share)
-                for finer in (0, 1):
-                    f.add(_tagged(keys[split[finer][own[rows]]], slot, finer))
-                steps |= {(slot, *u) for u in used}
+            texts, own = _slots(b.column(2).to_pylist(), b.column(3).to_pylist(), share)[slot]
+            (rows, keys), used = fine(texts, share)
+            for finer in (0, 1):
+                f.add(_tagged(keys[split[finer][own[rows]]], slot, finer))
+            steps |= used
         yield f.batch()
         # Steps as words below 0, of which there are at most some hundred.
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - (slot << 16 | kind << 8 | s) for slot, kind, s in steps], pa.int32()), pa.array([1] * len(steps), pa.int64())], names=["word", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - (kind << 16 | a << 8 | c) for kind, a, c in steps], pa.int32()), pa.array([1] * len(steps), pa.int64())], names=["word", "bits"])
 
-    words_set = cut(reps.select("v", "t", "wa", "wb").mapInArrow(run, "word int, bits long"))
-    used: list[set] = [set(), set()]
-    for r in words_set.where("word < 0").distinct().collect():
-        x = -1 - r.word
-        used[x >> 16].add((x >> 8 & 255, x & 255))
-    return reps.sparkSession.sparkContext.broadcast((merged(words_set, bits), used))
+    filled = cut(reps.select("v", "t", "wa", "wb").mapInArrow(run, "word int, bits long"))
+    codes = [-1 - r.word for r in filled.where("word < 0").distinct().collect()]
+    return reps.sparkSession.sparkContext.broadcast((merged(filled, bits), {(x >> 16, x >> 8 & 255, x & 255) for x in codes}))
 
 
-def _hashes(reps: DataFrame, sieve: object, slot: int, share: int) -> DataFrame:
+def _hashes(reps: DataFrame, n: int, slot: int, share: int, ends: bool = False) -> DataFrame:
     """``sig, training, cls, hi, lo``: the texts with the hashes of one of their sides in both parts; coarse ones only if a finer text has them."""
+    fine, coarse_of = (_fine_ends, _coarse_ends) if ends else (_fine, _coarse)
+    sieve = _finer_sieve(reps, n, slot, fine, share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, used = sieve.value
         for b in batches:
             split = [b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (3, 4)]
             texts, own = _slots(b.column(5).to_pylist(), b.column(6).to_pylist(), share)[slot]
-            rows, keys, _ = _fine(texts, share)
-            crows, ckeys = _coarse(texts, used[slot])
+            (rows, keys), _ = fine(texts, share)
+            crows, ckeys = coarse_of(texts, used)
             for training in (0, 1):
                 here = split[training][own[rows]]
-                fine, frow = _tagged(keys[here], slot, training), own[rows[here]]
+                finer, frow = _tagged(keys[here], slot, training), own[rows[here]]
                 here = split[training][own[crows]]
                 coarse, crow = _tagged(ckeys[here], slot, 1 - training), own[crows[here]]
                 hit = known.holds(coarse)
                 row = np.concatenate([frow, crow[hit]])
-                sig = np.concatenate([fine, coarse[hit]]).view(np.int64)
+                sig = np.concatenate([finer, coarse[hit]]).view(np.int64)
                 once = np.unique(np.column_stack([row, sig]), axis=0) if len(row) else np.zeros((0, 2), np.int64)
                 at = pa.array(once[:, 0])
                 yield pa.RecordBatch.from_arrays([pa.array(once[:, 1]), pa.array(np.full(len(once), bool(training))), *(b.column(k).take(at) for k in range(3))], names=["sig", "training", "cls", "hi", "lo"])
@@ -240,15 +291,19 @@ def _meeting(hashes: DataFrame) -> DataFrame:
 
 def _candidates(reps: DataFrame, share: int) -> DataFrame:
     """``hi1, lo1, hi2, lo2``: all texts that may be near, once each."""
-    sieve = _finer_sieve(reps, share)
-    hashes = cut(_hashes(reps, sieve, 0, share))
-    each = hashes.groupBy("sig").agg(F.count_if(~F.col("training")).alias("v"), F.count_if("training").alias("t"))
-    hot = cut(each.where(F.least("v", "t") > HOT).select("sig"))
-    cold = _meeting(hashes.join(hot, "sig", "left_anti"))
-    again = cut(hashes.join(hot, "sig"))
-    second = _hashes(reps.where(passes(sieve_of(again, "hi", again.count()), "hi")), sieve, 1, share).select(F.col("sig").alias("second"), "training", "hi", "lo")
-    both = again.join(second, ["hi", "lo", "training"]).select(F.xxhash64("sig", "second").alias("sig"), "training", "cls", "hi", "lo")
-    return cut(cold.unionByName(_meeting(both)).distinct())
+    hashes = cut(_hashes(reps, reps.count(), 0, share))
+    met = []
+    for slot, ends in ((1, False), (0, True), (1, True)):
+        each = hashes.groupBy("sig").agg(F.count_if(~F.col("training")).alias("v"), F.count_if("training").alias("t"))
+        hot = cut(each.where(F.least("v", "t") > HOT).select("sig"))
+        met.append(_meeting(hashes.join(hot, "sig", "left_anti")))
+        again = cut(hashes.join(hot, "sig"))
+        n = again.count()
+        if not n:
+            return cut(reduce(DataFrame.unionByName, met).distinct())
+        further = _hashes(reps.where(passes(sieve_of(again, "hi", n), "hi")), n, slot, share, ends).select(F.col("sig").alias("further"), "training", "hi", "lo")
+        hashes = cut(again.join(further, ["hi", "lo", "training"]).select(F.xxhash64("sig", "further").alias("sig"), "training", "cls", "hi", "lo"))
+    return cut(reduce(DataFrame.unionByName, [*met, _meeting(hashes)]).distinct())
 
 
 def _near_records(share: int):  # noqa: ANN202

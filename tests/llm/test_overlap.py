@@ -144,6 +144,34 @@ def test_links_do_not_depend_on_unrelated_records(spark, others):
     assert found(spark, codes) == [("t", "v")]
 
 
+def test_beginning_and_end_keep_every_near_text():
+    """Any text with one change of one word, joined anywhere, shares a hash of both ends with the finer one; with more changes all meet."""
+    random.seed(2)
+    word = lambda: "".join(random.choices("abcd", k=random.choice((1, 2, 4, 9))))
+    for _ in range(400):
+        a = [word() for _ in range(random.randrange(1, 15))]
+        b = list(a)
+        if len(a) > 5:
+            random.choice((lambda: b.pop(random.randrange(len(b))), lambda: b.__setitem__(random.randrange(len(b)), word()), lambda: b.insert(random.randrange(len(b)), word())))()
+        b = "".join(w + random.choice(("", " ")) for w in b).split()
+        if not near(a, b):
+            continue
+        fine, coarse = (a, b) if len(a) >= len(b) else (b, a)
+        for f, c in ((overlap._fine_ends, overlap._coarse_ends), (overlap._fine, overlap._coarse)):
+            (_, keys), used = f([" ".join(fine)], 6)
+            assert set(keys.tolist()) & set(c([" ".join(coarse)], used)[1].tolist())
+
+
+@pytest.mark.parametrize("hot", [1, 3, 32])
+def test_links_do_not_depend_on_what_counts_as_hot(spark, sf_dir, monkeypatch, hot):
+    d = spark.read.parquet(f"{sf_dir}/pair_registry.parquet").select("pair_id", "ko_text_analysis", "en_text_analysis", "is_validation_upstream")
+    template = [(f"{'vt'[i % 2]}{i:03d}", f"안녕하세요 고객님 저희 상점을 이용해 주셔서 감사합니다 주문 {i // 2}{i // 2} 번", f"hello dear customer thank you for using our shop your order is {i // 2}x{i // 2} today", i % 2 == 0) for i in range(90)]
+    d = d.unionByName(spark.createDataFrame(template, SCHEMA))
+    monkeypatch.setattr(overlap, "HOT", hot)
+    got = sorted((r.pair_id_a, r.pair_id_b) for r in overlap.cross_split_pairs(d).collect())
+    assert got == brute([tuple(r) for r in d.collect()])
+
+
 def test_hot_on_both_sides_and_by_halves(spark):
     """Stock beginnings on both sides in hundreds of records: only the true pairs come out."""
     rows = [(f"{'vt'[i % 2]}{i:03d}", f"안녕하세요 고객님 저희 상점을 이용해 주셔서 감사합니다 주문 {i // 2}{i // 2} 번", f"hello dear customer thank you for using our shop your order is {i // 2}x{i // 2}", i % 2 == 0) for i in range(160)]
