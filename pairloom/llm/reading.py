@@ -13,6 +13,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -34,8 +35,7 @@ ROUNDS, DEPTH, RATE, LEAF, SHRINK = 120, 4, 0.08, 12, 4.0
 BINS = 48
 CHUNK = 500  # documents described at once
 SENTENCE = re.compile(r"[.!?。！？]+[\s\"'”’)\]」]*|\n+")
-CLAUSE = re.compile(r"[,;:，；：、()\[\]–—]+")
-WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
+WORD = re.compile(r"([^\W_]+(?:['’][^\W_]+)?)|[,;:，；：、()\[\]–—]")  # a word, or nothing for a mark that parts clauses
 QUANTILES = np.array((0.1, 0.25, 0.5, 0.75, 0.9))
 SPREAD = 2 + len(QUANTILES)
 KINDS = ("vocabulary", "syntax", "openings")  # what the learned tables of difficulty are about: stems, neighbouring word endings, first words
@@ -85,11 +85,10 @@ class Described:
         spread: list[list[list[float]]] = [[], [], [], [], [], []]
         plain, self.cells = [], {k: [] for k in KINDS}
         for t in texts:
-            raw = [s for s in SENTENCE.split(t.lower()) if s]
-            found = [WORD.findall(s) for s in raw]
-            sentences = [w for w in found if w]
-            words = [w for s in sentences for w in s]
-            clauses = [n for s in raw for c in CLAUSE.split(s) if (n := len(WORD.findall(c)))]
+            pieces = [WORD.findall(s) for s in SENTENCE.split(t.lower()) if s]
+            sentences = [w for w in (list(filter(None, s)) for s in pieces) if w]
+            words = list(chain.from_iterable(sentences))
+            clauses = [len(list(g)) for s in pieces for word, g in groupby(s, bool) if word]
             sets = [set(s) for s in sentences]
             shared = [len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:], strict=False)]
             last: dict[str, int] = {}
