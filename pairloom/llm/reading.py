@@ -119,8 +119,15 @@ class Described:
         out = object.__new__(Described)
         places = np.arange(len(self))[at]
         out.rows, out.cells = self.rows[places], {k: [c[i] for i in places] for k, c in self.cells.items()}
+        if hasattr(self, "once"):
+            out.once = {k: [c[i] for i in places] for k, c in self.once.items()}
         return out
 
+    def with_distinct(self) -> Described:
+        """Itself, with the distinct cells of each document, which training asks for many times."""
+        self.once = {k: [np.unique(c) for c in cells] for k, cells in self.cells.items()}
+        return self
+
     def with_tables(self, tables: dict[str, np.ndarray]) -> np.ndarray:
         """The features, and for each table the spread of difficulty over the document's cells."""
         learned = [spreads(tables[k][np.concatenate(c)] if c else np.zeros(0), np.array(list(map(len, c)), np.int64)) for k, c in self.cells.items()]
@@ -130,13 +137,10 @@ class Described:
 def learned_tables(docs: Described, y: np.ndarray) -> dict[str, np.ndarray]:
     """For each kind, how far above the mean the ratings of documents with a cell are, drawn towards 0 where few are known."""
     out = {}
-    for k, cells in docs.cells.items():
-        total, seen = np.zeros(1 << LEXICON_BITS), np.zeros(1 << LEXICON_BITS)
-        for c, v in zip(cells, y - y.mean(), strict=True):
-            u = np.unique(c)
-            total[u] += v
-            seen[u] += 1
-        out[k] = total / (seen + 5.0)
+    for k, cells in docs.once.items():
+        flat = np.concatenate(cells)
+        total = np.bincount(flat, np.repeat(y - y.mean(), list(map(len, cells))), 1 << LEXICON_BITS)
+        out[k] = total / (np.bincount(flat, minlength=1 << LEXICON_BITS) + 5.0)
     return out
 
 
@@ -150,17 +154,20 @@ class Boosted:
         self.base = float(y.mean()) if n else 3.5
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         guess = np.full(n, self.base)
-        offsets = np.arange(f) * BINS
+        cells = b + np.arange(f) * BINS
         for _ in range(ROUNDS if n >= 2 * LEAF else 0):
             residual = y - guess
             node = np.zeros(n, int)
             feature, at = np.full(2**DEPTH - 1, -1), np.zeros(2**DEPTH - 1, int)
             for level in range(DEPTH):
                 nodes = 2**level
-                flat = ((node * f * BINS)[:, None] + offsets + b).ravel()
-                shape = (nodes, f, BINS)
-                count = np.bincount(flat, minlength=nodes * f * BINS).reshape(shape).cumsum(2)
-                total = np.bincount(flat, np.repeat(residual, f), nodes * f * BINS).reshape(shape).cumsum(2)
+                # Rows of right children only are counted; the left ones are what is left of their parents.
+                rows = np.flatnonzero(node & 1) if level else np.arange(n)
+                flat = (((node[rows] >> 1) * f * BINS)[:, None] + cells[rows]).ravel()
+                size = max(nodes // 2, 1) * f * BINS
+                own = [np.bincount(flat, w, size).reshape(-1, f, BINS) for w in (None, np.repeat(residual[rows], f))]
+                parts = [np.stack([p - o, o], 1).reshape(nodes, f, BINS) for p, o in zip(parts, own, strict=True)] if level else own
+                count, total = (p.cumsum(2) for p in parts)
                 cl, tl = count[:, :, :-1], total[:, :, :-1]
                 cr, tr = count[:, :, -1:] - cl, total[:, :, -1:] - tl
                 gain = tl**2 / (cl + SHRINK) + tr**2 / (cr + SHRINK) - total[:, :, -1:] ** 2 / (count[:, :, -1:] + SHRINK)
@@ -269,7 +276,7 @@ def train(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable").reset_index(drop=True)
         language = rows["language"].iloc[0]
-        docs = Described(rows["text"].tolist(), language)
+        docs = Described(rows["text"].tolist(), language).with_distinct()
         fold = np.array([xxhash.xxh32_intdigest(s or "") % FOLDS for s in rows["source"]])
         model = Model()
         held = model.fit(docs, rows["rating"].to_numpy(float), fold)
