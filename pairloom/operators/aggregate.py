@@ -155,6 +155,23 @@ def profile(df: DataFrame, columns: list[str], top: int = 25) -> DataFrame:
     return sums.join(heads, "field", "left")
 
 
+def json_profile(df: DataFrame, column: str) -> DataFrame:
+    """``field, absent, nulls, empty, strings, numbers, booleans, arrays, objects, distinct_values`` of the fields of a column of JSON objects.
+
+    A field that a record lacks is absent; one that is there as null is not. Rows without an object are no records. Distinct
+    values are those of scalars, as they are spelled.
+    """
+    records = df.select(F.try_parse_json(column).alias("v")).where(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"))
+    parts = records.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("key").alias("field"), F.col("value"), F.schema_of_variant("value").alias("kind"))
+    kinds = {"strings": F.col("kind") == "STRING", "numbers": F.col("kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), "booleans": F.col("kind") == "BOOLEAN", "arrays": F.col("kind").startswith("ARRAY"), "objects": F.col("kind").startswith("OBJECT")}
+    scalar = F.when(~kinds["arrays"] & ~kinds["objects"] & (F.col("kind") != "VOID"), F.col("value").cast("string"))
+    counted = parts.withColumn("s", scalar).groupBy("field").agg(
+        F.count("*").alias("_there"), F.count_if(F.col("kind") == "VOID").alias("nulls"), F.count_if(kinds["strings"] & (F.col("s") == "")).alias("empty"), *(F.count_if(c).alias(k) for k, c in kinds.items()), F.count_distinct("s").alias("distinct_values")
+    )
+    total = records.agg(F.count("*").alias("_total"))
+    return counted.join(total, F.lit(True)).select("field", (F.col("_total") - F.col("_there")).alias("absent"), "nulls", "empty", *kinds, "distinct_values")
+
+
 def support(df: DataFrame, row: str, column: str) -> DataFrame:
     """``row, levels, rows, verdict`` of each level: how far the two factors can be told apart.
 

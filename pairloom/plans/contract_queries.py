@@ -268,3 +268,49 @@ def spearman_of_a_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlation on a reproducible sample (the feature)."""
     d = sm.hash_sample(cohort(spark, sf_dir).select("pair_id", "ko_codepoint_count", "token_premium"), "pair_id", 1000, "ranks")
     return ag.spearman(d, "ko_codepoint_count", "token_premium").withColumn("rho", F.round("rho", 9))
+
+
+@query(
+    """WITH r AS (SELECT raw_metadata_json::JSON AS j FROM pair_registry WHERE json_valid(raw_metadata_json) AND json_type(raw_metadata_json) = 'OBJECT'), k AS (SELECT j, unnest(json_keys(j)) AS field FROM r),
+t AS (SELECT field, json_type(j, '$."' || field || '"') AS t, json_extract_string(j, '$."' || field || '"') AS s FROM k)
+SELECT field, (SELECT count(*) FROM r) - count(*) AS absent, count(*) FILTER (WHERE t = 'NULL') AS nulls, count(*) FILTER (WHERE t = 'VARCHAR' AND s = '') AS "empty", count(*) FILTER (WHERE t = 'VARCHAR') AS strings, count(*) FILTER (WHERE t IN ('UBIGINT', 'BIGINT', 'DOUBLE')) AS numbers,
+  count(*) FILTER (WHERE t = 'BOOLEAN') AS booleans, count(*) FILTER (WHERE t = 'ARRAY') AS arrays, count(*) FILTER (WHERE t = 'OBJECT') AS objects, count(DISTINCT s) FILTER (WHERE t NOT IN ('ARRAY', 'OBJECT', 'NULL')) AS distinct_values FROM t GROUP BY field"""
+)
+def metadata_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the raw records: absent, null and empty told apart, and their types."""
+    return ag.json_profile(table(spark, sf_dir, "pair_registry"), "raw_metadata_json")
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_slope(l_extendedprice - 1000 * l_quantity, l_quantity), 4) AS shifted_slope, round(regr_slope(l_extendedprice, l_quantity) - regr_slope(l_extendedprice - 1000 * l_quantity, l_quantity), 4) AS shift, true AS same_residuals FROM lineitem")
+def outcome_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outcome less a multiple of a column: its coefficient shifts by the multiple, all else, the residuals too, stays."""
+    d = table(spark, sf_dir, "lineitem").withColumn("shifted", F.col("l_extendedprice") - 1000 * F.col("l_quantity"))
+    g = ml.gram(d, ["l_quantity"], ["l_extendedprice", "shifted"])
+    a, b = (ml.ols(g, y) for y in ("l_extendedprice", "shifted"))
+    row = (round(float(a.beta[1]), 4), round(float(b.beta[1]), 4), round(float(a.beta[1] - b.beta[1]), 4), bool(abs(a.ssr - b.ssr) <= 1e-9 * a.ssr))
+    return spark.createDataFrame([row], "slope double, shifted_slope double, shift double, same_residuals boolean")
+
+
+@query(
+    "SELECT side, flag, n FROM (" + " UNION ALL ".join(
+        f"SELECT '{s}' AS side, '{k}' AS flag, count(*) FILTER (WHERE {p.replace('@', f'{s}_text_raw')}) AS n FROM pair_registry" for s in SIDES for k, p in {"empty": f"regexp_matches(@, '^{EDGE}*$')", "leading_or_trailing_whitespace": f"regexp_matches(@, '^{EDGE}|{EDGE}$')"}.items()) + ")"
+)
+def raw_edge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "pair_registry")
+    flags = {f"{s}|{k}": tx.noise_flags(f"{s}_text_raw", s)[k] for s in SIDES for k in ("empty", "leading_or_trailing_whitespace")}
+    return ag.counts_of(d, flags, "f").select(F.split_part("f", F.lit("|"), F.lit(1)).alias("side"), F.split_part("f", F.lit("|"), F.lit(2)).alias("flag"), "n")
+
+
+@query(
+    """SELECT pair_id, true AS roundtrip_ok, round(nullif(length(ko_text_analysis), 0) / nullif(length(en_text_analysis), 0), 9) AS code_point_ratio,
+  round((octet_length(encode(ko_text_analysis)) / nullif(length(ko_text_analysis), 0)) / nullif(octet_length(encode(en_text_analysis)) / nullif(length(en_text_analysis), 0), 0), 9) AS byte_density_ratio,
+  CASE WHEN ko_text_analysis <> '' AND en_text_analysis <> '' THEN true END AS factors_multiply, true AS tokens_at_most_bytes FROM pair_registry"""
+)
+def encoded_pair_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every pair's encoding: it can be decoded, tokens are at most bytes, and the premium is the product of its factors."""
+    d = spread(table(spark, sf_dir, "pair_registry").select("pair_id", "ko_text_analysis", "en_text_analysis"))
+    d = tk.with_token_ids(d, {f"{s}_": f"{s}_text_analysis" for s in SIDES})
+    d = d.select("pair_id", (F.col("ko_roundtrip_ok") & F.col("en_roundtrip_ok")).alias("roundtrip_ok"), *(c for s in SIDES for c in (F.size(f"{s}_token_ids").alias(f"{s}_tokens"), F.length(f"{s}_text_analysis").alias(f"{s}_codepoints"), F.octet_length(f"{s}_text_analysis").alias(f"{s}_bytes"))))
+    x = tk.decomposition()
+    fits = F.expr("ko_tokens <= ko_bytes and en_tokens <= en_bytes")
+    return d.select("pair_id", "roundtrip_ok", F.round(x["code_point_ratio"], 9).alias("code_point_ratio"), F.round(x["byte_density_ratio"], 9).alias("byte_density_ratio"), (x["identity_abs_error"] < 1e-9).alias("factors_multiply"), fits.alias("tokens_at_most_bytes"))

@@ -214,7 +214,15 @@ def greedy_audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sm.greedy_groups(d, "pair_id", groups, 10, 50, "greedy")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT * FROM ({TOKENS})), d AS (SELECT p.pair_id, domain, script_mix_flag, token_premium, md5(p.pair_id || 'balanced') AS h FROM (SELECT * FROM pair_registry WHERE {COHORT}) p JOIN (SELECT pair_id, token_premium FROM t) USING (pair_id)),
+a AS (SELECT pair_id, domain, row_number() OVER (PARTITION BY domain ORDER BY h, pair_id) AS turn FROM d), b AS (SELECT pair_id FROM a WHERE turn <= 40 ORDER BY turn, domain NULLS FIRST LIMIT 40),
+r AS (SELECT * FROM d WHERE pair_id NOT IN (FROM b)), c AS (SELECT pair_id FROM r WHERE token_premium IS NOT NULL ORDER BY token_premium DESC, h, pair_id LIMIT 20),
+e AS (SELECT pair_id FROM r WHERE token_premium IS NOT NULL AND pair_id NOT IN (FROM c) ORDER BY token_premium, h, pair_id LIMIT 20),
+s AS (SELECT * FROM r WHERE pair_id NOT IN (FROM c) AND pair_id NOT IN (FROM e)), f AS (SELECT pair_id FROM s WHERE script_mix_flag ORDER BY h, pair_id LIMIT 20),
+g AS (SELECT pair_id FROM s WHERE pair_id NOT IN (FROM f) ORDER BY h, pair_id LIMIT (20 - (SELECT count(*) FROM f)))
+SELECT pair_id, 'balanced' AS chosen_as FROM b UNION ALL SELECT pair_id, 'highest' FROM c UNION ALL SELECT pair_id, 'lowest' FROM e UNION ALL SELECT pair_id, 'stress' FROM f UNION ALL SELECT pair_id, 'stable_hash_backfill' FROM g"""
+)
 def balanced_audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred pairs: 40 balanced over domains, 40 of extreme premium, 20 with mixed scripts."""
     t = latest_tokens(spark, sf_dir, ["token_premium"])

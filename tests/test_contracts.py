@@ -115,3 +115,38 @@ def test_wald_and_gains_equal_numpy(spark):
     gain = ml.nested(fit, ml.ols(g, "y", ["x0"]))["delta_r2"]
     assert len(draws) == 300 and (draws >= -1e-12).all() and np.percentile(draws, 2.5) < gain < np.percentile(draws, 97.5)
     assert [t["what"] for t in ml.triggers(g, {"pair": ["x0", "x1"]})] == ["condition", "max_vif", "gvif:pair"] and not any(t["triggered"] for t in ml.triggers(g, {"pair": ["x0", "x1"]}))
+
+
+def test_envelope_levels():
+    from pairloom.operators.telemetry import Envelope
+
+    e = Envelope()
+    assert e.level(9, 0, 1) == ("GREEN", [])
+    assert [e.level(a, s, o)[0] for a, s, o in ((7, 0, 1), (9, 0.2, 1), (4.5, 0, 1), (9, 0.6, 1), (9, 0, 7), (3, 0, 1), (9, 1.5, 1))] == ["YELLOW", "YELLOW", "RED", "RED", "RED", "EMERGENCY", "EMERGENCY"]
+
+
+def test_telemetry_samples_and_aborts(spark):
+    import time
+
+    from pairloom.operators.telemetry import Telemetry, read_memory
+
+    done = iter(range(0, 10_000, 10))
+    with Telemetry(interval=0.02, rows=lambda: next(done), read=lambda: (20.0, 0.0, 1.0), most=8) as t:
+        time.sleep(0.5)
+    got = t.summary()
+    assert got["periodic"] and got["samples"] > 4 and len(t.samples) <= 9 and got["worst_level"] == "GREEN" and got["rows_per_second"] > 0
+    reads = iter([(9.0, 1.0, 1.0), (9.0, 1.0, 1.0), (4.2, 1.0, 1.0), *[(9.0, 1.0, 1.0)] * 500])
+    with pytest.raises(va.Violation, match="RED"), Telemetry(spark, interval=0.02, read=lambda: next(reads)) as t:
+        time.sleep(0.2)
+    assert t.summary()["worst_level"] == "RED" and t.summary()["least_available_gib"] == 4.2
+    assert read_memory()[0] > 0
+    assert Telemetry().summary()["samples"] == 0
+
+
+def test_json_profile_tells_absent_null_and_empty_apart(spark):
+    rows = ['{"a": "x", "b": 1}', '{"a": "", "b": 2.5}', '{"a": null, "c": [1]}', '{"b": true, "c": {"d": 1}}', "not json", "[1]", None, "{}"]
+    got = {r.field: r for r in ag.json_profile(spark.createDataFrame([(r,) for r in rows], "j string"), "j").collect() if r.field is not None}
+    assert set(got) == {"a", "b", "c"}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert (a.absent, a.nulls, a.empty, a.strings, a.distinct_values) == (2, 1, 1, 2, 2)
+    assert (b.absent, b.numbers, b.booleans, b.distinct_values) == (2, 2, 1, 3) and (c.absent, c.arrays, c.objects, c.distinct_values) == (3, 1, 1, 0)
