@@ -35,6 +35,17 @@ def pair_id(source: str, record: str, prefix: str = "pair_") -> Column:
     return F.concat(F.lit(prefix), length_prefixed_sha256(source, record))
 
 
+def source_id(label: str | Column, manifest_sha256: str | Column) -> Column:
+    """Identity of one snapshot of a source: a new manifest makes another source. Null if either is."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.concat(c(label), F.lit("@raw-manifest:"), c(manifest_sha256))
+
+
+def salted_pair_digest(left: str | Column, right: str | Column, salt: bytes) -> Column:
+    """32 bytes that are equal exactly when both texts are, and say nothing of them without the salt, which is made for a run and not kept."""
+    return F.unhex(F.sha2(F.concat(F.lit(bytearray(salt)), length_prefixed(left, right)), 256))
+
+
 def measurement_id(prefix: str, schema_version: str, config_sha256: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.concat_ws("|", F.lit(schema_version), F.lit(config_sha256), F.col(key)), 256))
 

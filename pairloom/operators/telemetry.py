@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import threading
 import time
@@ -64,10 +65,11 @@ class Telemetry:
     """Samples every ``interval`` seconds while open. At RED or worse it cancels the session's jobs, if ``abort``, and closing raises.
 
     ``rows`` says how many rows are done; it is asked at each sample. Executors' memory is bounded by their own settings; this watches
-    the driver's host. At most ``most`` samples are kept: then every other one goes and the interval doubles, so extremes stay of the whole run.
+    the driver's host. ``log``: a local file for all samples, beside it ``.latest``. At most ``most`` samples are kept: then every other one goes and the interval doubles, so extremes stay of the whole run.
     """
 
-    def __init__(self, spark: SparkSession | None = None, interval: float = 10.0, envelope: Envelope | None = None, abort: bool = True, rows: Callable[[], int] = lambda: 0, read: Callable[[], tuple[float, float, float]] = read_memory, most: int = 4096) -> None:
+    def __init__(self, spark: SparkSession | None = None, interval: float = 10.0, envelope: Envelope | None = None, abort: bool = True, rows: Callable[[], int] = lambda: 0, read: Callable[[], tuple[float, float, float]] = read_memory, most: int = 4096, log: str | None = None) -> None:
+        self.log = log
         self.spark, self.interval, self.envelope, self.abort, self.rows, self.read, self.most = spark, interval, envelope or Envelope(), abort, rows, read, most
         self.samples: list[Sample] = []
         self.taken, self.worst, self.least_available, self.most_own, self.reason = 0, "GREEN", float("inf"), 0.0, None
@@ -83,6 +85,7 @@ class Telemetry:
         self.worst = max(self.worst, level, key=ORDER.index)
         self.least_available, self.most_own = min(self.least_available, available), max(self.most_own, own)
         self.samples.append(one)
+        self._write(one)
         if len(self.samples) > self.most:
             self.samples, self.interval = self.samples[::2], self.interval * 2
         if self.abort and ORDER.index(level) >= 2 and self.reason is None:
@@ -91,6 +94,16 @@ class Telemetry:
                 self.spark.sparkContext.cancelAllJobs()
         return one
 
+    def _write(self, one: Sample) -> None:
+        """The sample as a line of the log, and as the latest file, which is replaced at once."""
+        if self.log:
+            line = json.dumps(asdict(one), sort_keys=True)
+            with open(self.log, "a", encoding="utf-8") as f:
+                f.write(line + "\n")
+            with open(f"{self.log}.latest.partial", "w", encoding="utf-8") as f:
+                f.write(line)
+            os.replace(f"{self.log}.latest.partial", f"{self.log}.latest")
+
     def _watch(self) -> None:
         while not self._end.wait(self.interval):
             self.sample()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,21 @@ def recomputed_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("pair_id", hs.duplicate_group_id("ko_text_raw", "en_text_raw").alias("content_id"), hs.pair_id("source_id", "source_record_id").alias("provenance_id"))
 
 
+@query("SELECT source_id, 'family-' || logical_corpus || '@raw-manifest:' || raw_manifest_sha256 AS snapshot_id FROM source_registry")
+def source_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "source_registry").select("source_id", hs.source_id(F.concat(F.lit("family-"), "logical_corpus"), "raw_manifest_sha256").alias("snapshot_id"))
+
+
+@query(
+    """WITH d AS (SELECT logical_corpus AS c, coalesce(ko_text_raw, '') AS k, coalesce(en_text_raw, '') AS e, count(*) AS n FROM pair_registry WHERE logical_corpus IS NOT NULL GROUP BY ALL)
+SELECT c AS dim_a, c AS dim_b, sum(n)::BIGINT AS rows_a, count(*) AS distinct_a, (sum(n) - count(*))::BIGINT AS dup_rows_a, NULL::BIGINT AS shared_distinct FROM d GROUP BY c UNION ALL
+SELECT a.c, b.c, NULL, NULL, NULL, count(*) FROM d a JOIN d b ON a.k = b.k AND a.e = b.e AND a.c < b.c GROUP BY a.c, b.c"""
+)
+def salted_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlap of corpora by digests under a salt of this run: whatever the salt, the counts are those of the texts themselves."""
+    return rl.overlap_matrix(table(spark, sf_dir, "pair_registry"), "logical_corpus", hs.salted_pair_digest("ko_text_raw", "en_text_raw", os.urandom(16)))
+
+
 @query("SELECT morph_measurement_id, 'm_' || sha256('MORPH_v2|' || analyzer_config_hash || '|' || pair_id) AS recomputed FROM (SELECT DISTINCT morph_measurement_id, analyzer_config_hash, pair_id FROM morph_features)")
 def measurement_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "morph_features").select("morph_measurement_id", "analyzer_config_hash", "pair_id").distinct()

@@ -125,16 +125,19 @@ def test_envelope_levels():
     assert [e.level(a, s, o)[0] for a, s, o in ((7, 0, 1), (9, 0.2, 1), (4.5, 0, 1), (9, 0.6, 1), (9, 0, 7), (3, 0, 1), (9, 1.5, 1))] == ["YELLOW", "YELLOW", "RED", "RED", "RED", "EMERGENCY", "EMERGENCY"]
 
 
-def test_telemetry_samples_and_aborts(spark):
+def test_telemetry_samples_and_aborts(spark, tmp_path):
+    import json
     import time
 
     from pairloom.operators.telemetry import Telemetry, read_memory
 
     done = iter(range(0, 10_000, 10))
-    with Telemetry(interval=0.02, rows=lambda: next(done), read=lambda: (20.0, 0.0, 1.0), most=8) as t:
+    with Telemetry(interval=0.02, rows=lambda: next(done), read=lambda: (20.0, 0.0, 1.0), most=8, log=str(tmp_path / "log")) as t:
         time.sleep(0.5)
     got = t.summary()
     assert got["periodic"] and got["samples"] > 4 and len(t.samples) <= 9 and got["worst_level"] == "GREEN" and got["rows_per_second"] > 0
+    lines = [json.loads(x) for x in (tmp_path / "log").read_text().splitlines()]
+    assert len(lines) == got["samples"] and json.loads((tmp_path / "log.latest").read_text()) == lines[-1]
     reads = iter([(9.0, 1.0, 1.0), (9.0, 1.0, 1.0), (4.2, 1.0, 1.0), *[(9.0, 1.0, 1.0)] * 500])
     with pytest.raises(va.Violation, match="RED"), Telemetry(spark, interval=0.02, read=lambda: next(reads)) as t:
         time.sleep(0.2)
