@@ -1,29 +1,13 @@
-"""Registry of the engine's queries and of the SQL each is checked against."""
+"""All of the engine's queries, and the SQL each is checked against."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import ORACLE_SQL, QUERIES, Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "text_profile_by_language"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL if it can be put so."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "Query", "query"]
 
 for _module in ("text_queries", "identity_queries", "quality_queries", "measure_queries", "relation_queries", "explore_queries", "inference_queries", "contract_queries", "stream_queries"):
     import_module(f"pairloom.plans.{_module}")

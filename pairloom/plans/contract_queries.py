@@ -15,7 +15,7 @@ from ..operators import protocols as pr
 from ..operators import sampling as sm
 from ..operators import validate as va
 from ..session import cut, spread, table
-from .catalogue import query
+from .registry import query
 from .measure_queries import PLAIN_CHUNKS
 from .relation_queries import COHORT_FROM, cohort
 

@@ -9,7 +9,7 @@ from ..operators import aggregate as ag
 from ..operators import ranks as rk
 from ..operators import sampling as sm
 from ..session import table
-from .catalogue import query
+from .registry import query
 from .identity_queries import COHORT
 from .measure_queries import TOKENS, latest_tokens
 from .relation_queries import COHORT_FROM, cohort

@@ -11,7 +11,7 @@ from ..functions import hashing as hs
 from ..functions import text as tx
 from ..operators import relations as rl
 from ..session import table
-from .catalogue import query
+from .registry import query
 
 PREFIXED = "unhex(printf('%016x', octet_length(encode({0})))) || encode({0})"
 RAW_GROUP = f"'dup_' || sha256({PREFIXED.format('ko_text_raw')} || {PREFIXED.format('en_text_raw')})"

@@ -10,7 +10,7 @@ from ..operators import models as ml
 from ..operators import ranks as rk
 from ..operators import validate as va
 from ..session import cut, table
-from .catalogue import query
+from .registry import query
 from .measure_queries import TOKENS, latest_tokens
 from .relation_queries import COHORT_FROM, cohort
 

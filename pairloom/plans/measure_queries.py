@@ -11,7 +11,7 @@ from ..operators import aggregate as ag
 from ..operators import ranks as rk
 from ..operators.relations import latest_rows
 from ..session import spread, table
-from .catalogue import query
+from .registry import query
 
 
 def _latest_morphs(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:

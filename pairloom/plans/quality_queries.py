@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators import relations as rl
 from ..session import table
-from .catalogue import query
+from .registry import query
 
 
 def _n(c: str, p: str) -> str:

@@ -13,7 +13,7 @@ from ..operators import aggregate as ag
 from ..operators import relations as rl
 from ..operators import validate as va
 from ..session import table
-from .catalogue import query
+from .registry import query
 from .identity_queries import COHORT
 from .measure_queries import MORPHS, TOKENS, _latest_morphs, latest_tokens
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, table
 from ..streaming import streams
-from .catalogue import query
+from .registry import query
 
 
 HOURLY = "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"

@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import aggregate as ag
 from ..operators.relations import latest_rows
 from ..session import spread, table
-from .catalogue import query
+from .registry import query
 
 WS = r"\t-\r \x{85}\p{Z}"
 
